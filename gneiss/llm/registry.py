@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import exact_dedup, mixing, sharding
+from gneiss.llm import bpe, exact_dedup, mixing, sharding, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir))
 
@@ -19,17 +24,33 @@ def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_docs(spark, sf_dir), exact_dedup.DigestIndex(spark))
 
 
+def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.code(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op4_uniform_threshold": op4_uniform_threshold,
     "op6_sampled_splitters": op6_sampled_splitters,
     "op8_digest_index": op8_digest_index,
+    "op9_bpe_transducer": op9_bpe_transducer,
     "op10_pivotal_mix": op10_pivotal_mix,
 }
 
 ORACLES = {
+    "op4_uniform_threshold": r"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                     list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 10
+    """,
     "op8_digest_index": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \x09-\x0D]+', ' ', 'g')) AS text_sha256
                    FROM documents)
