@@ -5,13 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, exact_dedup, mixing, sharding, topk
+from gneiss.llm import bpe, exact_dedup, mixing, quality, sharding, topk, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, _labels(spark, sf_dir)))
+
+
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+
+
 def op4_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -33,6 +47,8 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_attention_quality": op1_attention_quality,
+    "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op4_uniform_threshold": op4_uniform_threshold,
     "op6_sampled_splitters": op6_sampled_splitters,
     "op8_digest_index": op8_digest_index,
