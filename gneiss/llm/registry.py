@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, exact_dedup, mixing, quality, sharding, topk, toxicity
+from gneiss.llm import bpe, exact_dedup, mixing, pii, quality, sharding, topk, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op4_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return pii.find(docs, pii.train(docs)).drop("redacted")
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_attention_quality": op1_attention_quality,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op4_uniform_threshold": op4_uniform_threshold,
+    "op5_bilstm_crf_pii": op5_bilstm_crf_pii,
     "op6_sampled_splitters": op6_sampled_splitters,
     "op8_digest_index": op8_digest_index,
     "op9_bpe_transducer": op9_bpe_transducer,
