@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,17 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in a worker process.
+
+    Functions may come with each task by value, along with their module, so the values live in a module of their own.
+    """
+    kept = sys.modules.setdefault("_gneiss_kept", types.ModuleType("_gneiss_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(max(n, 1), "uint64")
     done = 1

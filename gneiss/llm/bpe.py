@@ -14,13 +14,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from gneiss.llm.arrays import per_process
+
 NONE = -1
 
 
@@ -31,9 +34,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes pre-tokens; ``limit`` bounds kept states and words, which are rebuilt when it is reached."""
+    """Encodes pre-tokens; ``limit`` bounds the kept words, and twice that the kept states, which are rebuilt when it is reached."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 350_000):
         self.ranks, self.limit = ranks, limit
         self.longest = max(map(len, ranks))
         self.growing = {t[:n] for t in ranks for n in range(1, len(t))}
@@ -144,24 +147,19 @@ class Transducer:
                 out += move[1]
         last = self.states[state][2]
         out += self._ends(last, len(last))
-        if len(self.states) > self.limit:
+        if len(self.states) > 2 * self.limit:
             self.moves = {}
             self._clear()
         return out
 
-    def encode(self, pieces: Iterable[str]) -> np.ndarray:
-        """Ids of a text's pre-tokens; frequent ones are kept with their ids."""
-        words, out = self.words, []
-        for piece in pieces:
-            ids = words.get(piece)
-            if ids is None:
-                ids = tuple(self.run(piece.encode()))
-                if len(piece) <= 64:
-                    if len(words) >= self.limit:
-                        words.clear()
-                    words[piece] = ids
-            out += ids
-        return np.array(out, "<u4")
+    def encode(self, pieces: Sequence[str]) -> np.ndarray:
+        """Ids of a text's pre-tokens; those met before are looked up."""
+        words = self.words
+        if len(words) >= self.limit:
+            words.clear()
+        for piece in set(pieces).difference(words):
+            words[piece] = tuple(self.run(piece.encode()))
+        return np.fromiter(chain.from_iterable(map(words.__getitem__, pieces)), "<u4")
 
 
 class Utf8Machine:
@@ -230,12 +228,20 @@ class Decoder:
         yield machine.end()
 
     def text(self, ids: np.ndarray) -> str:
+        parts = [self.whole[i] for i in ids.tolist()]
+        if None not in parts:
+            return "".join(parts)
         return "".join(self.stream(ids.tolist()))
 
 
+def coders(rank_file: str, limit: int) -> tuple[Transducer, Decoder]:
+    ranks = read_ranks(rank_file)
+    return Transducer(ranks, limit), Decoder(ranks)
+
+
 def code(
     docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = False, limit: int = 300_000,
+    with_ids: bool = False, limit: int = 350_000,
 ) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also ids, decoded.
 
@@ -243,17 +249,18 @@ def code(
     the empty one: no ids.  Ids, null or repeated, are passed through; rows are independent, so
     nothing is shuffled and a lost executor costs only its tasks.  Only the two named columns are
     read.  ``rank_file`` is read by each worker: a vocabulary that is installed on every machine.
+    A worker process keeps its transducer from one task to the next.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>, decoded string" if with_ids else ""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(rank_file)
-        encoder, decoder, split = Transducer(ranks, limit), Decoder(ranks), regex.compile(pattern)
+        encoder, decoder = per_process(("bpe", rank_file, limit), lambda: coders(rank_file, limit))
+        split = regex.compile(pattern)
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(m[0] for m in split.finditer(text.as_py() or ""))
+                ids = encoder.encode(split.findall(text.as_py() or ""))
                 decoded = decoder.text(ids)
                 row = (i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 rows.append((*row, ids.astype("int32"), decoded) if with_ids else row)
