@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, exact_dedup, mixing, pii, quality, sharding, topk, toxicity
+from gneiss.llm import bpe, exact_dedup, jaccard, mixing, pii, ppm, quality, sharding, topk, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
 
 
+def op3_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_docs(spark, sf_dir))
+
+
 def op4_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -39,6 +43,10 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir))
 
 
+def op7_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_docs(spark, sf_dir))
+
+
 def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_docs(spark, sf_dir), exact_dedup.DigestIndex(spark))
 
@@ -54,9 +62,11 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_attention_quality": op1_attention_quality,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
+    "op3_heavy_light_jaccard": op3_heavy_light_jaccard,
     "op4_uniform_threshold": op4_uniform_threshold,
     "op5_bilstm_crf_pii": op5_bilstm_crf_pii,
     "op6_sampled_splitters": op6_sampled_splitters,
+    "op7_partial_matching": op7_partial_matching,
     "op8_digest_index": op8_digest_index,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_pivotal_mix": op10_pivotal_mix,
