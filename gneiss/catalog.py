@@ -1,4 +1,6 @@
 """Every registered query with its DuckDB counterpart."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gneiss.jobs import calculations
+
+QUERIES: dict = {**calculations.QUERIES}
+ORACLES: dict = {**calculations.ORACLES}
