@@ -1,6 +1,6 @@
 """Every registered query with its DuckDB counterpart."""
 
-from gneiss.jobs import calculations
+from gneiss.jobs import calculations, retrieval
 
-QUERIES: dict = {**calculations.QUERIES}
-ORACLES: dict = {**calculations.ORACLES}
+QUERIES: dict = {**calculations.QUERIES, **retrieval.QUERIES}
+ORACLES: dict = {**calculations.ORACLES, **retrieval.ORACLES}
