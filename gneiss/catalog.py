@@ -1,6 +1,6 @@
 """Every registered query with its DuckDB counterpart."""
 
-from gneiss.jobs import calculations, retrieval
+from gneiss.jobs import calculations, evaluation, retrieval
 
-QUERIES: dict = {**calculations.QUERIES, **retrieval.QUERIES}
-ORACLES: dict = {**calculations.ORACLES, **retrieval.ORACLES}
+QUERIES: dict = {**calculations.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES}
+ORACLES: dict = {**calculations.ORACLES, **retrieval.ORACLES, **evaluation.ORACLES}
