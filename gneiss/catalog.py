@@ -1,6 +1,7 @@
 """Every registered query with its DuckDB counterpart."""
 
-from gneiss.jobs import calculations, evaluation, retrieval
+from gneiss.jobs import answering, calculations, evaluation, retrieval
 
-QUERIES: dict = {**calculations.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES}
-ORACLES: dict = {**calculations.ORACLES, **retrieval.ORACLES, **evaluation.ORACLES}
+_FAMILIES = (calculations, retrieval, evaluation, answering)
+QUERIES: dict = {k: v for family in _FAMILIES for k, v in family.QUERIES.items()}
+ORACLES: dict = {k: v for family in _FAMILIES for k, v in family.ORACLES.items()}

@@ -12,29 +12,29 @@ from gneiss.session import table
 KEYS = ["l_orderkey", "l_linenumber"]
 
 
-def _requests(spark: SparkSession, sf: str) -> DataFrame:
+def requests(spark: SparkSession, sf: str) -> DataFrame:
     return C.requests_from_lines(table(spark, sf, "lineitem"))
 
 
 def calc_thickness(spark: SparkSession, sf: str) -> DataFrame:
-    return C.calculate(_requests(spark, sf)).select(*KEYS, "s_mpa", "e", "t_min_mm", "t_design_mm", "plate_mm", "mawp_mpa", "error_code")
+    return C.calculate(requests(spark, sf)).select(*KEYS, "s_mpa", "e", "t_min_mm", "t_design_mm", "plate_mm", "mawp_mpa", "error_code")
 
 
 def calc_errors(spark: SparkSession, sf: str) -> DataFrame:
-    done = C.calculate(_requests(spark, sf))
+    done = C.calculate(requests(spark, sf))
     return done.groupBy("component", F.coalesce("error_code", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("t_min_mm"), 6).alias("mean_t_min"))
 
 
 def calc_trace(spark: SparkSession, sf: str) -> DataFrame:
-    return C.trace(C.calculate(_requests(spark, sf)), KEYS)
+    return C.trace(C.calculate(requests(spark, sf)), KEYS)
 
 
 def stress_interp(spark: SparkSession, sf: str) -> DataFrame:
-    return C.with_stress(_requests(spark, sf)).select(*KEYS, "material", "temp_c", F.round(F.col("s_mpa").cast("double"), 6).alias("s_mpa"))
+    return C.with_stress(requests(spark, sf)).select(*KEYS, "material", "temp_c", F.round(F.col("s_mpa").cast("double"), 6).alias("s_mpa"))
 
 
 def joint_eff_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    spelled = _requests(spark, sf).withColumn("said", F.expr("case rt_level when 'Full RT' then 'FULL radiography' when 'Spot RT' then 'spot rt' else 'unknown' end"))
+    spelled = requests(spark, sf).withColumn("said", F.expr("case rt_level when 'Full RT' then 'FULL radiography' when 'Spot RT' then 'spot rt' else 'unknown' end"))
     return C.with_efficiency(spelled.withColumn("rt_level", F.expr(C.normalise_rt("said")))).select(*KEYS, "said", "rt_level", F.col("e").cast("double").alias("e"))
 
 
@@ -44,7 +44,7 @@ def next_plate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calc_parse(spark: SparkSession, sf: str) -> DataFrame:
-    said = _requests(spark, sf).selectExpr(
+    said = requests(spark, sf).selectExpr(
         *KEYS,
         """concat('Compute the ', case when component = 'sphere' then 'spherical' else 'cylindrical' end, ' shell thickness: P = ', cast(p_mpa as string), ' MPa, ',
                   case when component = 'cylinder_outside' then 'OD=' else 'inside diameter ' end, coalesce(cast(diameter_mm as string), 'unknown'), ' mm, T=', temp_c,
@@ -75,7 +75,7 @@ _REQUESTS = f"""
     je AS (SELECT joint_type, rt_level, round(e::DOUBLE * 100)::BIGINT AS e FROM {pinned.values_sql(pinned.joint_rows(), "joint_type, rt_level, e")})
 """
 # Whole numbers throughout: halves round up exactly.
-_CALC = _REQUESTS + f""",
+CALC = _REQUESTS + f""",
     c AS (SELECT s.*, e, 10 * qd * p * dia AS num,
             2 * CASE component WHEN 'cylinder_inside' THEN 100 * sn * e - 6 * qd * p WHEN 'cylinder_outside' THEN 100 * sn * e + 4 * qd * p
                                ELSE 200 * sn * e - 2 * qd * p END AS den
@@ -96,9 +96,9 @@ _CALC = _REQUESTS + f""",
 
 QUERIES = {f.__name__: f for f in (calc_thickness, calc_errors, calc_trace, stress_interp, joint_eff_lookup, next_plate, calc_parse)}
 ORACLES = {
-    "calc_thickness": _CALC + "SELECT l_orderkey, l_linenumber, round(s_mpa, 8) AS s_mpa, e, t_min_mm, t_design_mm, plate_mm::INT AS plate_mm, mawp_mpa, error_code FROM r",
-    "calc_errors": _CALC + "SELECT component, coalesce(error_code, 'ok') AS outcome, count(*) AS n, round(avg(t_min_mm), 6) AS mean_t_min FROM r GROUP BY ALL",
-    "calc_trace": _CALC + """, w AS (SELECT * FROM r WHERE error_code IS NULL)
+    "calc_thickness": CALC + "SELECT l_orderkey, l_linenumber, round(s_mpa, 8) AS s_mpa, e, t_min_mm, t_design_mm, plate_mm::INT AS plate_mm, mawp_mpa, error_code FROM r",
+    "calc_errors": CALC + "SELECT component, coalesce(error_code, 'ok') AS outcome, count(*) AS n, round(avg(t_min_mm), 6) AS mean_t_min FROM r GROUP BY ALL",
+    "calc_trace": CALC + """, w AS (SELECT * FROM r WHERE error_code IS NULL)
         SELECT l_orderkey, l_linenumber, 1 AS step, 'allowable_stress' AS step_key, round(s_mpa, 8) AS result FROM w
         UNION ALL SELECT l_orderkey, l_linenumber, 2, 'joint_efficiency', e FROM w UNION ALL SELECT l_orderkey, l_linenumber, 3, 'radius', dia / 2.0::DOUBLE FROM w
         UNION ALL SELECT l_orderkey, l_linenumber, 4, 'min_thickness', t_min_mm FROM w UNION ALL SELECT l_orderkey, l_linenumber, 5, 'design_thickness', t_design_mm FROM w

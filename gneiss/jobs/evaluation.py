@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gneiss.jobs import calculations
-from gneiss.jobs.retrieval import _CONTENT, _asked, _bm25_sql, _docs
+from gneiss.jobs.retrieval import CONTENT, bm25_sql, documents, items
 from gneiss.operators import evidence as E
 from gneiss.operators import parsing as P
 from gneiss.operators import retrieval as R
@@ -87,7 +87,7 @@ def cell_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def precision_recall_k(spark: SparkSession, sf: str) -> DataFrame:
-    docs, asked = _docs(spark, sf), _asked(spark, sf)
+    docs, asked = documents(spark, sf), items(spark, sf)
     have = docs.select("doc_id", F.explode(R.content_terms(F.col("text"))).alias("term"))
     want = asked.select("query_id", R.content_terms(F.col("text")).alias("t")).select("query_id", F.size("t").alias("size"), F.explode("t").alias("term"))
     relevant = have.join(want, "term").groupBy("query_id", "doc_id", "size").agg(F.count("*").alias("n")).filter("n >= 0.8 * size").select("query_id", "doc_id")
@@ -154,7 +154,7 @@ DOMAIN = {"thickness": 80, "joint efficien": 90, "allowable stress": 65, "hydros
 
 
 def domain_weight(spark: SparkSession, sf: str) -> DataFrame:
-    """The largest weight of the topic words in each whole page; its own four plainer words stand in for rare ones."""
+    """The largest weight of the topic words in each whole page; four plainer words are added, as the topic words are rare there."""
     text = F.lower("html")
     weights = DOMAIN | {"license": 20, "script": 15, "href": 10, "tion": 5}
     return table(spark, sf, "pages").select("page_id", F.greatest(F.lit(0), *(F.when(F.contains(text, F.lit(w)), v).otherwise(0) for w, v in weights.items())).alias("weight"))
@@ -239,7 +239,7 @@ ORACLES = {
         SELECT id, count(*) AS claims, count(*) FILTER (WHERE CASE WHEN len(num) > 0 THEN len(list_filter(num, lambda v: contains(c, v))) > 0 WHEN len(need) = 0 THEN true
             ELSE len(list_intersect(need, have)) / len(need)::DOUBLE >= 0.4 END) AS supported FROM n GROUP BY id""",
     "cell_f1": f"WITH {_EX}, w AS (SELECT id, {_WORDS.format('answer')} AS a, {_WORDS.format('context')} AS b FROM x) SELECT id, round(CASE WHEN len(a) + len(b) > 0 THEN 2 * len(list_intersect(a, b)) / (len(a) + len(b))::DOUBLE ELSE 1 END, 6) AS f1 FROM w",
-    "precision_recall_k": f"""WITH {_bm25_sql(10)}, dc AS (SELECT doc_id, unnest({_CONTENT}) AS term FROM documents), q0 AS (SELECT item_id AS query_id, {_CONTENT} AS t FROM benchmark),
+    "precision_recall_k": f"""WITH {bm25_sql(10)}, dc AS (SELECT doc_id, unnest({CONTENT}) AS term FROM documents), q0 AS (SELECT item_id AS query_id, {CONTENT} AS t FROM benchmark),
         qq AS (SELECT query_id, len(t) AS size, unnest(t) AS term FROM q0), rel AS (SELECT query_id, doc_id FROM dc JOIN qq USING (term) GROUP BY query_id, doc_id, size HAVING count(*) >= 0.8 * size),
         h AS (SELECT query_id, count(*) AS n_ranked, count(rel.doc_id) AS n_found FROM bm LEFT JOIN rel USING (query_id, doc_id) GROUP BY query_id), z AS (SELECT query_id, count(*) AS n_relevant FROM rel GROUP BY query_id)
         SELECT query_id, coalesce(n_ranked, 0) AS n_ranked, coalesce(n_found, 0) AS n_found, coalesce(n_relevant, 0) AS n_relevant,
@@ -248,7 +248,7 @@ ORACLES = {
         c AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND label = 0) AS fp,
             count(*) FILTER (WHERE score < threshold AND label = 0) AS tn, count(*) FILTER (WHERE score < threshold AND label = 1) AS fn FROM s GROUP BY threshold)
         SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp)::DOUBLE, 6) ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn)::DOUBLE, 6) ELSE 1 END AS recall FROM c""",
-    "calc_correctness": calculations._CALC + """, v AS (SELECT l_linenumber % 4 AS shift, unnest(['t_min', 't_design', 'mawp']) AS name, unnest([t_min_mm, t_design_mm, mawp_mpa]) AS actual FROM r WHERE error_code IS NULL),
+    "calc_correctness": calculations.CALC + """, v AS (SELECT l_linenumber % 4 AS shift, unnest(['t_min', 't_design', 'mawp']) AS name, unnest([t_min_mm, t_design_mm, mawp_mpa]) AS actual FROM r WHERE error_code IS NULL),
         w AS (SELECT *, round(actual * (1 + shift * 0.01::DOUBLE), 6) AS expected FROM v)
         SELECT name, shift::INT AS shift, count(*) AS n, count(*) FILTER (WHERE abs(actual - expected) <= greatest(0.02::DOUBLE, abs(expected) * 0.02::DOUBLE)) AS correct FROM w GROUP BY ALL""",
     "run_aggregate": f"WITH {_SC}, ex AS (SELECT run_id, example_id, bool_and(passed) AS p FROM sc GROUP BY ALL), pr AS (SELECT run_id, round(avg(p::INT), 6) AS pass_rate FROM ex GROUP BY run_id) SELECT run_id, metric, mean, n, pass_rate FROM ra JOIN pr USING (run_id)",
@@ -265,7 +265,7 @@ ORACLES = {
     "redact": "SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '<unset>' ELSE '<redacted:' || sha256(url)[:8] || '>' END AS token FROM pages",
     "path_audit": """SELECT * FROM (SELECT page_id, path, CASE WHEN starts_with(path, 'en/') THEN 'private prefix' WHEN starts_with(path, 'de/') AND contains(path, 'ref') THEN 'private run' WHEN contains(path, '?page=1') THEN 'raw file' END AS reason
         FROM (SELECT page_id, lower(regexp_replace(url, '^[a-z]+://[^/]*/?', '')) AS path FROM pages)) WHERE reason IS NOT NULL""",
-    "first_seen_union": f"WITH t AS (SELECT conv_id, turn, unnest({_CONTENT}) AS term FROM conversations), f AS (SELECT conv_id, term, min(turn) AS turn FROM t GROUP BY ALL) SELECT conv_id, turn, count(*) AS new_terms FROM f GROUP BY ALL",
+    "first_seen_union": f"WITH t AS (SELECT conv_id, turn, unnest({CONTENT}) AS term FROM conversations), f AS (SELECT conv_id, term, min(turn) AS turn FROM t GROUP BY ALL) SELECT conv_id, turn, count(*) AS new_terms FROM f GROUP BY ALL",
     "saturation": "SELECT conv_id, count(*) FILTER (WHERE role = 'assistant' AND len(text) > 0) >= 2 AND count(*) FILTER (WHERE role = 'system') = 0 AND max(len(text)) > 0 AS saturated FROM conversations GROUP BY conv_id",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

@@ -12,25 +12,25 @@ from gneiss.session import table
 DEPTH = 50
 
 
-def _docs(spark: SparkSession, sf: str) -> DataFrame:
+def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
-def _asked(spark: SparkSession, sf: str) -> DataFrame:
+def items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25(_docs(spark, sf), _asked(spark, sf), 10)
+    return R.bm25(documents(spark, sf), items(spark, sf), 10)
 
 
 def content_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.size(R.content_terms(F.col("text"))).cast("long").alias("n_terms"))
+    return documents(spark, sf).select("doc_id", F.size(R.content_terms(F.col("text"))).cast("long").alias("n_terms"))
 
 
 def ood_cap(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").filter("role = 'user'").select(F.expr("conv_id * 1000 + turn").alias("query_id"), "text")
-    out = R.overlap(turns, _asked(spark, sf).select("text"))
+    out = R.overlap(turns, items(spark, sf).select("text"))
     return out.select("query_id", "n_terms", "n_known", F.round("overlap", 6).alias("overlap"))
 
 
@@ -44,7 +44,7 @@ def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 def _two_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark items against documents: by BM25, and by shared content terms (which stand for a second signal)."""
-    docs, asked = _docs(spark, sf), _asked(spark, sf)
+    docs, asked = documents(spark, sf), items(spark, sf)
     terms = docs.select("doc_id", F.explode(R.content_terms(F.col("text"))).alias("term"))
     want = asked.select("query_id", F.explode(R.content_terms(F.col("text"))).alias("term"))
     shared = terms.join(want, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
@@ -59,7 +59,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 def retrieval_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Both signals, or one of them; all three from one computation of the lists, capped by lexical overlap."""
     first, second = _two_lists(spark, sf)
-    caps = R.overlap(_asked(spark, sf), _docs(spark, sf)).withColumn("cap", F.col("overlap"))
+    caps = R.overlap(items(spark, sf), documents(spark, sf)).withColumn("cap", F.col("overlap"))
     out = None
     for mode, lists in (("hybrid", [first, second]), ("bm25_only", [second]), ("overlap_only", [first])):
         one = R.normalised(R.fuse(lists), caps, 10).select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
@@ -69,15 +69,15 @@ def retrieval_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 def exact_ref_promotion(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a benchmark item word for word come first; candidates share a term with it, so no pair is tried without cause."""
-    ranked = R.bm25(_docs(spark, sf), _asked(spark, sf), 10)
-    texts = ranked.join(_docs(spark, sf), "doc_id").join(_asked(spark, sf).withColumnRenamed("text", "item"), "query_id")
+    ranked = R.bm25(documents(spark, sf), items(spark, sf), 10)
+    texts = ranked.join(documents(spark, sf), "doc_id").join(items(spark, sf).withColumnRenamed("text", "item"), "query_id")
     named = texts.filter("contains(text, item)").select("query_id", "doc_id", F.lit(0).alias("priority"))
     out = R.promote(ranked, named)
     return out.select("query_id", "doc_id", "origin", "rank", F.round("score", 6).alias("score"))
 
 
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
-    return R.hash_embed(_docs(spark, sf))
+    return R.hash_embed(documents(spark, sf))
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,10 +132,10 @@ QUERIES = {f.__name__: f for f in (
 )} | {f"graph_expand_h{h}": _expanded(h) for h in (1, 2, 3)}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in R.STOPWORDS) + "]"
-_CONTENT = f"list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9-]+'), lambda x: lower(x))), lambda x: NOT list_contains({_STOP}, x))"
+CONTENT = f"list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9-]+'), lambda x: lower(x))), lambda x: NOT list_contains({_STOP}, x))"
 
 
-def _bm25_sql(depth: int) -> str:
+def bm25_sql(depth: int) -> str:
     return f"""
     dt AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9-]+') AS t FROM documents),
     tot AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dt),
@@ -148,8 +148,8 @@ def _bm25_sql(depth: int) -> str:
     bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs WHERE score > 0) WHERE rank <= {depth})"""
 
 
-_LISTS = f"""{_bm25_sql(DEPTH)},
-    dc AS (SELECT doc_id, unnest({_CONTENT}) AS term FROM documents), qq AS (SELECT item_id AS query_id, unnest({_CONTENT}) AS term FROM benchmark),
+_LISTS = f"""{bm25_sql(DEPTH)},
+    dc AS (SELECT doc_id, unnest({CONTENT}) AS term FROM documents), qq AS (SELECT item_id AS query_id, unnest({CONTENT}) AS term FROM benchmark),
     sh AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM dc JOIN qq USING (term) GROUP BY ALL),
     ov AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sh) WHERE rank <= {DEPTH})"""
 
@@ -184,9 +184,9 @@ def _mode_sql(mode: str, lists: list[str]) -> str:
 
 
 ORACLES = {
-    "bm25_topk": f"WITH {_bm25_sql(10)} SELECT query_id, doc_id, rank::INT AS rank, score FROM bm",
-    "content_tokens": f"SELECT doc_id, len({_CONTENT}) AS n_terms FROM documents",
-    "ood_cap": f"""WITH voc AS (SELECT DISTINCT unnest({_CONTENT}) AS term FROM benchmark), q AS (SELECT conv_id * 1000 + turn AS query_id, {_CONTENT} AS t FROM conversations WHERE role = 'user'),
+    "bm25_topk": f"WITH {bm25_sql(10)} SELECT query_id, doc_id, rank::INT AS rank, score FROM bm",
+    "content_tokens": f"SELECT doc_id, len({CONTENT}) AS n_terms FROM documents",
+    "ood_cap": f"""WITH voc AS (SELECT DISTINCT unnest({CONTENT}) AS term FROM benchmark), q AS (SELECT conv_id * 1000 + turn AS query_id, {CONTENT} AS t FROM conversations WHERE role = 'user'),
         k AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, unnest(t) AS term FROM q) JOIN voc USING (term) GROUP BY ALL)
         SELECT query_id, len(t) AS n_terms, coalesce(n, 0) AS n_known, round(CASE WHEN len(t) > 0 THEN coalesce(n, 0) / len(t)::DOUBLE ELSE 0 END, 6) AS overlap FROM q LEFT JOIN k USING (query_id)""",
     "knn_topk": _knn_sql(""),
@@ -197,7 +197,7 @@ ORACLES = {
     "retrieval_modes": f"""WITH {_LISTS}, voc AS (SELECT DISTINCT term FROM dc), kn AS (SELECT query_id, count(voc.term) AS n, count(*) AS m FROM qq LEFT JOIN voc USING (term) GROUP BY ALL),
         cap AS (SELECT item_id AS query_id, coalesce(n / m::DOUBLE, 0) AS overlap FROM benchmark LEFT JOIN kn ON item_id = query_id)
         {_mode_sql("hybrid", ["ov", "bm"])} UNION ALL {_mode_sql("bm25_only", ["bm"])} UNION ALL {_mode_sql("overlap_only", ["ov"])}""",
-    "exact_ref_promotion": f"""WITH {_bm25_sql(10)}, nm AS (SELECT bm.*, contains(d.text, b.text) AS named FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id),
+    "exact_ref_promotion": f"""WITH {bm25_sql(10)}, nm AS (SELECT bm.*, contains(d.text, b.text) AS named FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id),
         sc AS (SELECT query_id, doc_id, CASE WHEN named THEN 'exact_ref' ELSE 'hybrid' END AS origin, CASE WHEN named THEN greatest(max(score) OVER (PARTITION BY query_id), 1) ELSE score END AS score FROM nm)
         SELECT query_id, doc_id, origin, row_number() OVER (PARTITION BY query_id ORDER BY origin, score DESC, doc_id)::INT AS rank, round(score, 6) AS score FROM sc""",
     "graph_build": f"WITH {_EDGES} SELECT kind, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY kind",

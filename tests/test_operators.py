@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import pinned
-from gneiss.operators import calculation, evidence, graph, parsing, retrieval
+from gneiss.operators import answers, calculation, evidence, graph, parsing, retrieval
 from gneiss.sources import io
 from gneiss.streaming import windows
 
@@ -153,3 +153,19 @@ def test_streamed_windows_equal_the_table(spark, tmp_path):
     want = {tuple(r) for r in windows.counts(events).collect()}
     # Windows within the watermark of the last event are still open.
     assert got <= want and len(got) > 0.5 * len(want)
+
+
+def test_answers(spark):
+    hits = spark.createDataFrame(
+        [(1, 7, 1, "b", "r1", "\n  first\nsecond"), (1, 8, 2, "a", "r1", "x" * 1300), (1, 9, 3, "c", "r2", None)], "query_id int, doc_id int, rank int, kind string, ref string, text string"
+    )
+    prompt = answers.prompts(hits, ["a", "b"]).first().prompt
+    assert prompt == "[8] " + "x" * 1200 + "…\n[7] \n  first\nsecond\n[9] "
+    lines = {r.place: (r.ref, r.line) for r in answers.summaries(hits).collect()}
+    assert lines == {1: ("r1", "first"), 2: ("r2", None)}
+    seen = answers.covered(hits, {"one": "kind = 'a'", "two": "kind = 'z'"}).first()
+    assert (seen.one, seen.two, seen.complete) == (True, False, False)
+    cited = spark.createDataFrame([("A-27(c)(1)",), ("A-27(d)",), ("A-2",), (None,)], "ref string")
+    index = spark.createDataFrame([("A-27",), ("A-27(c)",)], "ref string")
+    found = {r.ref: (r.resolved, r.depth) for r in answers.resolve(cited, index).collect()}
+    assert found == {"A-27(c)(1)": ("A-27(c)", 1), "A-27(d)": ("A-27", 1), "A-2": (None, None), None: (None, None)}
