@@ -42,6 +42,16 @@ def table_parse(spark: SparkSession, sf: str) -> DataFrame:
     return P.table_cells(P.sections(docs)).select("doc_id", "row", "col", "text")
 
 
+def table_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a fused cell in every row and every second row wrapped, repaired and read back."""
+    lines = table(spark, sf, "lineitem")
+    row = F.expr("""concat('| ', l_linenumber, ' | Flag ', l_returnflag, l_partkey, ' |  | a | b | c | d | e |',
+                           case when l_linenumber % 2 = 0 then '\\n|  | more- |  |  |  |  |  |  |\\n|  | text | |  |  |  |  |  |' else '' end)""")
+    text = F.concat(F.lit("## B-1 Lines\n| Line | Kind | Part | A | B | C | D | E |\n|---|---|---|---|---|---|---|---|\n"), F.array_join("r.md", "\n"))
+    docs = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", row.alias("md")))).alias("r")).select("doc_id", text.alias("text"))
+    return P.repaired_rows(P.table_rows(P.sections(docs))).filter("row > 0").select("doc_id", "row", F.array_join("cells", "|").alias("cells"))
+
+
 # --- Gate, citations, metrics ------------------------------------------------------------------------
 
 
@@ -195,7 +205,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    markdown_sections, xref_extract, table_parse, refusal_gate, citation_check, ref_compatible, faithfulness, cell_f1, precision_recall_k, threshold_sweep,
+    markdown_sections, xref_extract, table_parse, table_repair, refusal_gate, citation_check, ref_compatible, faithfulness, cell_f1, precision_recall_k, threshold_sweep,
     calc_correctness, run_aggregate, regression_diff, run_pivot, worst_failing, corpus_stats, browse, domain_weight, suggestions, redact, path_audit,
     first_seen_union, saturation, event_windows,
 )}
@@ -226,6 +236,8 @@ ORACLES = {
     "table_parse": """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS row, [l_linenumber::VARCHAR, l_partkey::VARCHAR, l_returnflag] AS c FROM lineitem
         UNION ALL SELECT DISTINCT l_orderkey, 0, ['Line', 'Part', 'Flag'] FROM lineitem)
         SELECT doc_id, row::INT AS row, col::INT AS col, c[col + 1] AS text FROM r, range(3) t(col)""",
+    "table_repair": """SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag)::INT AS row,
+        l_linenumber || '|Flag ' || l_returnflag || CASE WHEN l_linenumber % 2 = 0 THEN ' more-text' ELSE '' END || '|' || l_partkey || '|a|b|c|d|e' AS cells FROM lineitem""",
     "refusal_gate": f"""WITH q AS (SELECT *, l_suppkey % 6 AS m, 20 + l_orderkey % 600 AS t, concat_ws(', ', {", ".join(_MISS)}) AS missing FROM lineitem),
         g AS (SELECT l_orderkey, CASE WHEN l_tax + 0.02 < 0.05 THEN 'relevance' WHEN m = 3 THEN 'unsupported material' WHEN m = 4 THEN 'generic material' WHEN m = 2 THEN 'unknown material'
             WHEN m = 0 AND t > 500 OR m = 1 AND t > 600 THEN 'temperature' WHEN missing <> '' THEN 'missing: ' || missing ELSE 'answered' END AS outcome FROM q)

@@ -64,8 +64,8 @@ def sections(docs: DataFrame) -> DataFrame:
     )
 
 
-def table_cells(sections: DataFrame) -> DataFrame:
-    """``doc_id, element_id, block, row, col, text``: cells of pipe tables; row 0 is the header, separator rows go.
+def table_rows(sections: DataFrame) -> DataFrame:
+    """``doc_id, element_id, block, row, cells``: rows of pipe tables; row 0 is the header, separator rows go.
 
     A table is a run of lines between pipes (gaps and islands).  Rows are cut or padded to the width of the header.
     """
@@ -79,7 +79,37 @@ def table_cells(sections: DataFrame) -> DataFrame:
     cells = rows.withColumn("cells", F.expr(r"transform(split(regexp_replace(trim(content), '^\\||\\|$', ''), '\\|'), c -> trim(c))"))
     width = F.max(F.when(F.col("row") == 0, F.size("cells"))).over(W.partitionBy("doc_id", "element_id", "block"))
     padded = cells.withColumn("width", width).withColumn("cells", F.expr("slice(concat(cells, array_repeat('', width)), 1, width)"))
-    return padded.select("doc_id", "element_id", "block", "row", F.posexplode("cells").alias("col", "text"))
+    return padded.select("doc_id", "element_id", "block", "row", "cells")
+
+
+def table_cells(sections: DataFrame) -> DataFrame:
+    """``doc_id, element_id, block, row, col, text``."""
+    return table_rows(sections).select("doc_id", "element_id", "block", "row", F.posexplode("cells").alias("col", "text"))
+
+
+# Fixed pattern of a text cell that has swallowed the number of the blank cell after it.
+FUSED = r"^([A-Za-z][A-Za-z /().-]*?)([-+]?\d+(?:\.\d+)?)$"
+
+
+def repaired_rows(rows: DataFrame) -> DataFrame:
+    """``table_rows`` with fused cells split and wrapped rows joined to the row that they continue; rows are numbered anew.
+
+    A cell is split only if the next is blank, so no split depends on another.  A row continues the one
+    before if it has few cells, all far left; runs of such rows are islands.  A hyphen at the end of a part is kept
+    and joined without a space.
+    """
+    fused = lambda i: f"(coalesce(get(cells, {i} + 1), 'x') = '' and cells[{i}] rlike '{FUSED}')".replace("\\", "\\\\")
+    part = lambda i, n: f"trim(regexp_extract(cells[{i}], '{FUSED}', {n}))".replace("\\", "\\\\")
+    split = f"transform(cells, (c, i) -> case when {fused('i')} then {part('i', 1)} when i > 0 and {fused('(i - 1)')} then {part('(i - 1)', 2)} else c end)"
+    cells = rows.withColumn("cells", F.when(F.col("row") > 0, F.expr(split)).otherwise(F.col("cells")))
+    few = """row > 1 and exists(cells, c -> c <> '') and size(filter(cells, c -> c <> '')) <= greatest(1, least(2, size(cells) div 4))
+             and array_max(transform(cells, (c, i) -> if(c <> '', i, -1))) <= least(2, size(cells) - 1)"""
+    table = ["doc_id", "element_id", "block"]
+    island = F.sum(F.when(F.expr(few), 0).otherwise(1)).over(W.partitionBy(*table).orderBy("row")) - 1
+    merged = cells.withColumn("island", island).groupBy(*table, "island").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("r"))
+    join = """transform(sequence(0, size(r[0].cells) - 1), i -> aggregate(r, '', (a, x) -> case when a = '' then x.cells[i] when x.cells[i] = '' then a
+              when endswith(a, '-') then concat(a, x.cells[i]) else concat(a, ' ', x.cells[i]) end))"""
+    return merged.select(*table, F.col("island").cast("int").alias("row"), F.expr(join).alias("cells"))
 
 
 def formulas(sections: DataFrame) -> DataFrame:
