@@ -27,6 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gneiss.llm import arrays
@@ -246,9 +247,9 @@ def join(
     vertices = found.select("doc_id", "text_hash", "place", "n", "d1", "d2")
     equal = vertices.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("place").alias("vertex"), F.count("*").alias("copies"))
     # Groups: sets with a key in common, joined up.
-    postings = found.select("place", F.explode("keys").alias("key"))
-    first = postings.groupBy("key").agg(F.min("place").alias("v"), F.max("place").alias("last")).filter("v <> last").select("key", "v")
-    meet = postings.join(first, "key").select(F.col("place").alias("u"), "v")
+    # One shuffle of the keys: each set is tied to the first set with the key.
+    postings = found.select(F.col("place").alias("u"), F.explode("keys").alias("key"))
+    meet = postings.withColumn("v", F.min("u").over(W.partitionBy("key"))).filter("u <> v").select("u", "v")
     grouped = components(meet)
     group = grouped.select(F.col("u").alias("vertex"), F.col("v").alias("group"))
     # The smallest of a component is not listed, so it comes from its members.
@@ -271,7 +272,13 @@ def join(
                     [*(b.column(c).slice(row, len(own)) for c in names), pa.array([s.tobytes() for s in own], pa.binary())], [*names, "elements"]
                 )
 
-    # Rows that repeat id and text would come twice; the work below takes each vertex once.
+    # Texts of sets that are in no group need not be shuffled: a bit table of fixed size, at most
+    # 2**18 rows of 64 bits, tells most of them apart by their hash.  The join is what decides.
+    bit = F.pmod("text_hash", F.lit(1 << 24))
+    bits = work.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    likely = rows.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(bits), "word")
+    rows = likely.filter("shiftright(bits, cast(bit % 64 as int)) & 1L = 1L").select("doc_id", "text", "text_hash")
+    # Rows that repeat id and text come twice; the work below takes each vertex once.
     wanted = work.join(rows, (work["text_hash"] == rows["text_hash"]) & work["doc_id"].eqNullSafe(rows["doc_id"])).select("vertex", "group", "copies", "blocks", "own", "text")
     held = wanted.mapInArrow(collect, "vertex long, group long, copies long, blocks int, own int, elements binary")
     units = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
