@@ -25,19 +25,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every vertex points at one other, which points at none: each component is a star around its smallest vertex."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    wrong = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or out = 1 and into = 1")
+    return wrong.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``u, v`` for each vertex that has edges and is not the smallest of its component ``v``.
 
-    Alternates large and small stars until nothing changes: about log n rounds, each of which keeps
-    at most as many edges as there were.  A round's table is written to the shared folder, so
-    lineage stays short.  No vertex's neighbours are gathered: each round takes minima (which are
+    Alternates large and small stars until each component is one star: about log n rounds, each of
+    which keeps at most as many edges as there were.  A round's table is written to the shared folder,
+    so lineage stays short.  No vertex's neighbours are gathered: each round takes minima (which are
     combined before they are shuffled) and joins them back.
     """
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    while True:
+    while not _settled(now):
         now = stored(_star(_star(now, large=True), large=False))
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if seen == mark or not seen["n"]:
-            return now
-        mark = seen
+    return now

@@ -37,6 +37,8 @@ from gneiss.llm.scratch import stored
 
 #: A shingle in this many documents is frequent; the table of frequent shingles has a fixed size.
 FREQUENT, FREQUENT_KEPT = 50, 1 << 16
+#: Boundaries up to 40 are tried; sets beyond this size cost much the same under each.
+SIZES = 64
 
 
 class Plan:
@@ -135,7 +137,7 @@ def set_keys(s: np.ndarray, plan: Plan, frequent: np.ndarray) -> np.ndarray:
 
 
 def _statistics(texts: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Frequent shingles (a table of fixed size) and how many sets there are of each size, over all texts."""
+    """Frequent shingles (a table of fixed size) and how many sets there are of each small size, over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, tally, sizes = arrays.Powers(), Tally(), Tally()
@@ -153,7 +155,8 @@ def _statistics(texts: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
             for _, data, offsets in arrays.chunks(b.column(0)):
                 own = sets_of(data, offsets, k, powers)
                 tally.add(np.concatenate(own).view("int64"))
-                sizes.add(np.array([len(s) for s in own], "int64"))
+                few = np.array([len(s) for s in own], "int64")
+                sizes.add(few[few <= SIZES])
                 if tally.full:
                     yield flush()
         yield flush()
