@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from gneiss.llm.arrays import per_process
 
 NONE = -1
+#: Rows whose results a worker holds at once.
+STEP = 128
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -257,17 +259,15 @@ def code(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = per_process(("bpe", rank_file, limit), lambda: coders(rank_file, limit))
         split = regex.compile(pattern)
-        for batch in batches:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
+        for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encoder.encode(split.findall(text.as_py() or ""))
                 decoded = decoder.text(ids)
                 row = (i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 rows.append((*row, ids.astype("int32"), decoded) if with_ids else row)
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names[: len(columns)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(work, schema)
