@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.scratch import stored
+from gneiss.llm.scratch import discard, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -42,5 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _settled(now):
-        now = stored(_star(_star(now, large=True), large=False))
+        before, now = now, stored(_star(_star(now, large=True), large=False))
+        discard(before)
     return now

@@ -23,4 +23,13 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     path = folder(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` returned, once nothing will read it again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

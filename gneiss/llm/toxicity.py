@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import arrays, labelled
-from gneiss.llm.scratch import stored
+from gneiss.llm.scratch import discard, stored
 
 #: Identity terms that may stand for each other in a sentence; a parameter of ``train``.
 IDENTITY_TERMS = (
@@ -140,6 +140,7 @@ def train(
     total = drawn.agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
     n, pos = total["n"], total["pos"] or 0
     if not n:
+        discard(drawn)
         return ToxicityModel(np.empty(0, "uint64"), np.empty(0), 0.0)
     share = pos / n
     counts = drawn.select(F.explode("keys").alias("key"), "label").groupBy("key").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
@@ -178,6 +179,7 @@ def train(
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(left, kind), pa.array(right, kind)], ["kind", "a", "b"])
 
     got = drawn.mapInArrow(choose, "kind int, a array<long>, b array<long>").toPandas()
+    discard(drawn)
     # Order of arrival must not matter.
     rows = sorted((int(k), tuple(a), tuple(b) if k == 2 else ()) for k, a, b in zip(got["kind"], got["a"], got["b"], strict=True))
     as_array = lambda x: np.array(x, int)
