@@ -8,8 +8,9 @@ exclusion).  At the end stand all bytes not excluded yet, alike.  Every text end
 UTF-8 does not use, so the probabilities of all texts sum to one.
 
 Counts are gathered by Spark.  What every task needs is bounded: contexts of up to two bytes have
-2**24 cells at most, of longer ones the trie keeps the ``max_contexts`` most frequent, and of words
-the ``max_words`` most frequent are looked up in place.  All other words are counted by a join.
+2**24 cells at most, the ``max_contexts`` most frequent of longer ones are scored in place, as are
+contexts never seen (2**24 bits tell which were), and of words the ``max_words`` most frequent are
+looked up in place.  All other words and contexts are met by a join with their counts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,10 +104,14 @@ def _counts(training: DataFrame) -> DataFrame:
 class Trie:
     """Contexts of each length with the bytes that follow; costs are log10 probabilities."""
 
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray]):
-        """``keys[o]``: sorted context of o bytes, then the byte, as one number; ``counts[o]`` beside it."""
-        self.keys, self.counts, self.memo = keys, counts, {}
+    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], seen: np.ndarray | None = None):
+        """``keys[o]``: sorted context of o bytes, then the byte, as one number; ``counts[o]`` beside it.
+
+        ``seen`` has a bit for each longest context of the training texts, where the trie does not hold them all.
+        """
+        self.keys, self.counts, self.seen, self.memo = keys, counts, seen, {}
         k, c = keys[ORDER], counts[ORDER]
+        self.held = np.unique(k >> 8)
         if len(k):
             edge = np.flatnonzero(np.concatenate(([True], k[1:] >> 8 != k[:-1] >> 8)))
             total = np.add.reduceat(c, edge) + np.diff(np.append(edge, len(k)))
@@ -113,13 +119,25 @@ class Trie:
         else:
             self.known = np.empty(0)
 
-    def cost(self, gram: int) -> float:
-        """By escapes from the longest context that the trie holds."""
+    def elsewhere(self, unique: np.ndarray) -> np.ndarray:
+        """Which grams have a context that was seen, but is not in the trie."""
+        if self.seen is None:
+            return np.zeros(len(unique), bool)
+        context = unique >> 8
+        out = (self.seen[context >> 3] >> (context & 7)) & 1 == 1
+        if len(self.held):
+            out &= self.held[np.minimum(np.searchsorted(self.held, context), len(self.held) - 1)] != context
+        return out
+
+    def cost(self, gram: int, longest: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+        """By escapes from the longest context that the trie holds, or from ``longest``: bytes and counts of one that it does not hold."""
         byte, out, excluded = gram & 0xFF, 0.0, np.zeros(256, bool)
         for o in range(ORDER, -1, -1):
             context = (gram >> 8) & ((1 << 8 * o) - 1)
             lo, hi = np.searchsorted(self.keys[o], (context << 8, (context + 1) << 8))
             after, n = (self.keys[o][lo:hi] & 0xFF).astype(int), self.counts[o][lo:hi]
+            if o == ORDER and longest is not None:
+                after, n = longest
             free = ~excluded[after]
             after, n = after[free], n[free]
             if not len(after):
@@ -150,11 +168,19 @@ class Trie:
             out[i] = self.memo[g]
         return out
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+        """log10 probability of each text without the grams that are ``elsewhere``, and these: how often (upper 32 bits) and which."""
         code, begin = grams(data, offsets)
-        unique = np.unique(code)
-        return np.add.reduceat(self.costs(unique.astype("int64"))[np.searchsorted(unique, code)], begin[:-1])
+        unique, at = np.unique(code, return_inverse=True)
+        unique = unique.astype("int64")
+        away = self.elsewhere(unique)
+        costs = np.zeros(len(unique))
+        costs[~away] = self.costs(unique[~away])
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(begin))
+        out = away[at]
+        pairs, n = np.unique(text[out] << 32 | code[out].astype("int64"), return_counts=True)
+        cut = np.searchsorted(pairs >> 32, np.arange(len(offsets))).astype("int32")
+        return np.add.reduceat(costs[at], begin[:-1]), pa.ListArray.from_arrays(pa.array(cut), pa.array(n.astype("int64") << 32 | pairs & 0xFFFFFFFF))
 
 
 def _trie(counted: DataFrame, max_contexts: int) -> Trie:
@@ -166,10 +192,42 @@ def _trie(counted: DataFrame, max_contexts: int) -> Trie:
         u, at = np.unique(k & ((1 << 8 * (o + 1)) - 1), return_inverse=True)
         keys.append(u)
         counts.append(np.bincount(at, n, len(u)))
-    context = F.shiftright("key", 8)
-    top = found.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(max_contexts)
-    high = found.withColumn("context", context).join(top, "context", "left_semi").select("key", "n").toPandas().sort_values("key")
-    return Trie([*keys, high["key"].to_numpy("int64")], [*counts, high["n"].to_numpy("float64")])
+    found = found.withColumn("context", F.shiftright("key", 8))
+    # One context more than are kept tells whether any are left.
+    top = found.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(max_contexts + 1).toPandas()["context"]
+    rest = len(top) > max_contexts
+    kept = found.sparkSession.createDataFrame([(int(c),) for c in top[:max_contexts]], "context long")
+    high = (found.join(F.broadcast(kept), "context", "left_semi") if rest else found).select("key", "n").toPandas().sort_values("key")
+    keys.append(high["key"].to_numpy("int64"))
+    counts.append(high["n"].to_numpy("float64"))
+    return Trie(keys, counts, _seen(found) if rest else None)
+
+
+def _seen(found: DataFrame) -> np.ndarray:
+    """A bit for each context, gathered in Spark to 512 bitmaps of 32,768 bits; their functions count places from 1."""
+    place = F.col("context") + 1
+    bits = np.zeros((512, 4096), "uint8")
+    for r in found.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+        bits[r["at"] - 1] = np.frombuffer(r["bits"], "uint8")
+    return bits.ravel()
+
+
+def _costs(wanted: DataFrame, counted: DataFrame, trie: Broadcast) -> DataFrame:
+    """``key, cost`` of the grams ``wanted``, whose contexts the trie does not hold: from all that followed their contexts (at most 256 bytes)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, after in zip(b.column("key").to_pylist(), b.column("after")):
+                followed = after.values.to_numpy()
+                out.append(trie.value.cost(key, (followed & 0xFF, followed >> 8)))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.float64())], ["key", "cost"])
+
+    context = F.shiftright("key", 8).alias("context")
+    wanted = wanted.select("key").distinct().select("key", context)
+    followed = counted.filter(F.col("kind") == GRAMS).select(context, (F.shiftleft("n", 8) + F.col("key").bitwiseAND(0xFF)).alias("after"))
+    followed = followed.join(wanted.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.collect_list("after").alias("after"))
+    return wanted.join(followed, "context").select("key", "after").mapInArrow(work, "key long, cost double")
 
 
 def score(
@@ -193,13 +251,15 @@ def score(
     total = counted.filter(F.col("kind") == WORDS).agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     train_tokens = (total["n"] or 0) + ends
     distinct = total["v"] + (1 if ends else 0)
-    trie = spark.sparkContext.broadcast(_trie(counted, max_contexts))
+    model = _trie(counted, max_contexts)
+    whole = model.seen is None
+    trie = spark.sparkContext.broadcast(model)
     words = counted.filter(F.col("kind") == WORDS).select("key", "n")
     top = words.orderBy(F.desc("n"), "key").limit(max_words).toPandas().sort_values("key")
     frequent = spark.sparkContext.broadcast((top["key"].to_numpy("int64"), top["n"].to_numpy("int64")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, model, (common, n_common) = arrays.Powers(), trie.value, frequent.value
+        powers, (common, n_common) = arrays.Powers(), frequent.value
         for b in batches:
             for row, data, offsets in arrays.chunks(b.column("text")):
                 starts, ends, first = arrays.words(data, offsets)
@@ -212,23 +272,29 @@ def score(
                 known = np.bincount(text[hit], minlength=n)
                 rest, rest_text = h[~hit], text[~hit]
                 cut = np.searchsorted(rest_text, np.arange(n + 1)).astype("int32")
+                score, away = trie.value.score(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(c).slice(row, n) for c in ("doc_id", "held_out", "place")), pa.array(np.diff(first) + 1), pa.array(known.astype("int64")),
-                        pa.array(logs.astype("float64")), pa.array(model.score(data, offsets)), pa.ListArray.from_arrays(pa.array(cut), pa.array(rest)),
+                        pa.array(logs.astype("float64")), pa.array(score), pa.ListArray.from_arrays(pa.array(cut), pa.array(rest)), away,
                     ],
-                    ["doc_id", "held_out", "place", "n_tokens", "known", "logs", "score", "rest"],
+                    ["doc_id", "held_out", "place", "n_tokens", "known", "logs", "score", "rest", "away"],
                 )
 
-    schema = "doc_id long, held_out boolean, place long, n_tokens long, known long, logs double, score double, rest array<long>"
+    schema = "doc_id long, held_out boolean, place long, n_tokens long, known long, logs double, score double, rest array<long>, away array<long>"
     # Stored: the texts are read once for this, and places stay as they are.
     found = stored(rows.withColumn("place", F.monotonically_increasing_id()).mapInArrow(work, schema))
     rare = found.select("place", F.explode("rest").alias("key")).groupBy("place", "key").agg(F.count("*").alias("tf"))
-    matched = rare.join(words, "key").groupBy("place").agg(
-        F.sum("tf").alias("tf"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("more")
-    )
+    part = rare.join(words, "key").select("place", "tf", (F.col("tf") * F.log10(F.col("n") + 1.0)).alias("more"), F.lit(0.0).alias("cost"))
+    if not whole:
+        away = found.select("place", F.explode("away").alias("away"))
+        away = away.select("place", F.col("away").bitwiseAND(0xFFFFFFFF).alias("key"), F.shiftright("away", 32).alias("tf"))
+        costs = _costs(away, counted, trie)
+        part = part.unionByName(away.join(costs, "key").select("place", F.lit(0).cast("long").alias("tf"), F.lit(0.0).alias("more"), F.col("tf") * F.col("cost")).toDF(*part.columns))
+    matched = part.groupBy("place").agg(F.sum("tf").alias("tf"), F.sum("more").alias("more"), F.sum("cost").alias("cost"))
     base = F.col("logs") + F.coalesce("more", F.lit(0.0)) + float(np.log10(ends + 1.0)) - F.col("n_tokens") * float(np.log10(train_tokens + distinct + 1.0))
-    return found.drop("rest").join(matched, "place", "left").select(
+    return found.drop("rest", "away").join(matched, "place", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tf", F.lit(0)) + (1 if ends else 0)).alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (F.col("score") + F.coalesce("cost", F.lit(0.0))).alias("score"),
     )

@@ -66,6 +66,18 @@ def test_against_plain_python(spark, max_words):
     assert got == want
 
 
+@pytest.mark.parametrize("max_contexts", [0, 4, 1000])
+def test_rare_contexts_keep_their_counts(spark, max_contexts):
+    rows = ROWS + [(200 + i, t) for i, t in enumerate(["жук жук", "жук ел", "猫が好き", "the жук 猫が", "猫が好き mat."] * 3)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    logp = plain_ppm([t for i, t in rows if not is_held(i)])
+    want = Counter()
+    for i, t in rows:
+        b = b"\0\0\0" + (t or "").encode() + b"\xff"
+        want[i, round(sum(logp(b[j - 3 : j], b[j]) for j in range(3, len(b))), 6)] += 1
+    assert Counter((r.doc_id, round(r.score, 6)) for r in ppm.score(docs, max_contexts=max_contexts).collect()) == want
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     data = rng.choice(np.frombuffer(b"abc ", "uint8"), 400)
