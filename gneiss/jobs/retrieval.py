@@ -68,11 +68,9 @@ def retrieval_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_ref_promotion(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a benchmark item word for word come first; candidates share a term with it, so no pair is tried without cause."""
+    """Documents that hold a benchmark item word for word come first, all of them, ranked or not; the ten best by BM25 follow."""
     ranked = R.bm25(documents(spark, sf), items(spark, sf), 10)
-    texts = ranked.join(documents(spark, sf), "doc_id").join(items(spark, sf).withColumnRenamed("text", "item"), "query_id")
-    named = texts.filter("contains(text, item)").select("query_id", "doc_id", F.lit(0).alias("priority"))
-    out = R.promote(ranked, named)
+    out = R.promote(ranked, R.holders(documents(spark, sf), items(spark, sf)).withColumn("priority", F.lit(0)))
     return out.select("query_id", "doc_id", "origin", "rank", F.round("score", 6).alias("score"))
 
 

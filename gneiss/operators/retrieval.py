@@ -112,6 +112,25 @@ def normalised(fused: DataFrame, caps: DataFrame, k: int) -> DataFrame:
     return top(scored, k)
 
 
+def holders(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, doc_id``: all documents whose text holds the query's text word for word.
+
+    ``docs``: doc_id, text; ``queries``: query_id, text; empty queries are held by none.  Whoever holds a
+    text has each of its terms but the first and last, which may be parts of longer ones there.  The one
+    in fewest documents leads to the candidates; queries without such a term try every document.
+    """
+    asked = queries.filter("text <> ''").select("query_id", F.col("text").alias("item"))
+    inner = terms(F.regexp_replace(F.lower("item"), f"^{TERM}|{TERM}$", ""))
+    inner = asked.select("query_id", F.explode_outer(F.array_distinct(inner)).alias("term"))
+    found = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(inner.select("term").distinct(), "term", "left_semi")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    rarity = F.struct(F.coalesce("df", F.lit(0)), "term")
+    keys = inner.filter("term is not null").join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", rarity).alias("term"))
+    tried = found.join(keys, "term").select("query_id", "doc_id").distinct().join(docs, "doc_id").join(asked, "query_id")
+    others = inner.filter("term is null").join(asked, "query_id").select("query_id", "item").crossJoin(docs)
+    return tried.unionByName(others).filter("contains(text, item)").select("query_id", "doc_id").distinct()
+
+
 def promote(ranked: DataFrame, named: DataFrame) -> DataFrame:
     """Put the documents a query names (``query_id, doc_id, priority``) first, each with at least score 1."""
     high = named.join(ranked.groupBy("query_id").agg(F.max("score").alias("high")), "query_id", "left")

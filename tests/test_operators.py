@@ -169,3 +169,19 @@ def test_answers(spark):
     index = spark.createDataFrame([("A-27",), ("A-27(c)",)], "ref string")
     found = {r.ref: (r.resolved, r.depth) for r in answers.resolve(cited, index).collect()}
     assert found == {"A-27(c)(1)": ("A-27(c)", 1), "A-27(d)": ("A-27", 1), "A-2": (None, None), None: (None, None)}
+
+
+def test_documents_that_hold_an_item_are_promoted_beyond_the_ranking(spark, tmp_path):
+    from gneiss import catalog
+
+    items = [(1, "quick brown fox"), (2, "fox"), (3, "жук ел"), (4, ""), (5, "no such text at all"), (6, "a brown")]
+    docs = [(i, "quick fox brown " * 3) for i in range(15)]
+    docs += [(100 + i, "the lazy dog sleeps " * 200 + f"aquick brown foxes {i}") for i in range(15)] + [(200, "жук ел сыр"), (201, None), (202, "a\nbrown a brown")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = catalog.QUERIES["exact_ref_promotion"](spark, str(tmp_path)).collect()
+    got = sorted((r.query_id, r.doc_id) for r in out if r.origin == "exact_ref")
+    assert got == sorted((q, d) for q, item in items for d, text in docs if item and item in (text or ""))
+    for q in {q for q, _ in got}:
+        mine = sorted((r.rank, r.origin) for r in out if r.query_id == q)
+        assert [r for r, _ in mine] == list(range(1, len(mine) + 1)) and [o for _, o in mine] == sorted(o for _, o in mine)
