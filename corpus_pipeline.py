@@ -12,15 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from gneiss.llm.scratch import stored
+from gneiss.llm.scratch import PLACE, placed, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier predicts as toxic go; all others, null texts too, stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
-    toxic = toxicity.score(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"] == toxic["__toxic"], "left_anti")
+    return toxicity.clean_rows(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +29,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the one with the smallest id stays."""
-    keep = jaccard.join(docs, k=5, num=80, den=100).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
+    rows = placed(docs)
+    keep = jaccard.join(rows, k=5, num=80, den=100, place_col=PLACE).filter("first").select(PLACE)
+    return rows.join(keep, PLACE, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to three rows, or none."""
-    copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    joined = docs.join(copies, docs["doc_id"] == copies["__id"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    rows = placed(docs)
+    copies = mixing.mix(rows, place_col=PLACE).filter("copies > 0").select(PLACE, F.col("copies").alias("__copies"))
+    joined = rows.join(copies, PLACE)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

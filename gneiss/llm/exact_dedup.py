@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.scratch import stored
+from gneiss.llm.scratch import PLACE, placed, stored
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -57,6 +57,21 @@ class DigestIndex:
         self.append(fresh)
 
 
+def _grouped(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str, place: Column) -> DataFrame:
+    """Rows that repeat id and text as one: doc_id, digest, copies, the smallest place, first_id, group_size."""
+    # Repeated (id, text) rows become one row with a count: nothing after this meets ties.
+    # Stored, as the texts would else be digested for the index and again for the result.
+    rows = stored(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), place.cast("long").alias("place"))
+        .groupBy("doc_id", "digest").agg(F.count("*").alias("copies"), F.min("place").alias("place"))
+    )
+    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    index.add(groups)
+    sizes = groups.select("digest", "group_size")
+    kept = index.read().select("digest", F.col("keep_id").alias("first_id")).join(sizes.hint("merge"), "digest")
+    return rows.join(kept.hint("merge"), "digest")
+
+
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -68,18 +83,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     Only the two named columns are read, so other columns may have any names.  An empty
     table gives no rows and leaves the index as it was, apart from creating it.
     """
-    # Repeated (id, text) rows become one row with a count: nothing after this meets ties.
-    # Stored, as the texts would else be digested for the index and again for the result.
-    rows = stored(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
-        .groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
-    )
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    index.add(groups)
-    sizes = groups.select("digest", "group_size")
-    kept = index.read().select("digest", F.col("keep_id").alias("first_id")).join(sizes.hint("merge"), "digest")
-    joined = rows.join(kept.hint("merge"), "digest")
-    return joined.select(
+    return _grouped(docs, index, id_col, text_col, F.lit(None)).select(
         "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("n"),
         F.col("first_id").alias("keep_id"), "group_size", F.col("digest").alias("text_sha256"),
     ).select(
@@ -91,9 +95,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 def kept_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of equal texts the one with the smallest id, unless an earlier batch had it.
 
-    Adding a batch again keeps the same rows, so a retried run loses nothing.  Ids must be
-    unique here (a table of documents); rows with a null id go.
+    Adding a batch again keeps the same rows, so a retried run loses nothing.  Ids may be null or repeat, as in ``deduplicate``.
     """
-    found = deduplicate(docs, index, id_col, text_col).filter("kept")
-    keep = found.select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep, docs[id_col] == keep["__keep"], "left_semi")
+    rows = placed(docs)
+    keep = _grouped(rows, index, id_col, text_col, F.col(PLACE)).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return rows.join(keep.select(F.col("place").alias(PLACE)), PLACE, "left_semi").select(docs.columns)

@@ -208,9 +208,13 @@ def _linked(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, right:
 
 def join(
     docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block: int = 256, id_col: str = "doc_id", text_col: str = "text",
+    place_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, n_links.
 
+    With ``place_col``, a column of distinct numbers, also that column and ``first``: whether the row is the one
+    of its component with the smallest id, of equal ids the one with the smallest number.
+
     Words are runs of other than white space, lower-cased (A-Z); a set holds a text's distinct ``k``-word
     shingles, a shorter text's whole sequence counting as one.  Texts are linked when ``den *
     intersection >= num * union``.  ``component_id`` is the smallest id reachable by links, itself
@@ -222,7 +226,7 @@ def join(
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *([F.col(place_col).alias("place")] if place_col else []))
     frequent, sizes = _statistics(rows.select("text"), k)
     plan = cheapest_plan(num, den, sizes)
     sent = spark.sparkContext.broadcast(frequent)
@@ -246,7 +250,8 @@ def join(
 
     schema = "doc_id long, text_hash long, place long, n long, d1 long, d2 long, keys array<long>"
     # The place names a row; it is fixed once it is written.
-    found = stored(rows.withColumn("place", F.monotonically_increasing_id()).mapInArrow(describe, schema))
+    named = rows if place_col else rows.withColumn("place", F.monotonically_increasing_id())
+    found = stored(named.mapInArrow(describe, schema))
     vertices = found.select("doc_id", "text_hash", "place", "n", "d1", "d2")
     equal = vertices.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("place").alias("vertex"), F.count("*").alias("copies"))
     # Groups: sets with a key in common, joined up.
@@ -317,6 +322,8 @@ def join(
     links = linked.groupBy(F.col("u").alias("vertex")).agg(F.sum("links").alias("links"))
     known = equal.join(roots.select(F.col("u").alias("vertex"), F.col("v").alias("root")), "vertex", "left").join(links, "vertex", "left")
     known = known.select("n", "d1", "d2", F.coalesce("root", "vertex").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    placed = stored(vertices.join(known, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("root", "place").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    placed = stored(vertices.join(known, ["n", "d1", "d2"], "left").select("doc_id", "n", *(["place"] if place_col else []), F.coalesce("root", "place").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    first = F.min_by("place", F.struct(F.col("doc_id").isNull(), "doc_id", "place"))
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), *([first.alias("first")] if place_col else []))
+    more = [F.col("place").alias(place_col), (F.col("place") == F.col("first")).alias("first")] if place_col else []
+    return placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", *more)

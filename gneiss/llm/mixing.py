@@ -100,7 +100,7 @@ def _reduce(rows: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    fan_in: int = 128, seed: int = 20240229,
+    fan_in: int = 128, seed: int = 20240229, place_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken.
 
@@ -108,6 +108,7 @@ def mix(
     most 3.  Documents without words are never taken, nor is anything where no text has words.
     A null source is a source of its own.  A null id is an id like any other.  Rows that repeat
     are separate rows.  An empty table gives no rows.  Only the named columns are read.
+    With ``place_col``, a column of distinct numbers, that column comes too.
 
     Documents are dealt to blocks of about ``fan_in`` by a hash of id and size within a source, so a source with a third of all rows is spread like the others.
     """
@@ -115,7 +116,7 @@ def mix(
     sized = stored(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-            word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("place"),
+            word_count(F.col(text_col)).alias("size"), (F.col(place_col) if place_col else F.monotonically_increasing_id()).alias("place"),
         )
     )
     shares = targets(sized)
@@ -153,5 +154,6 @@ def mix(
     extra = taken.filter("part = 1").select("place", F.lit(1).alias("extra"))
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long")
     return base.join(extra, "place", "left").select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        *([F.col("place").alias(place_col)] if place_col else []),
     )

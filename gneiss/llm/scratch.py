@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,6 +29,14 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+PLACE = "__place"
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number that names each row; written, so that it stays as it is whatever reads it again."""
+    return stored(docs.withColumn(PLACE, F.monotonically_increasing_id()))
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``stored`` returned, once nothing will read it again."""
     spark = table.sparkSession

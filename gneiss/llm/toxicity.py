@@ -189,6 +189,20 @@ def train(
     return ToxicityModel(keys, weights, bias)
 
 
+def clean_rows(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score`` does not predict as toxic; each is judged by its own text."""
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = arrays.Powers()
+        for b in batches:
+            for row, data, offsets in arrays.chunks(b.column(at)):
+                y = model.score(data, offsets, powers)
+                yield b.slice(row, len(y)).filter(pa.array(~(y >= threshold)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 

@@ -46,3 +46,25 @@ def test_stages(spark):
     assert Counter(r.doc_id for r in out) == times
     for r in out:
         assert r.ids == library.encode_ordinary(kept[r.doc_id].text)
+
+
+def test_rows_with_null_or_repeated_ids(spark, tmp_path):
+    steps, shape = dict(corpus_pipeline.STAGES), "doc_id long, text string, lang string, source string, n_chars long"
+    spread = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], shape).repartition(3)
+    got = lambda stage, rows: Counter((r.doc_id, r.text) for r in steps[stage](spark, spread(rows), str(tmp_path)).collect())
+
+    labelled = [(i, f"{'vile slur' if i % 2 else 'kind calm'} words {i}") for i in range(120)]
+    spark.createDataFrame([(i, 1, i % 2) for i, _ in labelled], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [(None, "vile slur words"), (None, "kind calm words"), (500, "vile slur words"), (500, "kind calm words"), (500, "kind calm words")]
+    left = got("toxicity", labelled + odd)
+    assert [left[r] for r in odd] == [0, 1, 0, 2, 2]
+
+    unique = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, "alone"), (1, "a  b"), (1, "a b"), (1, "a b"), (1, "other"), (2, "a b"), (None, "a b"), (None, "z"), (None, "z")]
+    exact = got("exact_dedup", rows)
+    assert Counter((i, t.replace("  ", " ")) for i, t in exact.elements()) == Counter([(None, "alone"), (1, "a b"), (1, "other"), (None, "z")])
+    near = got("near_copies", [(None, unique), (None, unique + " more"), (7, "x y"), (7, "x y"), (7, "lone text"), (8, "x y"), (None, "x y")])
+    assert sum(near.values()) == 3 and near[7, "x y"] == near[7, "lone text"] == 1 and sum(near[r] for r in near if r[0] is None) == 1
+    # One source takes each row once.
+    rows = [(None, "one two")] * 2 + [(3, "three four")] * 3 + [(3, "five six")]
+    assert got("mixing", rows) == Counter(rows)
