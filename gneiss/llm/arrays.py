@@ -64,7 +64,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of whole texts of about ``size`` bytes; a longer text is a run of its own. Null is empty."""
     if column.null_count:
         column = column.fill_null("")

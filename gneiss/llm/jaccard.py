@@ -3,24 +3,28 @@
 Two sets of sizes a and b are linked if they share at least c(a, b) elements.
 
 * Light: small sets enumerate their subsets of size c; two linked sets have such a subset in common.
-* Heavy: large sets scan inverted lists.  Lists are kept within groups of sets that can be linked at
-  all: the universe is dealt by hash into more parts than linked sets of a size class can differ
-  in, so linked sets agree on some whole part, and sets that do so meet in a group.
+* Heavy: large sets scan inverted lists.  The universe is dealt by hash into more parts than linked
+  sets of a size class can differ in, so linked sets agree on some whole parts; a list holds the
+  sets that agree on one.
 * The boundary between the two is the size at which the number of keys, over the sizes that
   the table really has, is smallest.
 
-A part that holds only frequent shingles (a passage that many documents share) would bring
-unrelated documents together.  There are some parts to spare, so such parts are left out unless a
-set has more of them than there are to spare; see ``Plan``.
+A list that many sets share (a passage that many documents repeat) says little.  Linked sets agree on more
+parts than are spare, so a set with no more crowded lists than there are to spare leaves these; see
+``candidate_lists``.  Lists with the same members are scanned once.
 
-Equal sets are one vertex throughout.  Groups are cut into blocks and each pair of blocks is one
-unit of work that returns a few numbers per set, never a row per pair.
+Lists are scanned twice.  First with sketches: the parity of a set's elements in each of about as many bits as
+it has elements.  Two sketches differ in no more bits than their sets differ in elements, so no link is lost,
+and nearly all pairs that only share a passage go.  What is left falls into small groups, in which the
+lists of all elements are scanned.
+
+Equal sets are one vertex throughout.  Lists and groups are cut into blocks and each pair of blocks is
+one unit of work that returns a few numbers per set, never a row per pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -32,11 +36,14 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import arrays
 from gneiss.llm.graph import components
-from gneiss.llm.ppm import Tally
-from gneiss.llm.scratch import stored
-
-#: A shingle in this many documents is frequent; the table of frequent shingles has a fixed size.
-FREQUENT, FREQUENT_KEPT = 50, 1 << 16
+from gneiss.llm.scratch import discard, stored
+
+#: A list of more sets than this is crowded.
+CROWDED = 64
+#: Sets of a list that are in one block of it, and elements of a group.
+LIST_BLOCK, GROUP_BLOCK = 2048, 1 << 19
+#: A tag holds a scheme's number above these bits and how many of its keys are to spare in them.
+SPARE = (1 << 28) - 1
 #: Boundaries up to 40 are tried; sets beyond this size cost much the same under each.
 SIZES = 64
 
@@ -50,6 +57,7 @@ class Plan:
         self.first = max(1, -(-num * (light + 1) // den))
         self.classes: list[tuple[int, int, int]] = []  # smallest and largest size, parts
         self.spare: list[int] = []
+        self.subsets: dict[int, tuple[tuple[int, int, int], ...]] = {}
 
     def common(self, a: int, b: int) -> int:
         """Elements that linked sets of these sizes share at least."""
@@ -71,16 +79,17 @@ class Plan:
             lo, hi = (lo, mid) if self.classes[mid][1] >= n else (mid + 1, hi)
         return lo
 
-    @lru_cache(maxsize=None)  # noqa: B019
     def subset_sizes(self, n: int) -> tuple[tuple[int, int, int], ...]:
         """(smaller size, larger size, subset size) of each pair of sizes for which a set of n elements enumerates subsets."""
-        out = []
-        for m in range(-(-self.num * n // self.den), min(n * self.den // self.num, self.light) + 1):
-            a, b = min(m, n), max(m, n)
-            c = self.common(a, b)
-            if not (a == b == c):  # equal sets are one vertex already
-                out.append((a, b, c))
-        return tuple(out)
+        if n not in self.subsets:
+            out = []
+            for m in range(-(-self.num * n // self.den), min(n * self.den // self.num, self.light) + 1):
+                a, b = min(m, n), max(m, n)
+                c = self.common(a, b)
+                if not (a == b == c):  # equal sets are one vertex already
+                    out.append((a, b, c))
+            self.subsets[n] = tuple(out)
+        return self.subsets[n]
 
     def light_keys(self, n: int) -> int:
         return sum(comb(n, c) for _, _, c in self.subset_sizes(n)) if n <= self.light else 0
@@ -105,68 +114,186 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, k: int, powers: arrays.Powers
     return [np.unique(s[i:j]) for i, j in zip(begin[:-1], begin[1:], strict=True)]
 
 
-def set_keys(s: np.ndarray, plan: Plan, frequent: np.ndarray) -> np.ndarray:
-    """The set's keys: linked sets that differ have one in common."""
+def set_keys(s: np.ndarray, plan: Plan) -> list[tuple[np.ndarray, int]]:
+    """The set's keys by scheme, each with how many are to spare: linked sets that differ have more than that in common in one scheme."""
     n, out = len(s), []
     if not n:
-        return np.empty(0, "uint64")
+        return out
     m = arrays.mixed(s + np.uint64(0x5EED))
     total = m.sum(dtype="uint64")
     if n <= plan.light:
+        keys = []
         for a, b, c in plan.subset_sizes(n):
             left_out = np.array(list(combinations(range(n), n - c)), int).reshape(comb(n, c), n - c)
             sums = total - m[left_out].sum(axis=1, dtype="uint64")
-            out.append(arrays.mixed(sums + np.uint64(((a << 24) + b) * 2 + 1)))
+            keys.append(arrays.mixed(sums + np.uint64(((a << 24) + b) * 2 + 1)))
+        if keys:
+            out.append((np.unique(np.concatenate(keys)), 0))
     if n >= plan.first:
-        rare = np.ones(n, bool)
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-            rare = frequent[at] != s
         j = plan.class_of(n)
         for scheme in {j, max(0, j - 1)}:
             parts = plan.classes[scheme][2]
             part = ((m >> np.uint64(16)) % np.uint64(parts)).astype(int)
             sums = np.zeros(parts, "uint64")
             np.add.at(sums, part, m)
-            strong = np.zeros(parts, bool)
-            strong[part[rare]] = True
-            key = arrays.mixed(sums + arrays.mixed(np.uint64(scheme << 32) + np.arange(parts, dtype="uint64") + np.uint64(1)))
-            # Linked sets agree on more parts than are spare, so leaving out as many loses none of them.
-            out.append(key[strong] if parts - strong.sum() <= plan.spare[scheme] else key)
-    return np.unique(np.concatenate(out)) if out else np.empty(0, "uint64")
+            out.append((arrays.mixed(sums + arrays.mixed(np.uint64(scheme << 32) + np.arange(parts, dtype="uint64") + np.uint64(1))), plan.spare[scheme]))
+    return out
 
 
-def _statistics(texts: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Frequent shingles (a table of fixed size) and how many sets there are of each small size, over all texts."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the set's elements in a power of two of bits, at least one for each element, as 64-bit words."""
+    words = 1 << max(0, (len(s) - 1).bit_length() - 6)
+    bit = arrays.mixed(s + np.uint64(0xB17))
+    counts = np.bincount((bit & np.uint64(64 * words - 1)).astype(int), minlength=64 * words)
+    return np.packbits((counts & 1).astype("uint8"), bitorder="little").view("<u8")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, tally, sizes = arrays.Powers(), Tally(), Tally()
 
-        def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, "int32")), pa.array(keys), pa.array(n)], ["kind", "key", "n"])
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches as if they had been made with fewer words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def alike(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sketches, row by row, may be of linked sets: they differ in no more bits than linked sets of these sizes in elements."""
+    differ = np.bitwise_count(left ^ right).sum(axis=-1, dtype="int64")
+    both = n_left + n_right
+    # Linked sets share at least num * both / (num + den) elements.
+    return (differ <= both - 2 * -(-num * both // (num + den))) & (num * np.maximum(n_left, n_right) <= den * np.minimum(n_left, n_right))
+
 
-        def flush() -> pa.RecordBatch:
-            keys, n = tally.take()
-            # What is rare here may be frequent overall only if it is rare nearly everywhere; the table is
-            # a matter of speed alone, so such shingles may stay out of it.
-            return out(0, keys[n > 2], n[n > 2])
+def _sizes(texts: DataFrame, k: int) -> dict[int, int]:
+    """How many texts there are of each small number of shingles, repeats included: near enough to the set sizes to weigh plans."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(SIZES + 1, "int64")
         for b in batches:
             for _, data, offsets in arrays.chunks(b.column(0)):
-                own = sets_of(data, offsets, k, powers)
-                tally.add(np.concatenate(own).view("int64"))
-                few = np.array([len(s) for s in own], "int64")
-                sizes.add(few[few <= SIZES])
-                if tally.full:
-                    yield flush()
-        yield flush()
-        yield out(1, *sizes.take())
+                words = np.diff(arrays.words(data, offsets)[2])
+                n = np.where(words >= k, words - k + 1, words > 0)
+                found += np.bincount(n[n <= SIZES], minlength=SIZES + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZES + 1)), pa.array(found)], ["size", "n"])
+
+    found = texts.mapInArrow(count, "size long, n long").groupBy("size").agg(F.sum("n").alias("n"))
+    return {r["size"]: r["n"] for r in found.collect()}  # SIZES rows
 
-    found = texts.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    found = stored(found.filter(f"kind = 1 or n >= {FREQUENT}"))
-    top = found.filter("kind = 0").orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT).select("key").toPandas()
-    sizes = {r["key"]: r["n"] for r in found.filter("kind = 1").collect()}
-    return np.sort(top["key"].to_numpy("int64").view("uint64")), sizes
+
+def candidate_lists(postings: DataFrame) -> DataFrame:
+    """``key, d1``: the lists to be scanned, of two sets or more, no two with the same members.
+
+    ``postings``: key, d1 (the set), tag (its scheme and how many keys of it are to spare).  A crowded list is
+    crowded for all its sets.  A set with no more crowded lists in a scheme than are spare leaves them: each
+    set that it is linked with also shares a list with it that is not crowded, and nobody leaves those.
+    """
+    # One shuffle of the postings: what a list is like goes to its rows by a window, which spills where a list is long.
+    over = W.partitionBy("key")
+    met = postings.withColumns({"m": F.count("*").over(over), "lo": F.min("d1").over(over), "hi": F.max("d1").over(over)}).filter("lo <> hi")
+    shared = met.groupBy("key", "d1", "tag").agg(F.max("m").alias("m"))
+    crowded = F.sum((F.col("m") > CROWDED).cast("int")).over(W.partitionBy("d1", "tag"))
+    kept = stored(shared.withColumn("crowded", crowded).filter((F.col("m") <= CROWDED) | (F.col("crowded") > F.col("tag").bitwiseAND(SPARE))).select("key", "d1"))
+    # Lists with the same members have the same digests.
+    members = kept.groupBy("key").agg(F.count("*").alias("m"), *(F.bit_xor(F.xxhash64(F.lit(i), "d1")).alias(f"h{i}") for i in (1, 2))).filter("m > 1")
+    chosen = members.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    out = stored(kept.join(chosen, "key"))
+    discard(kept)
+    return out
+
+
+def _alike_in_lists(lists: DataFrame, vertices: DataFrame, num: int, den: int) -> DataFrame:
+    """``u, v``: a forest over the sets of each list whose sketches may be of linked sets.
+
+    ``lists``: key, d1; ``vertices``: vertex, n, d1, sketch.
+    """
+    known = vertices.join(lists.select("d1").distinct(), "d1", "left_semi")
+    members = lists.join(known, "d1").withColumn("own", F.pmod(F.xxhash64("vertex"), F.lit(1 << 30)))
+    sized = members.groupBy("key").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sized, "key").withColumn("own", F.pmod("own", F.col("blocks")).cast("int"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vertex", "n", "sketch"
+    )
+    parts = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "vertex")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # The batch's last unit may go on in the next.
+            unit = np.stack([b.column(c).to_numpy().astype("int64") for c in ("key", "i", "j")])
+            last = np.flatnonzero((unit != unit[:, -1:]).any(axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if open_ and (cut or tuple(unit[:, 0]) != open_[0][0]):
+                ended = [x for _, x in open_] + ([b.slice(0, cut)] if cut else [])
+                yield from _forests(ended, num, den)
+                open_ = []
+            elif cut:
+                yield from _forests([b.slice(0, cut)], num, den)
+            open_.append((tuple(unit[:, -1]), b.slice(cut)))
+        if open_:
+            yield from _forests([x for _, x in open_], num, den)
+
+    return parts.mapInArrow(scan, "u long, v long").distinct()
+
+
+def _forests(batches: list[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Edges of the forest of each unit that the rows hold."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    unit = np.stack([table.column(c).to_numpy().astype("int64") for c in ("key", "i", "j")])
+    first = np.flatnonzero(np.concatenate(([True], (unit[:, 1:] != unit[:, :-1]).any(axis=0))))
+    size = np.diff(np.append(first, table.num_rows))
+    own, vertex, n = (table.column(c).to_numpy() for c in ("own", "vertex", "n"))
+    column = table.column("sketch").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    begin = np.frombuffer(column.buffers()[1], "int64")[column.offset : column.offset + len(column) + 1] // 8
+    flat = np.frombuffer(column.buffers()[2] or b"", "<u8")
+    words = np.diff(begin)
+    u, v = [], []
+    # Short lists, all of a length at once: their pairs are a few each and stay in this task.
+    for m in np.unique(size[(size > 1) & (size <= 16)]):
+        at = first[size == m]
+        a, b = (np.concatenate([at + x for x in side]) for side in zip(*combinations(range(m), 2), strict=True))
+        low = np.minimum(words[a], words[b])
+        for w in np.unique(low):
+            for wa, wb in {(w, w), (w, 2 * w), (2 * w, w)}:
+                pick = np.flatnonzero((words[a] == wa) & (words[b] == wb))
+                for p in np.array_split(pick, 1 + len(pick) * int(w) // (1 << 20)):
+                    x, y = a[p], b[p]
+                    good = alike(
+                        folded(flat[begin[x, None] + np.arange(wa)], w), n[x], folded(flat[begin[y, None] + np.arange(wb)], w), n[y], num, den
+                    )
+                    u.append(vertex[y[good]])
+                    v.append(vertex[x[good]])
+    for f, m in zip(first[size > 16], size[size > 16], strict=True):
+        i, j = unit[1, f], unit[2, f]
+        label = np.arange(m)
+        at = np.arange(f, f + m)
+        by_words = {w: np.flatnonzero(words[at] == w) for w in np.unique(words[at])}
+        rows = {w: flat[begin[at[p], None] + np.arange(w)] for w, p in by_words.items()}
+        down = {(w, x): folded(rows[w], x) for w in rows for x in rows if x <= w <= 2 * x}
+        for x in np.flatnonzero(own[at] == i):
+            w = words[at[x]]
+            for other, p in by_words.items():
+                if not w <= 2 * other or not other <= 2 * w:
+                    continue
+                least = min(w, other)
+                p_own = p if i != j else p[p > x]
+                p_own = p_own[own[at[p_own]] == j]
+                if not len(p_own):
+                    continue
+                mine = folded(rows[w][np.searchsorted(by_words[w], x)][None, :], least)
+                good = alike(mine, n[at[x]], down[other, least][np.searchsorted(p, p_own)], n[at[p_own]], num, den)
+                near = label[p_own[good]]
+                near = near[near != label[x]]
+                if len(near):
+                    label[np.isin(label, near) | (label == label[x])] = min(near.min(), label[x])
+        moved = np.flatnonzero(label != np.arange(m))
+        u.append(vertex[at[moved]])
+        v.append(vertex[at[label[moved]]])
+    if u:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
 
 def _linked(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +311,6 @@ def _linked(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, right:
     begin = np.concatenate(([0], np.cumsum(size)))
     root, links = np.arange(len(sets)), np.zeros(len(sets), "int64")
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     for x in np.flatnonzero(left):
         lo, hi = edge[at[begin[x] : begin[x + 1]]], edge[at[begin[x] : begin[x + 1]] + 1]
         width = hi - lo
@@ -198,16 +319,17 @@ def _linked(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, right:
         good = (den * shared >= num * (size + size[x] - shared)) & right
         # Where both sides are the same block, each pair is seen from both of its sets.
         good &= ~left | (np.arange(len(sets)) > x)
-        for y in np.flatnonzero(good):
-            links[x] += weight[y]
-            links[y] += weight[x]
-            a, b = find(x), find(y)
-            root[max(a, b)] = min(a, b)
-    return np.array([find(x) for x in range(len(sets))]), links
+        if good.any():
+            links[x] += weight[good].sum()
+            links[good] += weight[x]
+            near = np.append(root[good], root[x])
+            if (near != near[0]).any():
+                root[np.isin(root, near)] = near.min()
+    return root, links
 
 
 def join(
-    docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block: int = 256, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block: int = GROUP_BLOCK, id_col: str = "doc_id", text_col: str = "text",
     place_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, n_links.
@@ -227,48 +349,64 @@ def join(
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *([F.col(place_col).alias("place")] if place_col else []))
-    frequent, sizes = _statistics(rows.select("text"), k)
-    plan = cheapest_plan(num, den, sizes)
-    sent = spark.sparkContext.broadcast(frequent)
+    plan = cheapest_plan(num, den, _sizes(rows.select("text"), k))
+
+    def digests(own: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.array([arrays.mixed(s ^ np.uint64(x)).sum(dtype="uint64") for s in own], "uint64").view("int64") for x in (1, 2)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, common = arrays.Powers(), sent.value
+        powers = arrays.Powers()
         for b in batches:
             for row, data, offsets in arrays.chunks(b.column("text")):
                 own = sets_of(data, offsets, k, powers)
-                digest = [[arrays.mixed(s ^ np.uint64(x)).sum(dtype="uint64") for s in own] for x in (1, 2)]
-                keys = [set_keys(s, plan, common) for s in own]
-                cut = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype("int32")
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(c).slice(row, len(own)) for c in ("doc_id", "text_hash", "place")), pa.array([len(s) for s in own], pa.int64()),
-                        *(pa.array(np.array(d, "uint64").view("int64")) for d in digest),
-                        pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(keys).view("int64"))),
+                        *map(pa.array, digests(own)), pa.array([sketch(s).tobytes() for s in own], pa.binary()),
                     ],
-                    ["doc_id", "text_hash", "place", "n", "d1", "d2", "keys"],
+                    ["doc_id", "text_hash", "place", "n", "d1", "d2", "sketch"],
                 )
 
-    schema = "doc_id long, text_hash long, place long, n long, d1 long, d2 long, keys array<long>"
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, met = arrays.Powers(), set()
+        for b in batches:
+            for _, data, offsets in arrays.chunks(b.column("text")):
+                own = sets_of(data, offsets, k, powers)
+                keys, sets, tags = [np.empty(0, "uint64")], [np.empty(0, "int64")], [np.empty(0, "int32")]
+                for s, *d in zip(own, *digests(own), strict=True):
+                    # Copies that one task meets are one entry of the lists.
+                    if tuple(d) not in met:
+                        met.add(tuple(d))
+                        for i, (x, spare) in enumerate(set_keys(s, plan)):
+                            keys.append(x)
+                            sets.append(np.full(len(x), d[0]))
+                            tags.append(np.full(len(x), i << 28 | spare, "int32"))
+                if len(met) > 1 << 16:
+                    met.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("int64")), pa.array(np.concatenate(sets)), pa.array(np.concatenate(tags))], ["key", "d1", "tag"])
+
     # The place names a row; it is fixed once it is written.
     named = rows if place_col else rows.withColumn("place", F.monotonically_increasing_id())
-    found = stored(named.mapInArrow(describe, schema))
+    found = stored(named.mapInArrow(describe, "doc_id long, text_hash long, place long, n long, d1 long, d2 long, sketch binary"))
     vertices = found.select("doc_id", "text_hash", "place", "n", "d1", "d2")
     equal = vertices.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("place").alias("vertex"), F.count("*").alias("copies"))
-    # Groups: sets with a key in common, joined up.
-    # One shuffle of the keys: each set is tied to the first set with the key.
-    postings = found.select(F.col("place").alias("u"), F.explode("keys").alias("key"))
-    meet = postings.withColumn("v", F.min("u").over(W.partitionBy("key"))).filter("u <> v").select("u", "v")
-    grouped = components(meet)
+    # The keys take more room than the texts, so they are made where they are shuffled and written nowhere else.
+    postings = rows.select("text").mapInArrow(post, "key long, d1 long, tag int")
+    lists = candidate_lists(postings)
+    described = found.select(F.col("place").alias("vertex"), "n", "d1", "sketch").join(equal.select("vertex"), "vertex", "left_semi")
+    # Groups: sets that the sketches leave together, joined up.
+    grouped = components(_alike_in_lists(lists, described, num, den))
     group = grouped.select(F.col("u").alias("vertex"), F.col("v").alias("group"))
     # The smallest of a component is not listed, so it comes from its members.
     group = group.union(grouped.select(F.col("v").alias("vertex"), F.col("v").alias("group"))).distinct()
     chosen = group.join(equal, "vertex")
-    crowd = chosen.groupBy("group").agg(F.count("*").alias("m")).filter("m > 1")
+    crowd = chosen.groupBy("group").agg(F.sum("n").alias("m"))
     work = stored(
         chosen.join(crowd, "group").join(vertices.select(F.col("place").alias("vertex"), "doc_id", "text_hash"), "vertex")
         .select("vertex", "group", "copies", "doc_id", "text_hash", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
         .withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
     )
+    discard(lists)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = arrays.Powers()
@@ -318,11 +456,14 @@ def join(
             yield out()
 
     linked = stored(parts.mapInArrow(scan, "u long, v long, links long"))
+    discard(work)
     roots = components(linked.select("u", "v"))
     links = linked.groupBy(F.col("u").alias("vertex")).agg(F.sum("links").alias("links"))
     known = equal.join(roots.select(F.col("u").alias("vertex"), F.col("v").alias("root")), "vertex", "left").join(links, "vertex", "left")
     known = known.select("n", "d1", "d2", F.coalesce("root", "vertex").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     placed = stored(vertices.join(known, ["n", "d1", "d2"], "left").select("doc_id", "n", *(["place"] if place_col else []), F.coalesce("root", "place").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    for table in (found, linked, roots, grouped):
+        discard(table)
     first = F.min_by("place", F.struct(F.col("doc_id").isNull(), "doc_id", "place"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), *([first.alias("first")] if place_col else []))
     more = [F.col("place").alias(place_col), (F.col("place") == F.col("first")).alias("first")] if place_col else []

@@ -83,16 +83,40 @@ def test_empty(spark):
 
 @settings(max_examples=400, deadline=None)
 @given(st.integers(1, 60), st.data(), st.sampled_from([(90, 100), (80, 100)]), st.integers(0, 25))
-def test_linked_sets_share_a_key(n, data, share, light):
+def test_linked_sets_share_more_keys_than_are_spare(n, data, share, light):
     num, den = share
     rng = np.random.default_rng(data.draw(st.integers(0, 10**6)))
     plan = jaccard.Plan(num, den, light)
     a = np.unique(rng.integers(0, 2**63, n).astype("uint64"))
     b = np.unique(np.concatenate((rng.choice(a, rng.integers(max(1, len(a) - 6), len(a) + 1), replace=False), rng.integers(0, 2**63, rng.integers(0, 6)).astype("uint64"))))
-    frequent = np.sort(rng.choice(a, rng.integers(0, len(a) + 1), replace=False))
     shared = len(np.intersect1d(a, b))
     if den * shared >= num * (len(a) + len(b) - shared) and not np.array_equal(a, b):
-        assert len(np.intersect1d(jaccard.set_keys(a, plan, frequent), jaccard.set_keys(b, plan, frequent)))
+        both = [(len(np.intersect1d(x, y)), max(s, t)) for x, s in jaccard.set_keys(a, plan) for y, t in jaccard.set_keys(b, plan)]
+        assert any(met > spare for met, spare in both)
+        x, y = jaccard.sketch(a)[None, :], jaccard.sketch(b)[None, :]
+        least = min(x.shape[1], y.shape[1])
+        assert jaccard.alike(jaccard.folded(x, least), len(a), jaccard.folded(y, least), len(b), num, den).all()
+
+
+def test_sketches_part_what_only_shares_a_passage():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 2**63, 200).astype("uint64")
+    sets = [np.unique(np.concatenate((passage, rng.integers(0, 2**63, 200).astype("uint64")))) for _ in range(40)]
+    rows = np.stack([jaccard.sketch(s) for s in sets])
+    assert sum(jaccard.alike(rows[i], 400, rows[i + 1 :], 400, 80, 100).sum() for i in range(39)) == 0
+
+
+@pytest.mark.parametrize("many", [0, 90])
+def test_crowded_lists_and_blocks(spark, monkeypatch, many):
+    """Short lists, crowded ones and ones of several blocks; the group of many near copies has several blocks too."""
+    monkeypatch.setattr(jaccard, "CROWDED", 8)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 20)
+    rng = random.Random(5)
+    shared = " ".join(f"s{i}" for i in range(90))
+    texts = [shared + " " + " ".join(f"o{rng.randint(0, 9999)}" for _ in range(rng.randint(0, 60))) for _ in range(70)]
+    texts += near_copies(6, [60], 4, many) + near_copies(7, [30, 200], 9, 20)
+    rows = list(enumerate(texts))
+    assert run(spark, rows, 5, 80, 100, block=900) == plain(rows, 5, 80, 100)
 
 
 def test_components(spark):
