@@ -13,7 +13,7 @@ def plain(rows, k, every, scale):
     out = {}
     for q, a in good:
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q)
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))
             out[q] = [(i, -s) for s, i in scored[:k]]
     return out
 
@@ -46,3 +46,26 @@ def test_fewer_than_k(spark):
 def test_large_values_stay_exact(spark):
     rng = random.Random(2)
     check(spark, [(i, [rng.uniform(-1, 1) * 2**17 for _ in range(4)]) for i in range(50)])
+
+
+def test_lengths_are_searched_by_themselves(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(2)]) for i in range(40)] + [(100 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(40)]
+    check(spark, [*rows, (200, [1.0]), (7, []), (5, rows[5][1])])
+
+
+def test_cutoff_limits_what_is_handed_over(spark):
+    """The slices hand over few of their entries, and the vectors that one slice alone made known are completed."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(2000)], "vec_id long, embedding array<double>")
+    handed = []
+    keep = topk.stored
+    try:
+        topk.stored = lambda d, *a: handed.append(keep(d, *a)) or handed[-1]
+        topk.top_k(df).count()
+    finally:
+        topk.stored = keep
+    last = handed[-1]
+    assert "known" in last.columns
+    assert 200 <= last.count() < 0.2 * 20 * 2000
+    assert last.filter("size(known) < slices").count() and last.filter("size(known) = slices").count()
