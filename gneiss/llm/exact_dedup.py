@@ -2,7 +2,8 @@
 
 The index is a table bucketed and sorted by digest.  A batch is reduced to one row per digest
 (map-side partial aggregation, so a group with a third of all rows arrives as one row per task),
-anti-joined by sort-merge with the index, and what is new is appended.
+anti-joined by sort-merge with the index, and what is new is appended.  A table is fed in two batches, the
+smaller ids first, so that the index always holds the smallest id of a digest.
 """
 
 from __future__ import annotations
@@ -33,14 +34,11 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 64):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        if not spark.catalog.tableExists(self.name):
+            self.append(spark.createDataFrame([], "digest string, keep_id long"))
 
     def read(self) -> DataFrame:
-        if self.exists():
-            return self.spark.table(self.name)
-        return self.spark.createDataFrame([], "digest string, keep_id long")
+        return self.spark.table(self.name)
 
     def append(self, new: DataFrame) -> None:
         """``new``: digest, keep_id; its digests must not be in the index yet."""
@@ -51,10 +49,11 @@ class DigestIndex:
 
     def add(self, groups: DataFrame) -> None:
         """Append the digests of ``groups`` (digest, keep_id) that the index lacks."""
-        fresh = groups
-        if self.exists():
-            fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        self.append(fresh)
+        self.append(groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti"))
+
+    def drop(self) -> None:
+        """Remove the index, for those that serve one run only."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def _grouped(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str, place: Column) -> DataFrame:
@@ -65,9 +64,11 @@ def _grouped(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str, pl
         docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), place.cast("long").alias("place"))
         .groupBy("doc_id", "digest").agg(F.count("*").alias("copies"), F.min("place").alias("place"))
     )
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    index.add(groups)
-    sizes = groups.select("digest", "group_size")
+    middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    low = F.coalesce(F.col("doc_id") <= middle, F.lit(False)) if middle is not None else F.lit(False)
+    for batch in (low, ~low):
+        index.add(rows.filter(batch).groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
+    sizes = rows.groupBy("digest").agg(F.sum("copies").alias("group_size"))
     kept = index.read().select("digest", F.col("keep_id").alias("first_id")).join(sizes.hint("merge"), "digest")
     return rows.join(kept.hint("merge"), "digest")
 
@@ -75,8 +76,8 @@ def _grouped(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str, pl
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The batch's new digests are appended to ``index``.  ``keep_id`` is the id that the index holds
-    for the digest: the smallest of the batch that brought it.  ``group_size`` counts this batch.
+    New digests are appended to ``index``.  ``keep_id`` is the id that the index holds for the digest: the
+    smallest of the table that brought it.  ``group_size`` counts this table.
 
     Null text counts as empty.  Among equal texts a null id is kept only if all ids are null.
     Where rows repeat both id and text, one of them is kept and the rest are dropped.
@@ -99,4 +100,5 @@ def kept_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     """
     rows = placed(docs)
     keep = _grouped(rows, index, id_col, text_col, F.col(PLACE)).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    return rows.join(keep.select(F.col("place").alias(PLACE)), PLACE, "left_semi").select(docs.columns)
+    # Written, so that the index may go before the rows are read.
+    return rows.join(stored(keep.select(F.col("place").alias(PLACE))), PLACE, "left_semi").select(docs.columns)

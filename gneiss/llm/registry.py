@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.llm import bpe, exact_dedup, jaccard, mixing, pii, ppm, quality, sharding, topk, toxicity
+from gneiss.llm.scratch import stored
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,11 @@ def op7_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(_docs(spark, sf_dir), exact_dedup.DigestIndex(spark))
+    # A query has an index of its own, which goes once the result is written.
+    index = exact_dedup.DigestIndex(spark)
+    out = stored(exact_dedup.deduplicate(_docs(spark, sf_dir), index))
+    index.drop()
+    return out
 
 
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
