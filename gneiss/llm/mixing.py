@@ -86,18 +86,37 @@ def _pair(acc: Column, e: Column) -> Column:
     )
 
 
-ITEM = "struct<doc_id:bigint,size:bigint,part:double,chance:double,place:bigint>"
+ITEM = "struct<doc_id:bigint,size:bigint,part:double,chance:double>"
 
 
 def _reduce(rows: DataFrame) -> DataFrame:
     """Resolve all but one document of each (source, block): its ``done`` items and its ``open`` one."""
-    items = F.array_sort(F.collect_list(F.struct("doc_id", "size", "part", "chance", "place")))
+    items = F.array_sort(F.collect_list(F.struct("doc_id", "size", "part", "chance")))
     start = F.struct(F.lit(None).cast(ITEM).alias("open"), F.array().cast(f"array<{ITEM}>").alias("done"))
     return rows.groupBy("source", "block").agg(items.alias("items")).select(
         "source", "block", F.aggregate("items", start, _pair).alias("r")
     ).select("source", "block", "r.open", "r.done")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add ``nth``, from 1 among rows of a (key, doc_id, size) group.
+
+    Rows are counted in each of Spark's partitions (the upper bits of ``place``) first, so that a group is numbered by
+    many tasks; a group has few counts, one for each partition.
+    """
+    group = ["key", "doc_id", "size"]
+    part = F.shiftright("place", 33)
+    rows = rows.withColumn("at", part)
+    counts = rows.groupBy(*group, "at").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy(*group).orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", before).withColumnsRenamed({c: f"_{c}" for c in (*group, "at")})
+    same = F.lit(True)
+    for c in (*group, "at"):
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    nth = F.row_number().over(W.partitionBy(*group, "at").orderBy("place"))
+    return rows.withColumn("nth", nth).join(counts, same).withColumn("nth", F.col("nth") + F.col("before")).drop("at", "c", "before", *(f"_{c}" for c in (*group, "at")))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     fan_in: int = 128, seed: int = 20240229, place_col: str | None = None,
@@ -110,50 +129,64 @@ def mix(
     are separate rows.  An empty table gives no rows.  Only the named columns are read.
     With ``place_col``, a column of distinct numbers, that column comes too.
 
-    Documents are dealt to blocks of about ``fan_in`` by a hash of id and size within a source, so a source with a third of all rows is spread like the others.
+    Rows that repeat source, id and size are one item with a count: it takes as many as it can whole, and at most one of
+    its rows is rounded.  Items are dealt to blocks of about ``fan_in`` by a hash of id and size within a source, so
+    a source with a third of all rows is spread like the others.
     """
     # Read and counted once.  The place only tells repeated rows apart; draws and blocks depend on id and size.
     sized = stored(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"), (F.col(place_col) if place_col else F.monotonically_increasing_id()).alias("place"),
-        )
+        ).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     )
     shares = targets(sized)
-    counts = sized.groupBy("source").agg(F.count("*").alias("n"))
-    plan = shares.join(counts, shares["source"].eqNullSafe(counts["source"])).select(shares["*"], "n")
-    # A few values per source; the join is Spark's to choose by size (AQE splits a hot source).
-    plan = stored(plan.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), "source_size", "target", "n"))
+    groups = stored(sized.groupBy("key", "doc_id", "size").agg(F.count("*").alias("m")))
+    counts = groups.groupBy("key").agg(F.count("*").alias("n"))
+    # A few values per source; the joins are Spark's to choose by size (AQE splits a hot source).
+    plan = stored(shares.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).join(counts, "key").select("key", "source_size", "target", "n"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = (
-        sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).join(plan, "key")
-        .withColumn("rate", F.least(rate, F.lit(float(MAX_COPIES))))
+        groups.join(plan, "key").withColumn("rate", F.least(rate, F.lit(float(MAX_COPIES))))
         .withColumn("whole", F.when(F.col("size") > 0, F.floor("rate")).otherwise(0))
-        .withColumn("part", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
+        .withColumn("all", F.when(F.col("size") > 0, (F.col("rate") - F.floor("rate")) * F.col("m")).otherwise(0.0))
+        .withColumn("more", F.floor("all")).withColumn("part", F.col("all") - F.floor("all"))
     )
     most = plan.agg(F.max("n")).first()[0] or 0
     level, rows = 0, base.filter("part > 0").select(
-        F.col("key").alias("source"), "doc_id", "size", "part", "place",
+        F.col("key").alias("source"), "doc_id", "size", "part",
         F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / fan_in))).alias("block"),
     )
     resolved: list[DataFrame] = []
     while True:
         drawn = rows.withColumn("chance", _chance(seed, level, "doc_id", "size"))
         reduced = stored(_reduce(drawn))
-        resolved.append(reduced.select(F.explode("done").alias("d")).select("d.place", "d.part"))
+        resolved.append(reduced.select("source", F.explode("done").alias("d")).select("source", "d.doc_id", "d.size", "d.part"))
         last = reduced.select("source", "block", "open.*")
         if most <= fan_in:
-            resolved.append(last.select("place", F.when(F.col("part") >= 0.5, 1.0).otherwise(0.0).alias("part")))
+            resolved.append(last.select("source", "doc_id", "size", F.when(F.col("part") >= 0.5, 1.0).otherwise(0.0).alias("part")))
             break
         most = -(-most // fan_in)
         level += 1
-        rows = last.select("source", "doc_id", "size", "part", "place", F.floor(F.col("block") / fan_in).alias("block"))
+        rows = last.select("source", "doc_id", "size", "part", F.floor(F.col("block") / fan_in).alias("block"))
     taken = resolved[0]
     for more in resolved[1:]:
         taken = taken.unionByName(more)
-    extra = taken.filter("part = 1").select("place", F.lit(1).alias("extra"))
-    copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long")
-    return base.join(extra, "place", "left").select(
+    extra = taken.filter("part = 1").select(F.col("source").alias("x_key"), F.col("doc_id").alias("x_id"), F.col("size").alias("x_size"), F.lit(1).alias("extra"))
+    same = (F.col("key") == F.col("x_key")) & F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("size") == F.col("x_size"))
+    decided = stored(
+        base.join(extra, same, "left").select(
+            F.col("key").alias("g_key"), F.col("doc_id").alias("g_id"), F.col("size").alias("g_size"), "m", "source_size", "target", "whole",
+            (F.col("more") + F.coalesce("extra", F.lit(0))).alias("more"),
+        )
+    )
+    here = (F.col("key") == F.col("g_key")) & F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("size") == F.col("g_size"))
+    met = sized.join(decided, here)
+    # Only rows of groups in which some but not all get one more need numbers.
+    some = (F.col("more") > 0) & (F.col("more") < F.col("m"))
+    out = met.filter(~some).withColumn("nth", F.lit(1).cast("long")).unionByName(_numbered(met.filter(some)))
+    copies = (F.col("whole") + (F.col("nth") <= F.col("more")).cast("int")).cast("long")
+    return out.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
         *([F.col("place").alias(place_col)] if place_col else []),
     )

@@ -121,6 +121,18 @@ def test_mix_whole_table(spark):
     check_mix(rows, mixing.mix(docs).collect())
 
 
+def test_mix_rounds_one_row_of_a_repeated_group(spark):
+    """Rows that repeat, null ids too, are one item: hardly any differ from what all of them get."""
+    rows = [(None, "one two three", "a")] * 301 + [(7, "four five", "a")] * 50 + [(i, "six " * (i % 5 + 1), "b") for i in range(90)] + [(i, "six", "c") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mixing.mix(docs, fan_in=8).collect()
+    check_mix(rows, out)
+    share = {r.target / r.source_size for r in out if r.source == "a"}.pop()
+    for own, m in ((None, 301), (7, 50)):
+        copies = [r.copies for r in out if r.source == "a" and r.doc_id == own]
+        assert len(copies) == m and abs(sum(copies) - share * m) < 1
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("doc_id = -1")
     assert exact_dedup.deduplicate(none, exact_dedup.DigestIndex(spark)).count() == 0
