@@ -5,7 +5,8 @@ scores; where windows overlap, each character keeps those of the window in which
 from an edge, and one CRF decoding over the joined stretch settles all spans together.
 
 Every kind of span holds a digit or an at sign, and the decoder admits no other spans.  A window
-without such a character therefore cannot yield one, and is not read.
+without such a character therefore cannot yield one, and is not read.  Names, addresses and numbers
+in words are no kind of span here and are not found.
 """
 
 from __future__ import annotations
@@ -307,16 +308,18 @@ def _plausible(text: str, span: Span) -> bool:
 
 
 def train(docs: DataFrame, limit: int = 3000, text_col: str = "text", labelled: DataFrame | None = None) -> BiLstmCrf:
-    """A model from at most about ``limit`` documents with digits or at signs, drawn by a hash of the text.
+    """A model from at most about ``limit`` different texts with digits or at signs, drawn by a hash of the text.
 
     Labels are the rules' spans, or those of ``labelled`` (text, spans array<struct<start,end,kind>>).
     Up to four windows of a sampled document are read for training; the driver holds at most
     ``4 * limit`` windows of 64 characters.  With nothing to learn from, the model finds nothing.
     """
     if labelled is None:
-        some = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-        share = limit / max(limit, some.count())
-        rows = some.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int,kind:int>>"))
+        some = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn("hash", F.xxhash64("text"))
+        share = limit / max(limit, some.agg(F.approx_count_distinct("hash")).first()[0])
+        # Copies of a text are drawn together, and count once.
+        drawn = some.filter(F.pmod("hash", F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("hash").agg(F.first("text").alias("text"))
+        rows = drawn.withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int,kind:int>>"))
     else:
         rows = labelled.select("text", F.col("spans").cast("array<struct<start:int,end:int,kind:int>>").alias("spans"))
 
@@ -348,7 +351,7 @@ def train(docs: DataFrame, limit: int = 3000, text_col: str = "text", labelled:
 
 
 def find(docs: DataFrame, model: BiLstmCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted.
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted, n_spans.
 
     The rules' spans stay; the model's are added where they overlap none of these and look like their
     kind.  Counts and ``spans`` (``kind:start:end``, code points, end exclusive, by start, then kind)
@@ -357,7 +360,7 @@ def find(docs: DataFrame, model: BiLstmCrf, id_col: str = "doc_id", text_col: st
     ``redacted``).  Ids, null or repeated, are passed through; rows are independent and nothing is
     shuffled.  Only the two named columns are read.
     """
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, redacted string"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, redacted string, n_spans long"
 
     def written(spans: list[Span]) -> str:
         return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
@@ -378,7 +381,7 @@ def find(docs: DataFrame, model: BiLstmCrf, id_col: str = "doc_id", text_col: st
             texts = [t or "" for t in raw]
             hot = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
             added = dict(zip(hot, model_spans([texts[i] for i in hot], model), strict=True))
-            columns: list[list] = [[] for _ in range(len(KINDS) + 3)]
+            columns: list[list] = [[] for _ in range(len(KINDS) + 4)]
             for i, text in enumerate(texts):
                 base = base_spans(text) if i in added else []
                 # Rules' spans of different kinds may overlap each other; the model's may touch none.
@@ -386,13 +389,14 @@ def find(docs: DataFrame, model: BiLstmCrf, id_col: str = "doc_id", text_col: st
                 spans = base + more
                 for k in range(len(KINDS)):
                     columns[k].append(sum(s[2] == k for s in spans))
-                columns[-3].append(hashlib.sha256(written(base).encode()).hexdigest())
-                columns[-2].append(written(spans))
-                columns[-1].append(redact(raw[i], spans))
-            types = [pa.int64()] * len(KINDS) + [pa.string()] * 3
+                columns[-4].append(hashlib.sha256(written(base).encode()).hexdigest())
+                columns[-3].append(written(spans))
+                columns[-2].append(redact(raw[i], spans))
+                columns[-1].append(len(spans))
+            types = [pa.int64()] * len(KINDS) + [pa.string()] * 3 + [pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted", "n_spans"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)

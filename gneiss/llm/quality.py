@@ -121,8 +121,11 @@ class AttentionModel:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
-    """A model from about ``limit`` labelled documents at most, all passages of each; their features (15 numbers a passage) meet on the driver."""
+def train(docs: DataFrame, labels: DataFrame, limit: int = 4000, most: int = 256, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
+    """A model from about ``limit`` labelled documents at most; their features (15 numbers a passage) meet on the driver.
+
+    Of a longer text than ``most`` passages, as many are learned from, evenly spread over it.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = arrays.Powers()
@@ -130,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 4000, id_col: str = "
             mark = b.column("label").to_numpy()
             for row, data, offsets in arrays.chunks(b.column("text")):
                 x, begin = passages(data, offsets, powers)
-                bags = [x[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)]
+                bags = [x[i:j][np.unique(np.linspace(0, j - i - 1, min(j - i, most)).astype(int))].tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), pa.array(mark[row : row + len(bags)])], ["bag", "label"])
 
     got = labelled.sample(docs, labels, "quality", limit, id_col, text_col).mapInArrow(encode, "bag binary, label int").toPandas()

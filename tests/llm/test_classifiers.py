@@ -94,3 +94,31 @@ def test_identity_terms_lose_their_weight(spark):
 def test_swaps():
     got = list(toxicity.swapped("A woman spoke. Nothing here.\nOld women sat!", [("woman", "man"), ("women", "men")]))
     assert got == [("A woman spoke.", "A man spoke."), ("Old women sat!", "Old men sat!")]
+
+
+def test_documents_hold_identity_terms(spark, tables):
+    """Swaps are found in the labelled documents themselves, and the penalty holds their scores together."""
+    docs, _ = tables
+    texts = [r.text or "" for r in docs.collect()]
+    assert sum(any(True for _ in toxicity.swapped(t, toxicity.IDENTITY_TERMS)) for t in texts) > 0.1 * len(texts)
+    seen = []
+    fit = toxicity.fit
+    try:
+        toxicity.fit = lambda *a, **k: seen.append(len(a[2])) or fit(*a, **k)
+        toxicity.train(*tables)
+    finally:
+        toxicity.fit = fit
+    assert seen[0] > 50
+
+
+def test_long_texts_give_a_bounded_bag(spark):
+    docs = spark.createDataFrame([(i, f"{'w ' * 64 * 900} {i}" if i % 2 else f"x{i} y") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    sizes = []
+    fit = quality.AttentionModel.fit
+    try:
+        quality.AttentionModel.fit = lambda self, x, begin, y: sizes.extend(np.diff(begin)) or fit(self, x, begin, y, steps=2)
+        quality.train(docs, labels, most=40)
+    finally:
+        quality.AttentionModel.fit = fit
+    assert max(sizes) == 40
