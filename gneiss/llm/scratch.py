@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder is set only where that is unset (tests)."""
+    """A new path under ``spark.checkpoint.dir``; where that is unset, a local session gets a temporary folder and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-gneiss-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/gneiss-{uuid.uuid4().hex}"
@@ -26,9 +30,31 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _made.setdefault(_owner[-1], []).append(out)
     return out
 
 
+#: Whose the tables are that are stored now, and what each owner has stored and not discarded.
+_owner: list[str | None] = [None]
+_made: dict[str | None, list[DataFrame]] = {}
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables that are stored inside are ``owner``'s, for ``sweep``."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def sweep(owner: str) -> None:
+    """Delete all tables of ``owner``, once nothing that read them is still to be computed."""
+    for table in list(_made.get(owner, ())):
+        discard(table)
+
+
 PLACE = "__place"
 
 
@@ -42,3 +68,5 @@ def discard(table: DataFrame) -> None:
     spark = table.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for tables in _made.values():
+        tables[:] = [t for t in tables if t.stored_at != table.stored_at]
