@@ -2,50 +2,77 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of
 ``documents``.  ``run`` writes each stage's rows as Parquet to the shared folder and reads them back, so a lost
-executor costs no earlier stage.
+executor costs no earlier stage.  A stage deletes what the stage before it kept for its rows, so these must have been
+written by then.
+
+In every stage null and empty texts are rows like any other; texts are read whole; ids may be null or repeat, as rows
+are told apart by their place; extra columns are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, exact_dedup, jaccard, mixing, toxicity
+from gneiss.llm import bpe, exact_dedup, jaccard, mixing, scratch, toxicity
 from gneiss.llm.scratch import PLACE, placed, stored
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(work: Stage) -> Stage:
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.sweep("pipeline")
+        with scratch.owned("pipeline"):
+            return work(spark, docs, sf_dir)
+
+    return stage
+
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier predicts as toxic go; all others, null texts too, stay."""
+    """Documents that the toxicity classifier predicts as toxic go; all others stay, and without labels, or for null texts, none go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
     return toxicity.clean_rows(docs, model)
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (up to white space) the one with the smallest id stays."""
-    return exact_dedup.kept_rows(docs, exact_dedup.DigestIndex(spark))
+    """Of equal texts (up to white space; null counts as empty) the one with the smallest id stays, of equal ids one; null ids come last."""
+    index = exact_dedup.DigestIndex(spark)
+    kept = exact_dedup.kept_rows(docs, index)
+    index.drop()
+    return kept
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the one with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the one with the smallest id stays; texts without words are in none."""
     rows = placed(docs)
     keep = jaccard.join(rows, k=5, num=80, den=100, place_col=PLACE).filter("first").select(PLACE)
     return rows.join(keep, PLACE, "left_semi").select(docs.columns)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: up to three rows, or none."""
+    """Each document as often as the mix takes it: up to three rows, or none; texts without words are never taken.  A null source is a source."""
     rows = placed(docs)
     copies = mixing.mix(rows, place_col=PLACE).filter("copies > 0").select(PLACE, F.col("copies").alias("__copies"))
     joined = rows.join(copies, PLACE)
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row's text, and digests of the ids and of what they decode to."""
+    """Token ids of every row's text, and digests of the ids and of what they decode to; a null text has no ids."""
     # Fewer kept words and states than by default: executors still hold memory of the stages before.
-    out = bpe.code(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, limit=150_000)
+    out = bpe.code(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, limit=50_000)
     return out.drop("decoded")
 
 
