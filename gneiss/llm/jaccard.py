@@ -389,7 +389,9 @@ def join(
     named = rows if place_col else rows.withColumn("place", F.monotonically_increasing_id())
     found = stored(named.mapInArrow(describe, "doc_id long, text_hash long, place long, n long, d1 long, d2 long, sketch binary"))
     vertices = found.select("doc_id", "text_hash", "place", "n", "d1", "d2")
-    equal = vertices.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("place").alias("vertex"), F.count("*").alias("copies"))
+    # The row of a set that comes first: by id, null ids last.
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
+    equal = vertices.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("place").alias("vertex"), F.count("*").alias("copies"), F.min(order).alias("least"))
     # The keys take more room than the texts, so they are made where they are shuffled and written nowhere else.
     postings = rows.select("text").mapInArrow(post, "key long, d1 long, tag int")
     lists = candidate_lists(postings)
@@ -399,7 +401,7 @@ def join(
     group = grouped.select(F.col("u").alias("vertex"), F.col("v").alias("group"))
     # The smallest of a component is not listed, so it comes from its members.
     group = group.union(grouped.select(F.col("v").alias("vertex"), F.col("v").alias("group"))).distinct()
-    chosen = group.join(equal, "vertex")
+    chosen = group.join(equal.drop("least"), "vertex")
     crowd = chosen.groupBy("group").agg(F.sum("n").alias("m"))
     work = stored(
         chosen.join(crowd, "group").join(vertices.select(F.col("place").alias("vertex"), "doc_id", "text_hash"), "vertex")
@@ -460,11 +462,14 @@ def join(
     roots = components(linked.select("u", "v"))
     links = linked.groupBy(F.col("u").alias("vertex")).agg(F.sum("links").alias("links"))
     known = equal.join(roots.select(F.col("u").alias("vertex"), F.col("v").alias("root")), "vertex", "left").join(links, "vertex", "left")
-    known = known.select("n", "d1", "d2", F.coalesce("root", "vertex").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    placed = stored(vertices.join(known, ["n", "d1", "d2"], "left").select("doc_id", "n", *(["place"] if place_col else []), F.coalesce("root", "place").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    known = known.select("n", "d1", "d2", "least", F.coalesce("root", "vertex").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # A component's first row is told from its sets, of which copies are one, and goes to the rows with what is known of their set.
+    tops = known.groupBy("root").agg(F.min("least").alias("top"))
+    told = known.join(tops, "root").select("n", "d1", "d2", "n_links", "top", F.lit(True).alias("linked"))
+    rows = vertices.join(told, ["n", "d1", "d2"], "left")
+    component = F.when(F.col("linked"), F.col("top.doc_id")).otherwise(F.col("doc_id"))
+    more = [F.col("place").alias(place_col), (F.col("place") == F.coalesce("top.place", "place")).alias("first")] if place_col else []
+    out = stored(rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more))
     for table in (found, linked, roots, grouped):
         discard(table)
-    first = F.min_by("place", F.struct(F.col("doc_id").isNull(), "doc_id", "place"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), *([first.alias("first")] if place_col else []))
-    more = [F.col("place").alias(place_col), (F.col("place") == F.col("first")).alias("first")] if place_col else []
-    return placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", *more)
+    return out
