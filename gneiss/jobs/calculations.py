@@ -44,15 +44,36 @@ def next_plate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calc_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences in several forms: with fractional temperatures, without a "T", and with a dot at the end."""
     said = requests(spark, sf).selectExpr(
         *KEYS,
         """concat('Compute the ', case when component = 'sphere' then 'spherical' else 'cylindrical' end, ' shell thickness: P = ', cast(p_mpa as string), ' MPa, ',
-                  case when component = 'cylinder_outside' then 'OD=' else 'inside diameter ' end, coalesce(cast(diameter_mm as string), 'unknown'), ' mm, T=', temp_c,
-                  '°C, ', material, ', weld joint Type ', joint_type, ', ', replace(rt_level, 'RT', 'radiography'), ', CA ', cast(ca_mm as string), ' mm') as query""",
+                  case when component = 'cylinder_outside' then 'OD=' else 'inside diameter ' end, coalesce(cast(diameter_mm as string), 'unknown'), ' mm, ',
+                  case when l_linenumber % 3 = 0 then 'at ' when l_linenumber % 3 = 1 then 'T=' else 'design temperature ' end, temp_c, case when l_orderkey % 2 = 0 then '.5' else '' end,
+                  '°C, ', material, ', weld joint Type ', joint_type, ', ', replace(rt_level, 'RT', 'radiography'), ', CA ', cast(ca_mm as string), case when l_linenumber % 2 = 0 then '.' else ' mm' end) as query""",
     )
     return C.parse_requests(said).drop("query")
 
 
+def calc_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return C.summaries(C.calculate(requests(spark, sf))).filter("summary is not null").select(*KEYS, "summary")
+
+
+def coerced_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases as a model would put them, and the values they stand for."""
+    said = table(spark, sf, "lineitem").selectExpr(
+        *KEYS,
+        "element_at(array(cast(l_linenumber as string), concat('Type ', l_linenumber), concat('type', l_linenumber, ' with full radiography'), 'Type seven', ' 3 '), cast(l_partkey % 5 as int) + 1) as joint",
+        "element_at(array('Cylindrical Shell', 'outside radius cylindrical-shell', 'a spherical head', 'pipe by OD', 'pressure vessel', 'flange'), cast(l_suppkey % 6 as int) + 1) as part",
+        "element_at(array('Fully radiographed', 'spot_rt', 'without radiography', 'not radiographed', 'partly'), cast(l_orderkey % 5 as int) + 1) as rt",
+        "element_at(array('Which allowable stress is listed for SM-105?', 'Compute the stress', 'What is the joint efficiency?', 'material P-number'), cast(l_orderkey % 4 as int) + 1) as query",
+    )
+    return said.selectExpr(
+        *KEYS, f"{C.coerced_joint('joint')} as joint_type", f"{C.coerced_component('part')} as component", f"{C.coerced_rt('rt')} as rt_level",
+        *(f"{C.is_lookup('query', repr(k))} as is_{k}" for k in ("allowable_stress", "joint_efficiency", "material")),
+    )
+
+
 _REQUESTS = f"""
     WITH m(k, material) AS (SELECT * FROM {pinned.values_sql(list(enumerate(m[0] for m in pinned.MATERIALS)), "k, material")}),
     q AS (SELECT l_orderkey, l_linenumber, ['cylinder_inside', 'cylinder_outside', 'sphere'][l_orderkey % 3 + 1] AS component,
@@ -94,7 +115,7 @@ CALC = _REQUESTS + f""",
             CASE WHEN error_code IS NULL THEN ((mn + md) // nullif(2 * md, 0)) / 1000.0::DOUBLE END AS mawp_mpa FROM h)
 """
 
-QUERIES = {f.__name__: f for f in (calc_thickness, calc_errors, calc_trace, stress_interp, joint_eff_lookup, next_plate, calc_parse)}
+QUERIES = {f.__name__: f for f in (calc_thickness, calc_errors, calc_trace, stress_interp, joint_eff_lookup, next_plate, calc_parse, calc_summary, coerced_inputs)}
 ORACLES = {
     "calc_thickness": CALC + "SELECT l_orderkey, l_linenumber, round(s_mpa, 8) AS s_mpa, e, t_min_mm, t_design_mm, plate_mm::INT AS plate_mm, mawp_mpa, error_code FROM r",
     "calc_errors": CALC + "SELECT component, coalesce(error_code, 'ok') AS outcome, count(*) AS n, round(avg(t_min_mm), 6) AS mean_t_min FROM r GROUP BY ALL",
@@ -109,7 +130,17 @@ ORACLES = {
     "next_plate": f"SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS t_mm, (SELECT min(x) FROM unnest({list(pinned.PLATES)}) u(x) WHERE x >= l_quantity + l_tax)::INT AS plate_mm FROM lineitem",
     "calc_parse": _REQUESTS + """, o AS (SELECT *, dia IS NOT NULL AND material <> 'unknown' AS ok FROM q)
         SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN component END AS component, CASE WHEN ok THEN p / 1000.0::DOUBLE END AS p_mpa, CASE WHEN ok THEN dia::DOUBLE END AS diameter_mm,
-            CASE WHEN ok THEN temp_c::INT END AS temp_c, CASE WHEN ok THEN material END AS material,
+            CASE WHEN ok THEN temp_c + CASE WHEN l_orderkey % 2 = 0 THEN 0.5 ELSE 0 END::DOUBLE END AS temp_c, CASE WHEN ok THEN material END AS material,
             CASE WHEN ok THEN joint_type END AS joint_type,
             CASE WHEN ok THEN rt_level END AS rt_level, CASE WHEN ok THEN ca10 / 10.0::DOUBLE END AS ca_mm FROM o""",
+    "calc_summary": CALC + """, w AS (SELECT l_orderkey, l_linenumber, component, dia, p, sn, qd, plate, e AS e100, sn::DOUBLE / qd AS s_mpa, e / 100.0::DOUBLE AS e, t100 / 100.0::DOUBLE AS t_min_mm, td100 / 100.0::DOUBLE AS t_design_mm,
+            plate AS plate_mm, ((mn + md) // nullif(2 * md, 0)) / 1000.0::DOUBLE AS mawp_mpa FROM h WHERE error_code IS NULL)
+        SELECT l_orderkey, l_linenumber, 'formula = ' || CASE component WHEN 'cylinder_inside' THEN 'A-27(c)(1): t = (P × R) / (S × E − 0.6 × P)' WHEN 'cylinder_outside' THEN 'A-27(c)(2): t = (P × Ro) / (S × E + 0.4 × P)'
+                ELSE 'A-27(d): t = (P × R) / (2 × S × E − 0.2 × P)' END || chr(10) || 'S (allowable stress) = ' || printf('%.3f', s_mpa) || ' MPa' || chr(10) || 'E (joint efficiency) = ' || printf('%.2f', e) || chr(10)
+            || 'R = ' || printf('%.1f', dia / 2.0::DOUBLE) || ' mm' || chr(10) || 'applicability: ' || printf('%.3f', p / 1000.0::DOUBLE) || ' ≤ '
+            || printf('%.4f', ((sn * e100 * CASE component WHEN 'sphere' THEN 665 ELSE 385 END * 2 + 10 * qd) // (20 * qd)) / 10000.0::DOUBLE) || ' → OK' || chr(10) || 't_min = ' || printf('%.2f', t_min_mm) || ' mm' || chr(10)
+            || 't_design (with CA) = ' || printf('%.2f', t_design_mm) || ' mm' || chr(10) || 't_nominal (plate) = ' || plate_mm || ' mm' || chr(10) || 'MAWP = ' || printf('%.3f', mawp_mpa) || ' MPa' AS summary FROM w""",
+    "coerced_inputs": """SELECT l_orderkey, l_linenumber, (CASE l_partkey % 5 WHEN 3 THEN NULL WHEN 4 THEN 3 ELSE CASE WHEN l_linenumber <= 6 THEN l_linenumber END END)::INT AS joint_type,
+        ['cylinder_inside', 'cylinder_outside', 'sphere', 'cylinder_outside', 'cylinder_inside', NULL][l_suppkey % 6 + 1] AS component, ['Full RT', 'Spot RT', 'No RT', 'No RT', NULL][l_orderkey % 5 + 1] AS rt_level,
+        l_orderkey % 4 = 0 AS is_allowable_stress, l_orderkey % 4 = 2 AS is_joint_efficiency, l_orderkey % 4 IN (0, 3) AS is_material FROM lineitem""",
 }

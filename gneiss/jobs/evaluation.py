@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gneiss.jobs import calculations
 from gneiss.jobs.retrieval import CONTENT, bm25_sql, documents, items
+from gneiss.operators import browse as B
 from gneiss.operators import evidence as E
 from gneiss.operators import parsing as P
 from gneiss.operators import retrieval as R
@@ -159,15 +160,9 @@ def browse(spark: SparkSession, sf: str) -> DataFrame:
     return found.orderBy("doc_id").limit(50).select("doc_id", "source", "n_chars")
 
 
-# Weights of topic words.
-DOMAIN = {"thickness": 80, "joint efficien": 90, "allowable stress": 65, "hydrostatic": 60, "nozzle": 45, "impact": 35, "pressure": 30, "weld": 30, "material": 25}
-
-
 def domain_weight(spark: SparkSession, sf: str) -> DataFrame:
     """The largest weight of the topic words in each whole page; four plainer words are added, as the topic words are rare there."""
-    text = F.lower("html")
-    weights = DOMAIN | {"license": 20, "script": 15, "href": 10, "tion": 5}
-    return table(spark, sf, "pages").select("page_id", F.greatest(F.lit(0), *(F.when(F.contains(text, F.lit(w)), v).otherwise(0) for w, v in weights.items())).alias("weight"))
+    return table(spark, sf, "pages").select("page_id", B.domain_weight(F.col("html"), B.DOMAIN | {"license": 20, "script": 15, "href": 10, "tion": 5}).alias("weight"))
 
 
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,7 +265,7 @@ ORACLES = {
     "worst_failing": f"WITH {_SC} SELECT run_id, example_id, mean FROM (SELECT run_id, example_id, round(avg(value), 6) AS mean, bool_and(passed) AS p FROM sc GROUP BY ALL) WHERE NOT p ORDER BY mean, run_id, example_id LIMIT 5",
     "corpus_stats": "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest, count(DISTINCT text) AS texts FROM documents GROUP BY ALL",
     "browse": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND contains(lower(text), 'license') ORDER BY doc_id LIMIT 50",
-    "domain_weight": "SELECT page_id, greatest(0, " + ", ".join(f"CASE WHEN contains(lower(html), '{w}') THEN {v} ELSE 0 END" for w, v in (DOMAIN | {"license": 20, "script": 15, "href": 10, "tion": 5}).items()) + ")::INT AS weight FROM pages",
+    "domain_weight": "SELECT page_id, greatest(0, " + ", ".join(f"CASE WHEN contains(lower(html), '{w}') THEN {v} ELSE 0 END" for w, v in (B.DOMAIN | {"license": 20, "script": 15, "href": 10, "tion": 5}).items()) + ")::INT AS weight FROM pages",
     "suggestions": """WITH d AS (SELECT *, CASE WHEN contains(lower(text), 'license') THEN 0 ELSE 1 END AS stage FROM documents),
         o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY stage, n_chars DESC, doc_id) AS n FROM d) WHERE n = 1)
         SELECT lang, rank::INT AS rank, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY stage, n_chars DESC, doc_id) AS rank FROM o) WHERE rank <= 3""",

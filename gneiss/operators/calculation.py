@@ -49,7 +49,8 @@ def with_stress(requests: DataFrame) -> DataFrame:
     at = F.when(F.expr("exists(points, p -> p.lo <= temp_c and temp_c < p.hi) and temp_c <= max_temp"), at)
     return joined.withColumn("b", at).selectExpr(
         "* except (points, b)", "max_temp is not null as known_material",
-        "cast(b.s_lo as decimal(5,0)) + cast(b.s_hi - b.s_lo as decimal(5,0)) * cast(temp_c - b.lo as decimal(5,0)) / cast(b.hi - b.lo as decimal(5,0)) as s_mpa",
+        # Temperatures may have fractions.
+        "cast(b.s_lo as decimal(5,0)) + cast(b.s_hi - b.s_lo as decimal(5,0)) * cast(temp_c - b.lo as decimal(9,4)) / cast(b.hi - b.lo as decimal(5,0)) as s_mpa",
     )
 
 
@@ -108,21 +109,78 @@ PATTERNS = {
     "inside_mm": rf"(?i)(?:inside\s+diameter|ID)\s*=?\s*{NUMBER}(?:\s*mm)?",
     "outside_mm": rf"(?i)(?:outside\s+diameter|OD)\s*=?\s*{NUMBER}(?:\s*mm)?",
     "temp_c": r"(?i)(?:\bT\s*=?\s*|design\s+temperature(?:\s*=)?\s*)([0-9]+(?:\.[0-9]+)?)\s*°?\s*C",
+    "any_temp_c": r"(?i)([0-9]+(?:\.[0-9]+)?)\s*°\s*C",
     "material": r"(?i)(SM-[0-9]+(?:\s+(?:Gr(?:ade)?|Type)\s+\w+)?)",
     "joint_type": r"(?i)Type\s+([0-9])\b",
     "rt": r"(?i)(full\s+(?:RT|radiography)|spot\s+(?:RT|radiography)|no\s+(?:RT|radiography))",
     "ca_mm": rf"(?i)(?:corrosion\s+allowance|CA)\s*=?\s*{NUMBER}(?:\s*mm)?",
 }
 
+
 def parse_requests(queries: DataFrame, text: str = "query") -> DataFrame:
-    """Requests from sentences; null in every column where a required value is missing (the allowance defaults to 0)."""
+    """Requests from sentences; null in every column where a required value is missing or no number (the allowance defaults to 0).
+
+    Dots after a number end the sentence and are no part of it.  Without a temperature after "T" or "design temperature",
+    the first one in degrees counts.
+    """
     part = {k: F.nullif(F.regexp_extract(text, v, 1), F.lit("")) for k, v in PATTERNS.items()}
     q = queries.withColumns({f"_{k}": v for k, v in part.items()})
-    complete = F.expr("_p_mpa is not null and (_inside_mm is not null or _outside_mm is not null) and _temp_c is not null and _material is not null and _joint_type is not null and _rt is not null")
+    number = lambda c: f"try_cast(rtrim('.', {c}) as double)"
+    q = q.withColumns({
+        "_p": F.expr(number("_p_mpa")), "_d": F.expr(number("coalesce(_inside_mm, _outside_mm)")), "_t": F.expr(number("coalesce(_temp_c, _any_temp_c)")),
+        "_ca": F.when(F.col("_ca_mm").isNull(), 0.0).otherwise(F.expr(number("_ca_mm"))),
+    })
+    complete = F.expr("_p is not null and _d is not null and _t is not null and _ca is not null and _material is not null and _joint_type is not null and _rt is not null")
     values = {
         "component": f"case when _inside_mm is null then 'cylinder_outside' when lower({text}) like '%spher%' then 'sphere' else 'cylinder_inside' end",
-        "p_mpa": "cast(_p_mpa as double)", "diameter_mm": "cast(coalesce(_inside_mm, _outside_mm) as double)", "temp_c": "cast(cast(_temp_c as double) as int)",
-        "material": r"regexp_replace(regexp_replace(_material, '(?i)Grade', 'Gr'), '\\s+', ' ')", "joint_type": "cast(_joint_type as int)",
-        "rt_level": normalise_rt("_rt"), "ca_mm": "coalesce(cast(_ca_mm as double), 0D)",
+        "p_mpa": "_p", "diameter_mm": "_d", "temp_c": "_t",
+        "material": r"regexp_replace(trim(regexp_replace(_material, '\\s+', ' ')), '(?i)Grade', 'Gr')", "joint_type": "cast(_joint_type as int)",
+        "rt_level": normalise_rt("_rt"), "ca_mm": "_ca",
     }
     return q.select(*queries.columns, *(F.when(complete, F.expr(v)).alias(k) for k, v in values.items()))
+
+
+# The paragraph and the formula of each component.
+FORMULAS = {
+    "cylinder_inside": ("A-27(c)(1)", "t = (P × R) / (S × E − 0.6 × P)"), "cylinder_outside": ("A-27(c)(2)", "t = (P × Ro) / (S × E + 0.4 × P)"),
+    "sphere": ("A-27(d)", "t = (P × R) / (2 × S × E − 0.2 × P)"),
+}
+
+
+def summaries(results: DataFrame) -> DataFrame:
+    """Add ``summary``: nine lines for a computed result, null for one with an error."""
+    pick = lambda i: "case component " + " ".join(f"when '{c}' then '{v[i]}'" for c, v in FORMULAS.items()) + " end"
+    limit = f"round({PRESSURE_LIMIT} * cast(s_mpa as decimal(12,8)) * cast(e as decimal(3,2)), 4)"
+    lines = (
+        f"concat('formula = ', {pick(0)}, ': ', {pick(1)})", "concat('S (allowable stress) = ', format_string('%.3f', s_mpa), ' MPa')", "concat('E (joint efficiency) = ', format_string('%.2f', e))",
+        "concat('R = ', format_string('%.1f', cast(diameter_mm / 2 as double)), ' mm')", f"concat('applicability: ', format_string('%.3f', cast(p_mpa as double)), ' ≤ ', cast(cast({limit} as decimal(12,4)) as string), ' → OK')",
+        "concat('t_min = ', format_string('%.2f', t_min_mm), ' mm')", "concat('t_design (with CA) = ', format_string('%.2f', t_design_mm), ' mm')",
+        "concat('t_nominal (plate) = ', plate_mm, ' mm')", "concat('MAWP = ', format_string('%.3f', mawp_mpa), ' MPa')",
+    )
+    return results.withColumn("summary", F.when(F.col("error_code").isNull(), F.expr(f"array_join(array({', '.join(lines)}), '\n')")))
+
+
+def coerced_joint(col: str) -> str:
+    """SQL: a joint type from 1 to 6 out of "2", "Type 2" or a phrase with it; null otherwise."""
+    return rf"cast(coalesce(nullif(regexp_extract(trim({col}), '^([1-6])$', 1), ''), nullif(regexp_extract(lower({col}), '\\btype\\s*([1-6])\\b', 1), '')) as int)"
+
+
+def coerced_component(col: str) -> str:
+    """SQL: a component out of its name or a phrase about it; null otherwise."""
+    name, low = rf"regexp_replace(lower(trim({col})), '[\\s-]+', '_')", f"lower(trim({col}))"
+    return rf"""case when {name} in ('cylindrical_shell', 'cylindrical_shell_inside_radius', 'inside_radius_cylindrical_shell') then 'cylinder_inside'
+        when {name} in ('cylindrical_shell_outside_radius', 'outside_radius_cylindrical_shell') then 'cylinder_outside' when {low} like '%spher%' then 'sphere'
+        when {low} like '%outside%' or {low} rlike '\\bod\\b' then 'cylinder_outside' when {low} rlike 'cylind|shell|vessel|inside|\\bid\\b' then 'cylinder_inside' end"""
+
+
+def coerced_rt(col: str) -> str:
+    """SQL: a radiography level out of a phrase; null where it has none of "full", "spot", "no", "without"."""
+    low = rf"lower({col})"
+    return f"case when {low} like '%full%' then 'Full RT' when {low} like '%spot%' then 'Spot RT' when {low} like '%no%' or {low} like '%without%' then 'No RT' end"
+
+
+def is_lookup(query: str, kind: str) -> str:
+    """SQL: whether a look-up of that kind answers the query by itself; one that asks for a calculation is not answered so."""
+    q = f"lower({query})"
+    return f"""(not {q} rlike 'calculate|compute|thickness|mawp' and case {kind} when 'allowable_stress' then {q} like '%stress%' when 'joint_efficiency' then {q} like '%efficiency%'
+        when 'material' then {q} rlike 'product form|max temperature|maximum temperature|p-number|p number|group number|material|listed for' else false end)"""

@@ -6,7 +6,7 @@ of one document, so documents are independent and a long one costs a sort, not m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,22 +64,45 @@ def sections(docs: DataFrame) -> DataFrame:
     )
 
 
-def table_rows(sections: DataFrame) -> DataFrame:
-    """``doc_id, element_id, block, row, cells``: rows of pipe tables; row 0 is the header, separator rows go.
+#: SQL: a row of labels, not of values: all but one of its cells at most have letters or units, and hardly any is a number.
+HEADER_LIKE = r"""(size(filter({0}, c -> c <> '')) > 0
+    and size(filter({0}, c -> c <> '' and c rlike '[A-Za-z°%/()]')) >= greatest(1, size(filter({0}, c -> c <> '')) - 1)
+    and size(filter({0}, c -> c rlike '^[-+]?\\d+(\\.\\d+)?$')) <= size(filter({0}, c -> c <> '')) div 3)"""
+#: SQL: labels of two rows as one; a label that repeats above numbers says nothing.
+STACKED = r"""zip_with({0}, {1}, (t, l) -> case when t = '' then l when l = '' then t when lower(t) = lower(l) then l
+    when size(filter({0}, x -> x = t)) > 1 and l rlike '\\d' then l else concat(t, ' ', l) end)"""
 
-    A table is a run of lines between pipes (gaps and islands).  Rows are cut or padded to the width of the header.
-    """
+
+def table_blocks(sections: DataFrame) -> DataFrame:
+    """``doc_id, element_id, block, line, content``: lines between pipes, in runs of neighbouring lines (gaps and islands)."""
     at = sections.select("doc_id", "element_id", F.posexplode(F.split("content", "\n")).alias("line", "content"))
     order = W.partitionBy("doc_id", "element_id").orderBy("line")
     piped = at.filter(F.col("content").rlike(r"^\s*\|.*\|\s*$"))
     run = piped.withColumn("block", F.col("line") - F.row_number().over(order))
-    run = run.withColumn("block", F.dense_rank().over(W.partitionBy("doc_id", "element_id").orderBy("block")) - 1)
-    rows = run.filter(~F.col("content").rlike(r"^\s*\|[\s:|-]+\|\s*$"))
-    rows = rows.withColumn("row", F.row_number().over(W.partitionBy("doc_id", "element_id", "block").orderBy("line")) - 1)
+    return run.withColumn("block", F.dense_rank().over(W.partitionBy("doc_id", "element_id").orderBy("block")) - 1)
+
+
+def table_rows(sections: DataFrame) -> DataFrame:
+    """``doc_id, element_id, block, row, cells``: rows of pipe tables; row 0 is the header.
+
+    The header is the row before the first separator row; a run without both is no table.  A sparse header is joined with
+    a next row of labels.  Rows are cut or padded to the width of the header.
+    """
+    table = W.partitionBy("doc_id", "element_id", "block")
+    in_order = table.orderBy("line")
+    mark = F.when(F.col("content").rlike(r"^\s*\|[\s:|-]+\|\s*$"), F.col("line"))
+    rows = table_blocks(sections).withColumn("mark", F.min(mark).over(table)).filter("line <> mark and line >= mark - 1")
+    rows = rows.withColumn("first", F.min("line").over(table)).filter("first < mark")
     cells = rows.withColumn("cells", F.expr(r"transform(split(regexp_replace(trim(content), '^\\||\\|$', ''), '\\|'), c -> trim(c))"))
-    width = F.max(F.when(F.col("row") == 0, F.size("cells"))).over(W.partitionBy("doc_id", "element_id", "block"))
+    width = F.max(F.when(F.col("line") < F.col("mark"), F.size("cells"))).over(table)
     padded = cells.withColumn("width", width).withColumn("cells", F.expr("slice(concat(cells, array_repeat('', width)), 1, width)"))
-    return padded.select("doc_id", "element_id", "block", "row", "cells")
+    below = padded.withColumn("below", F.lead("cells").over(in_order))
+    sparse = F.expr("line < mark and size(filter(cells, c -> c <> '')) <= greatest(1, width div 3) and below is not null")
+    stack = below.withColumn("stack", sparse & F.expr(HEADER_LIKE.format("below"))).withColumn("stacked", F.max("stack").over(table))
+    merged = stack.withColumn("cells", F.when(F.col("stack"), F.expr(STACKED.format("cells", "below"))).otherwise(F.col("cells")))
+    # The row that went into the header is the first after the separator.
+    kept = merged.filter("not stacked or line <> mark + 1")
+    return kept.withColumn("row", F.row_number().over(in_order) - 1).select("doc_id", "element_id", "block", "row", "cells")
 
 
 def table_cells(sections: DataFrame) -> DataFrame:
@@ -112,15 +135,36 @@ def repaired_rows(rows: DataFrame) -> DataFrame:
     return merged.select(*table, F.col("island").cast("int").alias("row"), F.expr(join).alias("cells"))
 
 
+# Symbols of formulas, longer ones first, and the tables that their values come from.
+SYMBOLS = ("Ro", "P", "R", "S", "E", "t", "D")
+SYMBOL_TABLES = {"S": "M-1", "E": "B-12"}
+FENCE = r"(?s)```[^\n]*\n(.*?)```"
+# Fixed pattern of what a formula says it applies to.
+APPLIES = r"(?is)(?:this\s+formula\s+applies\s+when|applies\s+when|applicable\s+when)\s*[:\-]?\s*(.+?)(?=\.\s|\.$|\n\n|\z)"
+
+
 def formulas(sections: DataFrame) -> DataFrame:
-    """``doc_id, element_id, formula_id, symbol, expression``: the first ``name = ...`` line of each fenced block of a section with a reference."""
+    """``doc_id, element_id, formula_id, fence, plain, symbol, expression, latex, variables, conditions``.
+
+    The first ``name = ...`` line of each fenced block of a section with a reference.  ``variables`` are the known symbols in it;
+    ``conditions`` come from the text up to the next block, cut at "and", each once.
+    """
+    blocks, between = F.regexp_extract_all("content", F.lit(FENCE), F.lit(1)), F.slice(F.split("content", FENCE), 2, 1 << 30)
     fences = sections.filter("paragraph_ref is not null").select(
-        "doc_id", "element_id", "paragraph_ref", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))).alias("fence", "body")
-    )
-    line = r"(?m)^\s*([A-Za-z]\w*)\s*=\s*(.+)$"
-    found = fences.withColumn("symbol", F.regexp_extract("body", line, 1)).withColumn("expression", F.trim(F.regexp_extract("body", line, 2))).filter("symbol <> ''")
+        "doc_id", "element_id", "paragraph_ref", F.posexplode(F.arrays_zip(blocks.alias("body"), between.alias("after"))).alias("fence", "f")
+    ).select("doc_id", "element_id", "paragraph_ref", "fence", "f.*")
+    line = r"(?m)^[ \t]*(([A-Za-z]\w*)[ \t]*=[ \t]*(\S.*?))[ \t]*$"
+    part = lambda i: F.regexp_extract("body", line, i)
+    found = fences.withColumns({"plain": part(1), "symbol": part(2), "expression": part(3)}).filter("symbol <> ''")
     n = F.row_number().over(W.partitionBy("doc_id", "element_id").orderBy("fence")) - 1
-    return found.select("doc_id", "element_id", F.concat_ws("-f", "paragraph_ref", n).alias("formula_id"), "symbol", "expression")
+    latex = F.regexp_replace(F.replace(F.replace("plain", F.lit("×"), F.lit("\\times ")), F.lit("−"), F.lit("-")), r"^(\w+)\s*=\s*\(([^)]+)\)\s*/\s*\(([^)]+)\)\s*$", r"$1 = \\frac{$2}{$3}")
+    known = F.filter(F.array(*map(F.lit, SYMBOLS)), lambda s: F.regexp_like(F.col("plain"), F.concat(F.lit("(?<![A-Za-z])"), s, F.lit("(?![A-Za-z])"))))
+    clauses = F.flatten(F.transform(F.regexp_extract_all(F.coalesce("after", F.lit("")), F.lit(APPLIES), F.lit(1)), lambda c: F.split(c, r"\s+(?:AND|and)\s+")))
+    conditions = F.array_distinct(F.filter(F.transform(clauses, lambda c: F.regexp_replace(F.trim(c), r"[.:]+$", "")), lambda c: c != ""))
+    return found.select(
+        "doc_id", "element_id", F.concat_ws("-f", "paragraph_ref", n).alias("formula_id"), "fence", "plain", "symbol", "expression",
+        latex.alias("latex"), known.alias("variables"), conditions.alias("conditions"),
+    )
 
 
 def cross_references(elements: DataFrame, index: DataFrame) -> DataFrame:
@@ -143,5 +187,70 @@ def cross_references(elements: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def reference_index(elements: DataFrame) -> DataFrame:
-    """``doc_id, ref, target_id``: the last element of a document with each reference."""
-    return elements.filter("paragraph_ref is not null").groupBy("doc_id", F.upper("paragraph_ref").alias("ref")).agg(F.max_by("element_id", "ord").alias("target_id"))
+    """``doc_id, ref, target_id``: the last element of a document with each reference, and of each table id after "TABLE "."""
+    refs = elements.select("doc_id", "element_id", "ord", F.upper("paragraph_ref").alias("ref"))
+    if "table_id" in elements.columns:
+        refs = refs.unionByName(elements.select("doc_id", "element_id", "ord", F.concat(F.lit("TABLE "), F.upper("table_id")).alias("ref")))
+    return refs.filter("ref is not null").groupBy("doc_id", "ref").agg(F.max_by("element_id", "ord").alias("target_id"))
+
+
+def tables(sections: DataFrame) -> DataFrame:
+    """``doc_id, element_id, block, table_id, caption, table_ref, headers, rows, content``: pipe tables with their ids, one row each.
+
+    The id is the one that the heading names after "Table", else the section's reference (with the table's place after the
+    first), else ``TBL-`` and its place.  The caption is what follows the id in the heading.
+    """
+    key = ["doc_id", "element_id", "block"]
+    text = table_blocks(sections).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("l"))
+    cells = repaired_rows(table_rows(sections)).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("r"))
+    named = cells.join(text, key).join(sections.select("doc_id", "element_id", "title", "paragraph_ref"), ["doc_id", "element_id"])
+    named = named.withColumn("clean", F.expr(stripped("title")))
+    explicit = F.nullif(F.upper(F.regexp_extract("clean", rf"(?i)\bTable\s+({REFERENCE})\b", 1)), F.lit(""))
+    own = F.when(F.col("block") == 0, F.col("paragraph_ref")).otherwise(F.concat_ws("-", "paragraph_ref", "block"))
+    placed = F.when(F.col("paragraph_ref").isNotNull(), own).otherwise(F.concat(F.lit("TBL-"), "block"))
+    named = named.withColumn("table_id", F.coalesce(explicit, placed))
+    after = lambda lead: rf"(?i){lead}\\Q', table_id, '\\E\\b\\s*(.*)$"
+    pick = " ".join(f"when clean rlike concat('{p}') then regexp_extract(clean, concat('{p}'), 1)" for p in (after(r"\\bTable\\s+"), after(r"\\b")))
+    caption = F.expr(f"case {pick} end")
+    # Fixed patterns of what a caption is rid of.
+    for pattern, to in ((r"^[ :;-]+|[ :;-]+$", ""), (r"(?i)\bCont(?:inued)?'?d\b\.?", ""), (r"\(\s*\)", ""), (r"\s+", " "), (r"^[ :;-]+|[ :;-]+$", "")):
+        caption = F.regexp_replace(caption, pattern, to)
+    return named.select(
+        *key, "table_id", F.nullif(caption, F.lit("")).alias("caption"),
+        F.coalesce("paragraph_ref", F.when(~F.col("table_id").startswith("TBL-"), F.col("table_id"))).alias("table_ref"),
+        F.col("r.cells")[0].alias("headers"), F.slice("r.cells", 2, 1 << 30).alias("rows"), F.array_join("l.content", "\n").alias("content"),
+    )
+
+
+def elements(docs: DataFrame) -> DataFrame:
+    """All elements of markdown documents in order, with ids of one namespace.
+
+    ``doc_id, ord, element_id, element_type, paragraph_ref, title, page, parent_id, content, table_id, caption, headers, rows,
+    variables, conditions``: sections, each followed by its tables and its formulas.
+    """
+    found = sections(docs)
+    at = found.select("doc_id", F.col("element_id").alias("parent"), "section", "page", F.col("paragraph_ref").alias("section_ref"))
+    parts = "struct<table_id:string,caption:string,headers:array<string>,rows:array<array<string>>>", "struct<variables:array<string>,conditions:array<string>>"
+    none = [F.lit(None).cast(p) for p in parts]
+    heads = found.select(
+        "doc_id", "section", F.lit(0).alias("kind"), F.lit(0).alias("n"), "element_id", F.lit("section").alias("element_type"), "paragraph_ref",
+        "title", "page", "parent_id", "content", none[0].alias("t"), none[1].alias("f"),
+    )
+
+    def below(children: DataFrame, kind: int, n: str, prefix: str, name: str, ref: str, title: Column, content: str, t: Column, f: Column) -> DataFrame:
+        joined = children.join(at, (children["doc_id"] == at["doc_id"]) & (children["element_id"] == at["parent"])).drop(at["doc_id"])
+        return joined.select(
+            "doc_id", "section", F.lit(kind).alias("kind"), F.col(n).alias("n"), F.expr(f"concat('{prefix}-', {slug(name)})").alias("element_id"),
+            F.lit("table" if kind == 1 else "formula").alias("element_type"), F.col(ref).alias("paragraph_ref"), title.alias("title"), "page",
+            F.col("parent").alias("parent_id"), F.trim(F.col(content)).alias("content"), t.alias("t"), f.alias("f"),
+        )
+
+    t = below(tables(found), 1, "block", "tbl", "table_id", "table_ref", F.concat(F.lit("Table "), "table_id"), "content", F.struct("table_id", "caption", "headers", "rows"), none[1])
+    f = below(formulas(found), 2, "fence", "fml", "formula_id", "section_ref", F.col("formula_id"), "plain", none[0], F.struct("variables", "conditions"))
+    every = heads.unionByName(t).unionByName(f)
+    order = W.partitionBy("doc_id").orderBy("section", "kind", "n")
+    repeat = F.row_number().over(W.partitionBy("doc_id", "element_id").orderBy("section", "kind", "n"))
+    unique = F.when((F.col("kind") > 0) & (repeat > 1), F.concat_ws("-", "element_id", repeat)).otherwise(F.col("element_id"))
+    return every.withColumn("ord", F.row_number().over(order)).withColumn("element_id", unique).select(
+        "doc_id", "ord", "element_id", "element_type", "paragraph_ref", "title", "page", "parent_id", "content", "t.*", "f.*"
+    )
