@@ -243,7 +243,7 @@ def coders(rank_file: str, limit: int) -> tuple[Transducer, Decoder]:
 
 def code(
     docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = False, limit: int = 350_000,
+    with_ids: bool = False, limit: int = 350_000, keep: bool = True,
 ) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also ids, decoded.
 
@@ -251,13 +251,14 @@ def code(
     the empty one: no ids.  Ids, null or repeated, are passed through; rows are independent, so
     nothing is shuffled and a lost executor costs only its tasks.  Only the two named columns are
     read.  ``rank_file`` is read by each worker: a vocabulary that is installed on every machine.
-    A worker process keeps its transducer from one task to the next.
+    A worker process keeps its transducer from one task to the next, unless ``keep`` is false.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>, decoded string" if with_ids else ""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = per_process(("bpe", rank_file, limit), lambda: coders(rank_file, limit))
+        make = lambda: coders(rank_file, limit)
+        encoder, decoder = per_process(("bpe", rank_file, limit), make) if keep else make()
         split = regex.compile(pattern)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
