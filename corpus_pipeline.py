@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from gneiss.llm import bpe, exact_dedup, jaccard, mixing, scratch, toxicity
 from gneiss.llm.scratch import PLACE, placed, stored
 
+#: Rows of a batch that Python workers get, in all stages.
+BATCH_ROWS = 1000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -28,6 +31,8 @@ def _stage(work: Stage) -> Stage:
     @wraps(work)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.sweep("pipeline")
+        # A batch of whole texts is held by a worker and by its executor at once.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         with scratch.owned("pipeline"):
             return work(spark, docs, sf_dir)
 
@@ -71,8 +76,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row's text, and digests of the ids and of what they decode to; a null text has no ids."""
-    # Fewer kept words and states than by default: executors still hold memory of the stages before.
-    out = bpe.code(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, limit=50_000)
+    # Fewer words and states than by default, and none after a task: the stages share their executors' memory.
+    out = bpe.code(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, limit=80_000, keep=False)
     return out.drop("decoded")
 
 
