@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators import graph as G
 from gneiss.operators import retrieval as R
-from gneiss.session import table
+from gneiss.session import checkpointed, table
 
 DEPTH = 50
 
@@ -30,7 +30,7 @@ def content_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def ood_cap(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").filter("role = 'user'").select(F.expr("conv_id * 1000 + turn").alias("query_id"), "text")
-    out = R.overlap(turns, items(spark, sf).select("text"))
+    out = R.overlap(turns, documents(spark, sf))
     return out.select("query_id", "n_terms", "n_known", F.round("overlap", 6).alias("overlap"))
 
 
@@ -43,12 +43,13 @@ def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _two_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items against documents: by BM25, and by shared content terms (which stand for a second signal)."""
+    """Benchmark items against documents: by embedding and by BM25, each to the depth that is fused."""
     docs, asked = documents(spark, sf), items(spark, sf)
-    terms = docs.select("doc_id", F.explode(R.content_terms(F.col("text"))).alias("term"))
-    want = asked.select("query_id", F.explode(R.content_terms(F.col("text"))).alias("term"))
-    shared = terms.join(want, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    return R.top(shared, DEPTH), R.bm25(docs, asked, DEPTH)
+    vectors = lambda d: R.hash_embed(d, digest="md5").withColumnRenamed("embedding", "v")
+    base, queries = checkpointed(vectors(docs)), vectors(asked.withColumnRenamed("query_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
+    # An item's id says nothing about the document of that number.
+    near = R.nearest(base, queries.withColumn("query_id", -1 - F.col("query_id")), DEPTH).withColumn("query_id", -1 - F.col("query_id"))
+    return checkpointed(near), checkpointed(R.bm25(docs, asked, DEPTH))
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,12 +58,26 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retrieval_modes(spark: SparkSession, sf: str) -> DataFrame:
-    """Both signals, or one of them; all three from one computation of the lists, capped by lexical overlap."""
-    first, second = _two_lists(spark, sf)
-    caps = R.overlap(items(spark, sf), documents(spark, sf)).withColumn("cap", F.col("overlap"))
+    """The four modes from one computation of the lists.
+
+    Scores are capped by how many of a query's terms the documents have, times its best similarity where there is a vector list.  In
+    the full mode neighbours in a graph of documents (each with the one of an eighth of its number) join before the cut.
+    """
+    near, lexical = _two_lists(spark, sf)
+    shares = checkpointed(R.overlap(items(spark, sf), documents(spark, sf)).select("query_id", "overlap"))
+    alike = near.groupBy("query_id").agg(F.max("score").alias("alike"))
+    by_both = shares.join(alike, "query_id", "left").select("query_id", (F.col("overlap") * F.coalesce("alike", F.lit(0.0))).alias("cap"))
+    by_words = shares.select("query_id", F.col("overlap").alias("cap"))
+    modes = {
+        "hybrid_no_graph": R.normalised(R.fuse([near, lexical]), by_both, 10), "vector_only": R.normalised(R.fuse([near]), by_both, 10),
+        "bm25_only": R.normalised(R.fuse([lexical]), by_words, 10),
+    }
+    edges = documents(spark, sf).selectExpr("doc_id as src", "doc_id div 8 as dst").filter("src <> dst")
+    wide = G.expand(modes["hybrid_no_graph"].select("query_id", F.col("doc_id").alias("id"), "score"), edges, 1)
+    modes["hybrid"] = R.top(wide.select("query_id", F.col("id").alias("doc_id"), F.round("score", 9).alias("score")), 10)
     out = None
-    for mode, lists in (("hybrid", [first, second]), ("bm25_only", [second]), ("overlap_only", [first])):
-        one = R.normalised(R.fuse(lists), caps, 10).select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    for mode, one in modes.items():
+        one = one.select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -106,18 +121,19 @@ def _seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 def _expanded(hops: int):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return G.expand(_seeds(spark, sf), _edges(spark, sf).filter("ord < 10"), hops).select("query_id", "id", "hop", F.round("score", 9).alias("score"))
+        return G.expand(_seeds(spark, sf), _edges(spark, sf), hops).select("query_id", "id", "hop", F.round("score", 9).alias("score"))
 
     return query
 
 
 def graph_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    wide = G.expand(_seeds(spark, sf), _edges(spark, sf).filter("ord < 10"), 2).withColumnRenamed("id", "doc_id")
+    wide = G.expand(_seeds(spark, sf), _edges(spark, sf), 2).withColumnRenamed("id", "doc_id")
     return R.top(wide, 10).select("query_id", "doc_id", "hop", "rank", F.round("score", 9).alias("score"))
 
 
 def orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return G.orphans(table(spark, sf, "customer").selectExpr("concat('c', c_custkey) as id"), _edges(spark, sf).filter("kind = 'references'"))
+    """Customers without a large order."""
+    return G.orphans(table(spark, sf, "customer").selectExpr("concat('c', c_custkey) as id"), _edges(spark, sf).join(table(spark, sf, "orders").filter("o_totalprice > 250000").selectExpr("concat('o', o_orderkey) as dst"), "dst", "left_semi"))
 
 
 def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,10 +162,18 @@ def bm25_sql(depth: int) -> str:
     bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs WHERE score > 0) WHERE rank <= {depth})"""
 
 
-_LISTS = f"""{bm25_sql(DEPTH)},
-    dc AS (SELECT doc_id, unnest({CONTENT}) AS term FROM documents), qq AS (SELECT item_id AS query_id, unnest({CONTENT}) AS term FROM benchmark),
-    sh AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM dc JOIN qq USING (term) GROUP BY ALL),
-    ov AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sh) WHERE rank <= {DEPTH})"""
+def _vector_sql(source: str, key: str) -> str:
+    """Hashed embeddings, sparse: key, column, weight."""
+    words = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\\\p{{L}}\\\\p{{N}}-]+'), lambda w: len(w) >= 2 AND NOT list_contains({_STOP}, w))".replace("\\\\", "\\")
+    return f"""(WITH w AS (SELECT {key} AS id, unnest({words}) AS w FROM {source}), c AS (SELECT id, ('0x' || md5(w)[:8])::BIGINT % 384 AS col, 1 + ln(count(*)) AS x FROM w GROUP BY ALL),
+        n AS (SELECT id, col, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM c) SELECT id, col, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM n)"""
+
+
+_LISTS = f"""{bm25_sql(DEPTH)}, vd AS MATERIALIZED {_vector_sql("documents", "doc_id")}, vq AS MATERIALIZED {_vector_sql("benchmark", "item_id")},
+    vs0 AS (SELECT vq.id AS query_id, vd.id AS doc_id, round(sum(vq.x * vd.x), 9) AS score FROM vq JOIN vd USING (col) GROUP BY ALL),
+    vs AS (SELECT q.query_id, d.doc_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT id AS query_id FROM vq) q CROSS JOIN (SELECT DISTINCT id AS doc_id FROM vd) d LEFT JOIN vs0 USING (query_id, doc_id)),
+    ov AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vs) WHERE rank <= {DEPTH}),
+    dc AS (SELECT doc_id, unnest({CONTENT}) AS term FROM documents), qq AS (SELECT item_id AS query_id, unnest({CONTENT}) AS term FROM benchmark)"""
 
 
 def _knn_sql(extra: str) -> str:
@@ -168,23 +192,23 @@ _EDGES = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, '
 
 
 def _expand_sql(hops: int) -> str:
-    return f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e WHERE ord < 10 UNION SELECT dst, src FROM e WHERE ord < 10),
+    return f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
     x AS (SELECT r_regionkey AS query_id, 'r' || r_regionkey AS id, 0 AS hop FROM region UNION SELECT query_id, dst, hop + 1 FROM x JOIN b ON x.id = b.src WHERE hop < {hops}),
     m AS (SELECT query_id, id, min(hop)::INT AS hop FROM x GROUP BY ALL)"""
 
 
-def _mode_sql(mode: str, lists: list[str]) -> str:
+def _mode_sql(name: str, lists: list[str], cap: str) -> str:
     union = " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM {x}" for x in lists)
-    return f"""SELECT '{mode}' AS mode, query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM (
+    return f"""{name} AS (SELECT query_id, doc_id, rank, score FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-            SELECT query_id, doc_id, round(fused / max(fused) OVER (PARTITION BY query_id) * overlap, 9) AS score FROM (
-                SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS fused FROM ({union}) GROUP BY ALL) JOIN cap USING (query_id))) WHERE rank <= 10"""
+            SELECT query_id, doc_id, round(fused / max(fused) OVER (PARTITION BY query_id) * least(1, greatest(0, {cap})), 9) AS score FROM (
+                SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS fused FROM ({union}) GROUP BY ALL) JOIN cap USING (query_id))) WHERE rank <= 10)"""
 
 
 ORACLES = {
     "bm25_topk": f"WITH {bm25_sql(10)} SELECT query_id, doc_id, rank::INT AS rank, score FROM bm",
     "content_tokens": f"SELECT doc_id, len({CONTENT}) AS n_terms FROM documents",
-    "ood_cap": f"""WITH voc AS (SELECT DISTINCT unnest({CONTENT}) AS term FROM benchmark), q AS (SELECT conv_id * 1000 + turn AS query_id, {CONTENT} AS t FROM conversations WHERE role = 'user'),
+    "ood_cap": f"""WITH voc AS (SELECT DISTINCT unnest({CONTENT}) AS term FROM documents), q AS (SELECT conv_id * 1000 + turn AS query_id, {CONTENT} AS t FROM conversations WHERE role = 'user'),
         k AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, unnest(t) AS term FROM q) JOIN voc USING (term) GROUP BY ALL)
         SELECT query_id, len(t) AS n_terms, coalesce(n, 0) AS n_known, round(CASE WHEN len(t) > 0 THEN coalesce(n, 0) / len(t)::DOUBLE ELSE 0 END, 6) AS overlap FROM q LEFT JOIN k USING (query_id)""",
     "knn_topk": _knn_sql(""),
@@ -193,16 +217,24 @@ ORACLES = {
         (SELECT query_id, doc_id, rank FROM ov UNION ALL SELECT query_id, doc_id, rank FROM bm) GROUP BY ALL)
         SELECT query_id, doc_id, rank::INT AS rank, round(fused, 9) AS fused FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS rank FROM f) WHERE rank <= 10""",
     "retrieval_modes": f"""WITH {_LISTS}, voc AS (SELECT DISTINCT term FROM dc), kn AS (SELECT query_id, count(voc.term) AS n, count(*) AS m FROM qq LEFT JOIN voc USING (term) GROUP BY ALL),
-        cap AS (SELECT item_id AS query_id, coalesce(n / m::DOUBLE, 0) AS overlap FROM benchmark LEFT JOIN kn ON item_id = query_id)
-        {_mode_sql("hybrid", ["ov", "bm"])} UNION ALL {_mode_sql("bm25_only", ["bm"])} UNION ALL {_mode_sql("overlap_only", ["ov"])}""",
-    "exact_ref_promotion": f"""WITH {bm25_sql(10)}, nm AS (SELECT bm.*, contains(d.text, b.text) AS named FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id),
-        sc AS (SELECT query_id, doc_id, CASE WHEN named THEN 'exact_ref' ELSE 'hybrid' END AS origin, CASE WHEN named THEN greatest(max(score) OVER (PARTITION BY query_id), 1) ELSE score END AS score FROM nm)
+        al AS (SELECT query_id, max(score) AS alike FROM ov GROUP BY query_id),
+        cap AS (SELECT item_id AS query_id, coalesce(n / m::DOUBLE, 0) AS overlap, coalesce(n / m::DOUBLE, 0) * coalesce(alike, 0) AS joint FROM benchmark LEFT JOIN kn ON item_id = kn.query_id LEFT JOIN al ON item_id = al.query_id),
+        {_mode_sql("m1", ["ov", "bm"], "joint")}, {_mode_sql("m2", ["ov"], "joint")}, {_mode_sql("m3", ["bm"], "overlap")},
+        ed AS (SELECT doc_id AS a, doc_id // 8 AS b FROM documents WHERE doc_id <> doc_id // 8), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+        nb AS (SELECT DISTINCT query_id, b AS doc_id FROM m1 JOIN bo ON doc_id = a), best AS (SELECT query_id, max(score) AS best FROM m1 GROUP BY query_id),
+        x AS (SELECT query_id, doc_id, score FROM m1 UNION ALL SELECT query_id, doc_id, round(best * 0.5, 9) FROM nb JOIN best USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.query_id = nb.query_id AND m1.doc_id = nb.doc_id)),
+        m0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 10)
+        {" UNION ALL ".join(f"SELECT '{mode}' AS mode, query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM {m}" for mode, m in (("hybrid", "m0"), ("hybrid_no_graph", "m1"), ("vector_only", "m2"), ("bm25_only", "m3")))}""",
+    "exact_ref_promotion": f"""WITH {bm25_sql(10)}, nm AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text)),
+        hi AS (SELECT query_id, greatest(max(score), 1) AS high FROM bm GROUP BY query_id),
+        sc AS (SELECT query_id, doc_id, 'exact_ref' AS origin, coalesce(high, 1) AS score FROM nm LEFT JOIN hi USING (query_id)
+            UNION ALL SELECT query_id, doc_id, 'hybrid', score FROM bm WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.query_id = bm.query_id AND nm.doc_id = bm.doc_id))
         SELECT query_id, doc_id, origin, row_number() OVER (PARTITION BY query_id ORDER BY origin, score DESC, doc_id)::INT AS rank, round(score, 6) AS score FROM sc""",
     "graph_build": f"WITH {_EDGES} SELECT kind, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY kind",
     "edge_dedup": f"WITH {_EDGES} SELECT DISTINCT src, dst, kind, weight FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY weight DESC, ord) AS n FROM e) WHERE n = 1",
     "graph_retrieve": _expand_sql(2) + """, s AS (SELECT query_id, id AS doc_id, hop, round(1.0::DOUBLE / (1 + query_id) * pow(0.5, hop), 12) AS score FROM m)
         SELECT query_id, doc_id, hop, rank::INT AS rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
-    "orphans": "SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orphans": "SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)",
     "node_degrees": f"""WITH {_EDGES} SELECT 'p' || p_partkey AS id, 0::BIGINT AS out_degree, coalesce(n, 0) AS in_degree
         FROM part LEFT JOIN (SELECT dst, count(*) AS n FROM e GROUP BY dst) ON dst = 'p' || p_partkey""",
 } | {f"graph_expand_h{h}": _expand_sql(h) + " SELECT query_id, id, hop, round(1.0::DOUBLE / (1 + query_id) * pow(0.5, hop), 9) AS score FROM m" for h in (1, 2, 3)}
