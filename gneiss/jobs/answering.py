@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.jobs import calculations
 from gneiss.jobs import retrieval as J
 from gneiss.operators import answers as A
+from gneiss.operators import respond as R
 from gneiss.session import table
 
 
@@ -34,7 +36,25 @@ def citation_ladder(spark: SparkSession, sf: str) -> DataFrame:
     return A.resolve(cited, index)
 
 
-QUERIES = {f.__name__: f for f in (prompt_build, cited_answers, evidence_check, citation_ladder)}
+def _questions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A calculation for every order line, some without inputs, and every fourth a plain question; hits lack evidence for some, relevance for others."""
+    lines = calculations.requests(spark, sf).join(table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("supp")), "l_orderkey").filter("l_linenumber = 1")
+    # Lines of one number that repeat in an order are one question.
+    lines = lines.groupBy("l_orderkey", "supp").agg(F.min(F.struct("p_mpa", "component", "diameter_mm", "temp_c", "material", "joint_type", "rt_level", "ca_mm")).alias("r")).select("l_orderkey", "supp", "r.*")
+    asked = lines.selectExpr("l_orderkey as query_id", """case when l_orderkey % 4 = 3 then 'What do joints of this kind need?' else
+        concat('Compute the thickness: P = ', p_mpa, ' MPa, ', case when component = 'cylinder_outside' then 'OD ' else 'ID ' end, coalesce(cast(diameter_mm as string), 'unknown'), ' mm, T=', temp_c, '°C, ', material,
+               ', Type ', joint_type, ', ', replace(rt_level, 'RT', 'radiography'), case when component = 'sphere' then ', spherical' else '' end, ', CA ', ca_mm, ' mm.') end as query""")
+    refs = "case when supp % 5 = 0 then array('A-2', 'Table M-1') else array('A-27(c)(1)', 'table M-1', 'B-12') end"
+    hits = lines.selectExpr("l_orderkey as query_id", "if(l_orderkey % 7 = 0, 0.01D, 0.9D) as score", f"posexplode({refs}) as (at, ref)").selectExpr("query_id", "score", "at + 1 as rank", "ref", "concat('\n Text of ', ref, '\nmore') as text")
+    return asked, hits
+
+
+def answer_flow(spark: SparkSession, sf: str) -> DataFrame:
+    out = R.respond(*_questions(spark, sf))
+    return out.groupBy("kind", "confidence", "refusal_reason").agg(F.count("*").alias("n"), F.sum("query_id").alias("queries"), F.countDistinct("answer").alias("answers"))
+
+
+QUERIES = {f.__name__: f for f in (prompt_build, cited_answers, evidence_check, citation_ladder, answer_flow)}
 
 _HITS = f"WITH {J.bm25_sql(10)}, h AS (SELECT bm.*, d.text, d.lang AS kind, d.source AS ref FROM bm JOIN documents d USING (doc_id))"
 ORACLES = {
@@ -48,4 +68,12 @@ ORACLES = {
         SELECT *, english AND long_text AND early_source AS complete FROM c""",
     "citation_ladder": """SELECT l_orderkey, l_linenumber, 'A-' || n || '(c)(' || l_linenumber || ')' AS ref, CASE WHEN n < 10 THEN 'A-' || n || '(c)' WHEN n < 20 THEN 'A-' || n END AS resolved,
         CASE WHEN n < 10 THEN 1 WHEN n < 20 THEN 2 END::INT AS depth FROM (SELECT *, l_partkey % 30 AS n FROM lineitem)""",
+    "answer_flow": calculations.CALC + """, uq AS (SELECT l_orderkey, min(l_suppkey) AS supp FROM lineitem GROUP BY l_orderkey),
+        wq AS (SELECT * FROM (SELECT h.*, supp, row_number() OVER (PARTITION BY l_orderkey ORDER BY p, component, dia NULLS FIRST, temp_c, material, joint_type, rt_level, ca10) AS first FROM h JOIN uq USING (l_orderkey) WHERE l_linenumber = 1) WHERE first = 1),
+        gq AS (SELECT l_orderkey AS q, component, p, dia, temp_c, material, joint_type, rt_level, ca10, CASE WHEN q % 7 = 0 THEN 'relevance' WHEN q % 4 = 3 THEN NULL WHEN material <> 'unknown' AND temp_c > max_temp THEN 'temperature'
+            WHEN dia IS NULL OR material = 'unknown' THEN 'missing: ' || concat_ws(', ', CASE WHEN dia IS NULL THEN 'inside or outside diameter' END, CASE WHEN material = 'unknown' THEN 'supported SM material' END)
+            WHEN supp % 5 = 0 THEN 'evidence: A-27, B-12' WHEN error_code IS NOT NULL THEN 'calculation: ' || error_code END AS reason, q % 4 = 3 AS plain, supp,
+            concat_ws(' ', component, p, dia, sn::DOUBLE / qd, e, t100, td100, plate) AS sum FROM wq)
+        SELECT CASE WHEN reason IS NOT NULL THEN 'refusal' WHEN plain THEN 'summary' ELSE 'calculation' END AS kind, CASE WHEN reason IS NOT NULL THEN 'insufficient' WHEN plain THEN 'medium' ELSE 'high' END AS confidence,
+            reason AS refusal_reason, count(*) AS n, sum(q)::BIGINT AS queries, count(DISTINCT CASE WHEN reason IS NULL THEN CASE WHEN plain THEN (supp % 5 = 0)::VARCHAR ELSE sum END END) AS answers FROM gq GROUP BY ALL""",
 }

@@ -134,9 +134,25 @@ def test_quotes_and_references(spark):
 def test_sources(spark, tmp_path):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, io.upsert(old, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
-    assert [r.k for r in io.remaining(old, new, "k").collect()] == [1]
+    assert sorted(map(tuple, io.upsert(old, new.union(new), "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert [r.k for r in io.remaining(old, new.filter("k = 2"), "k").collect()] == [1]
+    with pytest.raises(ValueError, match="another set"):
+        io.remaining(old, new, "k")
+    one, two = (io.dataset_digest(d, "k").first() for d in (old.union(new), new.union(old).repartition(5)))
+    assert one == two and one.n == 4 and one.digest != io.dataset_digest(old.union(old), "k").first().digest
+    old.write.parquet(str(tmp_path / "n"))
+    io.write_graph(old, new, str(tmp_path / "graph"))
+    assert [d.count() for d in io.read_graph(spark, str(tmp_path / "graph"))] == [2, 2]
+    scores = spark.createDataFrame([("r1", 1, "m", 1.0, True), ("r1", 2, "m", 0.0, False)], "run_id string, example_id int, metric string, value double, passed boolean")
+    io.finish_run(scores, spark.createDataFrame([("r1", "base")], "run_id string, config string"), str(tmp_path / "runs"))
+    done = spark.read.json(str(tmp_path / "runs_manifest")).first()
+    assert (done.n_examples, done.n_passed, done.config, done.complete) == (2, 1, "base", True)
+    (tmp_path / "m.json").write_text('[{"spec_no": "SM-1", "grade": "", "max_temp_c": 500, "stress_values_mpa": {"40": 138, "100": 120.5}}]')
+    assert sorted(map(tuple, io.read_materials(spark, str(tmp_path / "m.json")).collect())) == [("SM-1", 40, 138.0, 500), ("SM-1", 100, 120.5, 500)]
+    name = io.run_id(F.lit("2026-01-02 03:04:05").cast("timestamp"), F.lit(" No Gate! "), F.lit("A/b 70"))
+    assert spark.range(1).select(name).first()[0] == "20260102T030405_no-gate_a-b-70"
     (tmp_path / "x.md").write_text("## A\nb")
-    assert io.read_markdown(spark, str(tmp_path)).first().text == "## A\nb"
+    assert io.read_markdown(spark, f"{tmp_path}/*.md").first().text == "## A\nb"
     for v in (1, 2):
         io.write_run(spark.createDataFrame([("r1", v)], "run_id string, v int"), str(tmp_path / "runs"))
     assert [r.v for r in spark.read.parquet(str(tmp_path / "runs")).collect()] == [2]
