@@ -41,7 +41,7 @@ not a table
 | a | b |
 |---|---|
 |---|---|
-| 1 |
+| 1 | 2 |
 ## Table UW-12 - Joints Cont'd ( )
 | a |
 |---|
@@ -54,7 +54,7 @@ def test_tables(spark):
     got = parsing.tables(parsing.sections(docs)).orderBy("element_id", "block").collect()
     assert [(r.table_id, r.caption, r.table_ref, r.headers, r.rows) for r in got] == [
         ("A-1", "Group values", "A-1", ["Spec", "Grade", "P", "Q", "100 °C", "Group max °C"], [["x", "y", "1", "2", "3", "4"]]),
-        ("A-1-3", None, "A-1", ["a", "b"], [["---", "---"], ["1", ""]]),
+        ("A-1-3", None, "A-1", ["a", "b"], [["---", "---"], ["1", "2"]]),
         ("UW-12", "Joints Cont d", "UW-12", ["a"], [["1"]]),
     ]
     e = parsing.elements(docs).filter("doc_id = 1").orderBy("ord").collect()
