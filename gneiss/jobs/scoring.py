@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.jobs import standards
+from gneiss.jobs import evaluation, standards
 from gneiss.operators import citations as C
+from gneiss.operators import evidence as E
 from gneiss.operators import metrics as M
 from gneiss.operators import parsing as P
 from gneiss.session import checkpointed, table
@@ -130,6 +131,10 @@ def agent_aggregate(spark: SparkSession, sf: str) -> DataFrame:
         "concat('run-', conv_id % 3) as run_id", "last = 'assistant' as passed", "n_calls", "n_errors", "case when last = 'assistant' then 'finalized' when n_calls > 4 then 'budget_steps_exhausted' else 'error' end as termination"))
 
 
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    return M.report(E.run_aggregate(evaluation._scores(spark, sf)))
+
+
 def ablation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """What each configuration does with each order: which would be refused, calculated, and checked."""
     m = M.ablations(table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus = 'F' as foreign", "o_totalprice > 150000 as priced"))
@@ -177,7 +182,7 @@ def per_page(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     citation_validate, citation_accuracy, confidence_downgrade, response_violations, quote_lines, retrieval_metrics, structural_completeness, refusal_calibration, entity_grounding,
-    example_scores, refusal_sweep, agent_aggregate, ablation_matrix, table_recovery, parser_recall, per_page,
+    example_scores, refusal_sweep, agent_aggregate, run_report, ablation_matrix, table_recovery, parser_recall, per_page,
 )}
 
 _CITED = """c AS (SELECT l_orderkey AS q, l_linenumber AS cite_no, l_partkey AS part, (l_orderkey + l_linenumber) % 6 AS way FROM lineitem),
@@ -219,6 +224,9 @@ ORACLES = {
     "agent_aggregate": """WITH t AS (SELECT conv_id, max_by(role, turn) AS last, count(*) AS n, count(*) FILTER (WHERE len(coalesce(text, '')) < 200) AS e FROM conversations GROUP BY conv_id)
         SELECT 'run-' || (conv_id % 3) AS run_id, count(*) AS n, round(avg((last = 'assistant')::INT), 6) AS pass_rate, round(avg(n), 6) AS avg_calls, round(avg(e), 6) AS avg_errors, round(avg((last = 'assistant')::INT), 6) AS finalize_rate,
             round(avg((last <> 'assistant' AND n > 4)::INT), 6) AS budget_rate FROM t GROUP BY ALL""",
+    "run_report": f"""WITH {evaluation._SC}, ex AS (SELECT run_id, example_id, bool_and(passed) AS p FROM sc GROUP BY ALL), pr AS (SELECT run_id, round(avg(p::INT), 6) AS pass_rate FROM ex GROUP BY run_id)
+        SELECT run_id, '# ' || run_id || chr(10) || chr(10) || 'Pass rate: ' || printf('%.3f', any_value(pass_rate)) || chr(10) || chr(10) || '| metric | mean | n |' || chr(10) || '|---|---|---|' || chr(10)
+            || string_agg('| ' || metric || ' | ' || printf('%.3f', mean) || ' | ' || n || ' |', chr(10) ORDER BY metric) AS report FROM ra JOIN pr USING (run_id) GROUP BY run_id""",
     "ablation_matrix": """WITH g(config, mode, pinned, gate, enforcer) AS (VALUES ('baseline', 'hybrid', true, true, true), ('bm25-only', 'bm25_only', true, true, true), ('vector-only', 'vector_only', true, true, true), ('no-graph', 'hybrid_no_graph', true, true, true),
             ('no-pinned', 'hybrid', false, true, true), ('no-refusal', 'hybrid', true, false, true), ('no-citation-enforcer', 'hybrid', true, true, false))
         SELECT config, mode, count(*) FILTER (WHERE gate AND o_orderstatus = 'F') AS refused, count(*) FILTER (WHERE pinned AND o_totalprice > 150000 AND NOT (gate AND o_orderstatus = 'F')) AS calculated, count(*) FILTER (WHERE enforcer) AS checked FROM orders, g GROUP BY ALL""",

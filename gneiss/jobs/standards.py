@@ -74,6 +74,16 @@ def corpus_audit(spark: SparkSession, sf: str) -> DataFrame:
     return B.audit(_elements(spark, sf))
 
 
+def element_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Searchable text of the formulas, and whether they cover a reference."""
+    return B.of_types(_elements(spark, sf), ["formula"]).select("doc_id", "element_id", B.element_text().alias("text"), B.covers("a-1").alias("covers"))
+
+
+def graph_browse(spark: SparkSession, sf: str) -> DataFrame:
+    """A report: the first edges of one listing."""
+    return B.graph_listing(_edges(spark, sf).withColumn("src", F.concat_ws("/", "doc_id", "src"))).select("src", "dst", "kind")
+
+
 def weak_components(spark: SparkSession, sf: str) -> DataFrame:
     """Countries, their customers and suppliers, joined within a region: a region's countries are one component."""
     t = lambda n: table(spark, sf, n)
@@ -86,7 +96,7 @@ def weak_components(spark: SparkSession, sf: str) -> DataFrame:
     return G.weak_components(nodes, edges).groupBy("component").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (doc_elements, doc_formulas, doc_edges, doc_nodes, doc_neighbours, listing_quality, corpus_audit, weak_components)}
+QUERIES = {f.__name__: f for f in (doc_elements, doc_formulas, doc_edges, doc_nodes, doc_neighbours, listing_quality, corpus_audit, element_search, graph_browse, weak_components)}
 
 _O = """o AS (SELECT l_orderkey AS d, count(*) AS n, l_orderkey % 40 + 1 AS a, l_orderkey % 30 + 50 AS b FROM lineitem GROUP BY l_orderkey)"""
 _ELEMENTS = _O + """, e AS (
@@ -122,6 +132,9 @@ ORACLES = {
             CASE k WHEN 1 THEN 'Shells' WHEN 2 THEN '(c) Thickness' WHEN 3 THEN 'f0' WHEN 4 THEN 'f1' WHEN 5 THEN 'Lines' WHEN 6 THEN 'Lines' WHEN 7 THEN title WHEN 8 THEN 'Stress' WHEN 9 THEN 'Table M-1' ELSE 'Table M-1' END AS topic,
             (CASE k WHEN 1 THEN 41 WHEN 2 THEN 120 WHEN 5 THEN 40 WHEN 6 THEN 95 + n_rows WHEN 8 THEN 96 WHEN 10 THEN 75 ELSE -1 END)::INT AS quality FROM e""",
     "corpus_audit": f"""WITH {_ELEMENTS} SELECT element_type, count(*)::BIGINT AS n, count(DISTINCT CASE WHEN paragraph_ref IS NOT NULL THEN doc_id || ' ' || paragraph_ref END) AS n_refs, 0::BIGINT AS duplicate_ids FROM e GROUP BY element_type""",
+    "element_search": f"""WITH {_ELEMENTS}, f AS (SELECT doc_id, element_id, title || ' ' || paragraph_ref || ' ' || CASE k WHEN 3 THEN 't = (P × R) / (S × E − 0.6 × P)' ELSE 'E = x + 1' END AS text, contains(paragraph_ref, 'A-1') AS covers FROM e WHERE k IN (3, 4))
+        SELECT * FROM f""",
+    "graph_browse": f"WITH {_EDGES} SELECT doc_id || '/' || src AS src, dst, kind FROM x ORDER BY 1, 2, 3 LIMIT 200",
     "weak_components": """WITH x AS (SELECT n_regionkey AS r, 'r' || n_regionkey AS id FROM nation UNION SELECT n_regionkey, 'n' || n_nationkey FROM nation
             UNION SELECT n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
             UNION SELECT n_regionkey, 'o' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)

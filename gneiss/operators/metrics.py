@@ -189,3 +189,11 @@ def per_page(runs: DataFrame) -> DataFrame:
     """Add ``ms_per_page, cost_per_page`` to runs (ms, cost, pages); a document without pages counts as one."""
     pages = F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1))
     return runs.withColumns({"ms_per_page": F.round(F.col("ms") / pages, 4), "cost_per_page": F.round(F.col("cost") / pages, 6)})
+
+
+def report(aggregate: DataFrame) -> DataFrame:
+    """``run_id, report``: a run's metrics (run_id, metric, mean, n, pass_rate) as a short Markdown text."""
+    line = F.format_string("| %s | %.3f | %d |", "metric", "mean", "n")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("metric", line.alias("line")))), lambda x: x["line"]), "\n")
+    text = F.concat(F.lit("# "), "run_id", F.format_string("\n\nPass rate: %.3f\n\n| metric | mean | n |\n|---|---|---|\n", F.max("pass_rate")), body)
+    return aggregate.groupBy("run_id").agg(text.alias("report"))
