@@ -31,7 +31,7 @@ class DigestIndex:
     retried job leaves either all of a batch or none of it.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 256):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         if not spark.catalog.tableExists(self.name):
