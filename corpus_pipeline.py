@@ -61,7 +61,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the one with the smallest id stays; texts without words are in none."""
     rows = placed(docs)
     keep = jaccard.join(rows, k=5, num=80, den=100, place_col=PLACE).filter("first").select(PLACE)
-    return rows.join(keep, PLACE, "left_semi").select(docs.columns)
+    # The places kept grow with the input, so they are not sent to every task.
+    return rows.join(keep.hint("merge"), PLACE, "left_semi").select(docs.columns)
 
 
 @_stage
