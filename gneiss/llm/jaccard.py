@@ -206,11 +206,11 @@ def _alike_in_lists(lists: DataFrame, vertices: DataFrame, num: int, den: int) -
 
     ``lists``: key, d1; ``vertices``: vertex, n, d1, sketch.
     """
+    # Lists are cut into blocks before the sketches come, which so are shuffled once for each list.
+    sized = lists.groupBy("key").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
+    dealt = lists.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"))
     known = vertices.join(lists.select("d1").distinct(), "d1", "left_semi")
-    members = lists.join(known, "d1").withColumn("own", F.pmod(F.xxhash64("vertex"), F.lit(1 << 30)))
-    sized = members.groupBy("key").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sized, "key").withColumn("own", F.pmod("own", F.col("blocks")).cast("int"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    units = dealt.join(known, "d1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vertex", "n", "sketch"
     )
     parts = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "vertex")
