@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.scratch import PLACE, placed, stored
+from gneiss.llm.scratch import PLACE, only, placed, stored
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -100,5 +100,5 @@ def kept_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     """
     rows = placed(docs)
     keep = _grouped(rows, index, id_col, text_col, F.col(PLACE)).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    # Written, so that the index may go before the rows are read.  The places kept grow with the input, so they are not sent to every task.
-    return rows.join(stored(keep.select(F.col("place").alias(PLACE))).hint("merge"), PLACE, "left_semi").select(docs.columns)
+    # ``only`` reads the places now, so the index may go before the rows are read.
+    return only(rows, keep.select(F.col("place").alias(PLACE))).select(docs.columns)

@@ -63,6 +63,27 @@ def placed(docs: DataFrame) -> DataFrame:
     return stored(docs.withColumn(PLACE, F.monotonically_increasing_id()))
 
 
+#: Bits of the table that tells which rows may go: at most 2**18 words of 64.
+GONE_BITS = 1 << 24
+
+
+def only(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of a ``placed`` table whose place ``keep`` has too.
+
+    The places that go mark bits of a table of fixed size.  A row whose bit is not marked stays where it is; the others, those
+    that go and as many as share a bit with one, are shuffled, and a join decides.  Where very many rows go, that is all of them.
+    """
+    gone = stored(rows.select(PLACE).join(keep.select(PLACE).hint("merge"), PLACE, "left_anti"))
+    bit = F.pmod(F.xxhash64(PLACE), F.lit(GONE_BITS))
+    word = F.shiftright(bit, 6).alias("__word")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    bits = gone.select(word, mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
+    told = rows.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    may_go = F.coalesce(F.col("__bits").bitwiseAND(mask), F.lit(0)) != 0
+    decided = told.filter(may_go).select(rows.columns).join(gone.hint("merge"), PLACE, "left_anti")
+    return told.filter(~may_go).select(rows.columns).unionByName(decided)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``stored`` returned, once nothing will read it again."""
     spark = table.sparkSession

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from gneiss.llm import exact_dedup, mixing, sharding
+from gneiss.llm import exact_dedup, mixing, scratch, sharding
 
 SCHEMA = "doc_id long, text string, source string, shard string, size string, keep_id string, digest string"
 ROWS = [
@@ -140,3 +140,13 @@ def test_empty_tables(spark, docs):
     assert mixing.mix(none).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert {r.taken for r in mixing.mix(blank).collect()} == {0}
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_only_keeps_the_rows_named_with_few_and_many_bits(spark, monkeypatch, bits):
+    monkeypatch.setattr(scratch, "GONE_BITS", bits)
+    rows = scratch.placed(spark.range(2000).selectExpr("id", "if(id % 3 = 0, null, 'text') AS text", "'x' AS word").repartition(5))
+    for rule in ("id % 7 = 0", "id % 7 <> 0", "true", "false"):
+        left = scratch.only(rows, rows.filter(rule).select(scratch.PLACE))
+        assert left.columns == rows.columns
+        assert sorted(map(tuple, left.collect())) == sorted(map(tuple, rows.filter(rule).collect()))
