@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import bpe, exact_dedup, jaccard, mixing, scratch, toxicity
-from gneiss.llm.scratch import PLACE, placed, stored
+from gneiss.llm.scratch import PLACE, only, placed, stored
 
 #: Rows of a batch that Python workers get, in all stages.
 BATCH_ROWS = 1000
@@ -61,8 +61,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the one with the smallest id stays; texts without words are in none."""
     rows = placed(docs)
     keep = jaccard.join(rows, k=5, num=80, den=100, place_col=PLACE).filter("first").select(PLACE)
-    # The places kept grow with the input, so they are not sent to every task.
-    return rows.join(keep.hint("merge"), PLACE, "left_semi").select(docs.columns)
+    return only(rows, keep).select(docs.columns)
 
 
 @_stage
