@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, exact_dedup, jaccard, mixing, pii, ppm, quality, sharding, topk, toxicity
+from gneiss.llm import bpe, exact_dedup, jaccard, mixing, periodic, pii, ppm, quality, sharding, topk, toxicity
 from gneiss.llm.scratch import stored
 
 
@@ -64,6 +64,10 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.runs(periodic.with_periodic_tail(_docs(spark, sf_dir))))
+
+
 QUERIES = {
     "op1_attention_quality": op1_attention_quality,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_digest_index": op8_digest_index,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_pivotal_mix": op10_pivotal_mix,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
