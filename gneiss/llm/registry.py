@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, exact_dedup, jaccard, mixing, periodic, pii, ppm, quality, sharding, topk, toxicity
+from gneiss.llm import alignment, bpe, exact_dedup, jaccard, mixing, periodic, pii, ppm, quality, sharding, token_counts, topk, toxicity
 from gneiss.llm.scratch import stored
 
 
@@ -64,6 +64,14 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.runs(periodic.with_periodic_tail(_docs(spark, sf_dir))))
 
@@ -79,6 +87,8 @@ QUERIES = {
     "op8_digest_index": op8_digest_index,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_pivotal_mix": op10_pivotal_mix,
+    "op11_interval_alignment": op11_interval_alignment,
+    "op12_token_counts": op12_token_counts,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
