@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gneiss.jobs import calculations
-from gneiss.jobs.retrieval import CONTENT, bm25_sql, documents, items
+from gneiss.jobs.retrieval import CONTENT, bm25_sql, documents, index, items
 from gneiss.operators import browse as B
 from gneiss.operators import evidence as E
 from gneiss.operators import parsing as P
@@ -98,11 +98,8 @@ def cell_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def precision_recall_k(spark: SparkSession, sf: str) -> DataFrame:
-    docs, asked = documents(spark, sf), items(spark, sf)
-    have = docs.select("doc_id", F.explode(R.content_terms(F.col("text"))).alias("term"))
-    want = asked.select("query_id", R.content_terms(F.col("text")).alias("t")).select("query_id", F.size("t").alias("size"), F.explode("t").alias("term"))
-    relevant = have.join(want, "term").groupBy("query_id", "doc_id", "size").agg(F.count("*").alias("n")).filter("n >= 0.8 * size").select("query_id", "doc_id")
-    return E.precision_recall(R.bm25(docs, asked, 10).select("query_id", "doc_id"), relevant)
+    found, asked = index(spark, sf), items(spark, sf)
+    return E.precision_recall(found.search(asked, 10).select("query_id", "doc_id"), found.sharing(asked, 0.8))
 
 
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:

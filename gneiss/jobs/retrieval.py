@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators import graph as G
+from gneiss.operators import promotion as P
 from gneiss.operators import retrieval as R
+from gneiss.operators.ranked_index import RankedIndex, shared_index
 from gneiss.session import checkpointed, table
 
 DEPTH = 50
@@ -20,8 +22,13 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index(spark: SparkSession, sf: str) -> RankedIndex:
+    """The index of all documents, which the queries of a session share."""
+    return shared_index(documents(spark, sf))
+
+
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25(documents(spark, sf), items(spark, sf), 10)
+    return index(spark, sf).search(items(spark, sf), 10)
 
 
 def content_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +37,7 @@ def content_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def ood_cap(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").filter("role = 'user'").select(F.expr("conv_id * 1000 + turn").alias("query_id"), "text")
-    out = R.overlap(turns, documents(spark, sf))
+    out = index(spark, sf).overlap(turns)
     return out.select("query_id", "n_terms", "n_known", F.round("overlap", 6).alias("overlap"))
 
 
@@ -49,7 +56,7 @@ def _two_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     base, queries = checkpointed(vectors(docs)), vectors(asked.withColumnRenamed("query_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
     # An item's id says nothing about the document of that number.
     near = R.nearest(base, queries.withColumn("query_id", -1 - F.col("query_id")), DEPTH).withColumn("query_id", -1 - F.col("query_id"))
-    return checkpointed(near), checkpointed(R.bm25(docs, asked, DEPTH))
+    return checkpointed(near), checkpointed(index(spark, sf).search(asked, DEPTH))
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +71,7 @@ def retrieval_modes(spark: SparkSession, sf: str) -> DataFrame:
     the full mode neighbours in a graph of documents (each with the one of an eighth of its number) join before the cut.
     """
     near, lexical = _two_lists(spark, sf)
-    shares = checkpointed(R.overlap(items(spark, sf), documents(spark, sf)).select("query_id", "overlap"))
+    shares = checkpointed(index(spark, sf).overlap(items(spark, sf)).select("query_id", "overlap"))
     alike = near.groupBy("query_id").agg(F.max("score").alias("alike"))
     by_both = shares.join(alike, "query_id", "left").select("query_id", (F.col("overlap") * F.coalesce("alike", F.lit(0.0))).alias("cap"))
     by_words = shares.select("query_id", F.col("overlap").alias("cap"))
@@ -84,8 +91,9 @@ def retrieval_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 def exact_ref_promotion(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a benchmark item word for word come first, all of them, ranked or not; the ten best by BM25 follow."""
-    ranked = R.bm25(documents(spark, sf), items(spark, sf), 10)
-    out = R.promote(ranked, R.holders(documents(spark, sf), items(spark, sf)).withColumn("priority", F.lit(0)))
+    ranked = bm25_topk(spark, sf)
+    named = P.holders(documents(spark, sf), items(spark, sf)).withColumns({"priority": F.lit(0), "place": F.lit(0).cast("long")})
+    out = P.promote(ranked, named)
     return out.select("query_id", "doc_id", "origin", "rank", F.round("score", 6).alias("score"))
 
 

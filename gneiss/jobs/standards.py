@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.operators import browse as B
 from gneiss.operators import graph as G
 from gneiss.operators import parsing as P
+from gneiss.operators import promotion as N
 from gneiss.session import checkpointed, table
 
 
@@ -84,6 +85,18 @@ def graph_browse(spark: SparkSession, sf: str) -> DataFrame:
     return B.graph_listing(_edges(spark, sf).withColumn("src", F.concat_ws("/", "doc_id", "src"))).select("src", "dst", "kind")
 
 
+def reference_promotion(spark: SparkSession, sf: str) -> DataFrame:
+    """A question for each document, which gives references in several spellings, or none; its formula, a section and a table are ranked before."""
+    e = _elements(spark, sf)
+    said = """case doc_id % 3 when 0 then concat('What does Table M-1 say of A-', doc_id % 40 + 1, '?') when 1 then concat('see table b-', doc_id % 30 + 50, ' and a-', doc_id % 40 + 1, '(c)') else 'No reference.' end"""
+    asked = e.select("doc_id").distinct().selectExpr("doc_id as query_id", "doc_id as corpus", f"{said} as text")
+    score = """case when element_type = 'formula' and element_id like '%-f0' then 0.9D when element_type = 'section' and paragraph_ref like 'B-%' then 0.3D
+        when element_id = 'tbl-m-1' then if(doc_id % 2 = 0, 1.5D, 0.4D) end"""
+    ranked = e.selectExpr("doc_id as query_id", "element_id as doc_id", f"{score} as score").filter("score is not null")
+    named = N.by_reference(asked, e.withColumnRenamed("doc_id", "corpus"), "corpus").drop("corpus")
+    return N.promote(ranked, named).select("query_id", F.col("doc_id").alias("element_id"), "origin", "rank", "score")
+
+
 def weak_components(spark: SparkSession, sf: str) -> DataFrame:
     """Countries, their customers and suppliers, joined within a region: a region's countries are one component."""
     t = lambda n: table(spark, sf, n)
@@ -96,7 +109,7 @@ def weak_components(spark: SparkSession, sf: str) -> DataFrame:
     return G.weak_components(nodes, edges).groupBy("component").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (doc_elements, doc_formulas, doc_edges, doc_nodes, doc_neighbours, listing_quality, corpus_audit, element_search, graph_browse, weak_components)}
+QUERIES = {f.__name__: f for f in (doc_elements, doc_formulas, doc_edges, doc_nodes, doc_neighbours, listing_quality, corpus_audit, element_search, graph_browse, reference_promotion, weak_components)}
 
 _O = """o AS (SELECT l_orderkey AS d, count(*) AS n, l_orderkey % 40 + 1 AS a, l_orderkey % 30 + 50 AS b FROM lineitem GROUP BY l_orderkey)"""
 _ELEMENTS = _O + """, e AS (
@@ -134,6 +147,11 @@ ORACLES = {
     "corpus_audit": f"""WITH {_ELEMENTS} SELECT element_type, count(*)::BIGINT AS n, count(DISTINCT CASE WHEN paragraph_ref IS NOT NULL THEN doc_id || ' ' || paragraph_ref END) AS n_refs, 0::BIGINT AS duplicate_ids FROM e GROUP BY element_type""",
     "element_search": f"""WITH {_ELEMENTS}, f AS (SELECT doc_id, element_id, title || ' ' || paragraph_ref || ' ' || CASE k WHEN 3 THEN 't = (P × R) / (S × E − 0.6 × P)' ELSE 'E = x + 1' END AS text, contains(paragraph_ref, 'A-1') AS covers FROM e WHERE k IN (3, 4))
         SELECT * FROM f""",
+    "reference_promotion": f"""WITH {_ELEMENTS}, h AS (SELECT doc_id AS query_id, element_id, CASE WHEN k = 3 THEN 0.9 WHEN k = 5 THEN 0.3 WHEN doc_id % 2 = 0 THEN 1.5 ELSE 0.4 END::DOUBLE AS score FROM e WHERE k IN (3, 5, 8)),
+        n AS (SELECT doc_id AS query_id, element_id, k, CASE WHEN k IN (6, 8, 10) THEN 0 ELSE 1 END AS priority FROM e WHERE (doc_id % 3 = 0 AND k IN (1, 2, 8, 10)) OR (doc_id % 3 = 1 AND k IN (1, 2, 5, 6))),
+        p AS (SELECT query_id, element_id, 'exact_ref' AS origin, CASE WHEN query_id % 2 = 0 THEN 1.5 ELSE 1 END::DOUBLE AS score, priority, k FROM n
+            UNION ALL SELECT query_id, element_id, 'hybrid', score, 99, 0 FROM h WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.query_id = h.query_id AND n.element_id = h.element_id))
+        SELECT query_id, element_id, origin, row_number() OVER (PARTITION BY query_id ORDER BY priority, k, score DESC, element_id)::INT AS rank, score FROM p""",
     "graph_browse": f"WITH {_EDGES} SELECT doc_id || '/' || src AS src, dst, kind FROM x ORDER BY 1, 2, 3 LIMIT 200",
     "weak_components": """WITH x AS (SELECT n_regionkey AS r, 'r' || n_regionkey AS id FROM nation UNION SELECT n_regionkey, 'n' || n_nationkey FROM nation
             UNION SELECT n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey

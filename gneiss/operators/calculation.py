@@ -39,7 +39,10 @@ def normalise_rt(col: str) -> str:
 
 
 def with_stress(requests: DataFrame) -> DataFrame:
-    """Add ``known_material, max_temp, s_mpa``: linear between tabulated temperatures, null outside them or above the limit."""
+    """Add ``known_material, max_temp, s_mpa, s_num, s_den``: linear between tabulated temperatures, null outside them or above the limit.
+
+    ``s_num / s_den`` is the stress without rounding, for arithmetic that rounds halves.
+    """
     spark = requests.sparkSession
     b = pinned.brackets(spark)
     dims = b.groupBy("material").agg(F.first("max_temp").alias("max_temp"), F.collect_list(F.struct("lo", "hi", "s_lo", "s_hi")).alias("points"))
@@ -47,11 +50,12 @@ def with_stress(requests: DataFrame) -> DataFrame:
     at = F.expr("element_at(filter(points, p -> p.lo <= temp_c and temp_c < p.hi), 1)")
     # An empty filter gives no element, not an error.
     at = F.when(F.expr("exists(points, p -> p.lo <= temp_c and temp_c < p.hi) and temp_c <= max_temp"), at)
-    return joined.withColumn("b", at).selectExpr(
-        "* except (points, b)", "max_temp is not null as known_material",
-        # Temperatures may have fractions.
-        "cast(b.s_lo as decimal(5,0)) + cast(b.s_hi - b.s_lo as decimal(5,0)) * cast(temp_c - b.lo as decimal(9,4)) / cast(b.hi - b.lo as decimal(5,0)) as s_mpa",
+    # Temperatures may have fractions.
+    told = joined.withColumn("b", at).selectExpr(
+        "* except (points, b)", "max_temp is not null as known_material", "cast(b.hi - b.lo as decimal(5,0)) as s_den",
+        "cast(cast(b.s_lo * (b.hi - b.lo) as decimal(10,0)) + cast(b.s_hi - b.s_lo as decimal(5,0)) * cast(temp_c - b.lo as decimal(9,4)) as decimal(14,4)) as s_num",
     )
+    return told.withColumn("s_mpa", F.expr("s_num / s_den"))
 
 
 def with_efficiency(requests: DataFrame) -> DataFrame:
@@ -59,33 +63,37 @@ def with_efficiency(requests: DataFrame) -> DataFrame:
 
 
 def calculate(requests: DataFrame) -> DataFrame:
-    """Add ``s_mpa, e, t_min_mm, t_design_mm, plate_mm, mawp_mpa, error_code``; one projection chain, no shuffle."""
-    t = with_efficiency(with_stress(requests)).withColumns({
-        "s": F.expr("cast(s_mpa as decimal(12,8))"), "r": F.expr("cast(diameter_mm / 2 as decimal(9,3))"),
-    })
-    t = t.withColumn("se", F.expr("cast(s * e as decimal(14,9))"))
+    """Add ``s_mpa, e, t_min_mm, t_design_mm, plate_mm, mawp_mpa, limit_mpa, error_code``; one projection chain, no shuffle.
+
+    Stress times efficiency stays a fraction ``se / s_den`` until the one division of each result, so halves round up exactly.
+    ``limit_mpa`` is the pressure up to which the formula applies.
+    """
+    t = with_efficiency(with_stress(requests)).withColumn("r", F.expr("cast(diameter_mm / 2 as decimal(9,3))"))
+    t = t.withColumn("se", F.expr("cast(s_num * e as decimal(18,6))")).withColumn("pd", F.expr("cast(p_mpa * s_den as decimal(12,3))"))
     t = t.withColumn("denominator", F.expr(
-        "case component when 'cylinder_inside' then se - 0.6BD * p_mpa when 'cylinder_outside' then se + 0.4BD * p_mpa else 2 * se - 0.2BD * p_mpa end"
+        "cast(case component when 'cylinder_inside' then se - 0.6BD * pd when 'cylinder_outside' then se + 0.4BD * pd else 2 * se - 0.2BD * pd end as decimal(20,6))"
     ))
-    t = t.withColumn("t_min", F.expr("case when denominator > 0 then round(cast(p_mpa * r as decimal(16,6)) / cast(denominator as decimal(16,10)), 2) end"))
+    t = t.withColumn("t_min", F.expr("case when denominator > 0 then round(cast(pd * r as decimal(20,6)) / denominator, 2) end"))
     t = t.withColumn("t_design", F.expr("cast(t_min + ca_mm as decimal(12,2))"))
     plates = ", ".join(map(str, pinned.PLATES))
     t = t.withColumn("plate", F.expr(f"array_min(filter(array({plates}), x -> x >= t_design))"))
+    t = t.withColumn("limit", F.expr(f"cast(round(cast(se * {PRESSURE_LIMIT} as decimal(22,9)) / s_den, 4) as decimal(12,4))"))
     error = F.expr(f"""
-        case when not known_material then 'material' when s is null then 'temperature' when e is null then 'joint'
-             when r is null then 'diameter' when p_mpa > se * {PRESSURE_LIMIT} then 'applicability' when t_min is null then 'denominator'
+        case when not known_material then 'material' when s_num is null then 'temperature' when e is null then 'joint'
+             when r is null then 'diameter' when pd > se * {PRESSURE_LIMIT} then 'applicability' when t_min is null then 'denominator'
              when t_min > r / 2 then 'thick_wall' when ca_mm < 0 then 'corrosion' when plate is null then 'plate' end
     """)
     t = t.withColumn("error_code", error).withColumn("tc", F.expr("cast(plate - ca_mm as decimal(8,2))"))
     mawp = F.expr("""
-        round(cast(se * tc * (case when component = 'sphere' then 2 else 1 end) as decimal(24,10)) / cast(
-            case component when 'cylinder_inside' then r + 0.6BD * tc when 'cylinder_outside' then r - 0.4BD * tc else r + 0.2BD * tc end as decimal(12,4)), 3)
+        round(cast(se * tc * (case when component = 'sphere' then 2 else 1 end) as decimal(26,8)) / cast(
+            s_den * case component when 'cylinder_inside' then r + 0.6BD * tc when 'cylinder_outside' then r - 0.4BD * tc else r + 0.2BD * tc end as decimal(18,4)), 3)
     """)
     ok = F.col("error_code").isNull()
-    return t.withColumn("mawp", mawp).select(
+    t = t.withColumn("mawp", mawp).withColumn("s", F.expr("cast(s_mpa as decimal(12,8))"))
+    return t.select(
         *requests.columns, *(F.when(ok, F.col(a)).cast(kind).alias(b) for a, b, kind in (
             ("s", "s_mpa", "double"), ("e", "e", "double"), ("t_min", "t_min_mm", "double"), ("t_design", "t_design_mm", "double"),
-            ("plate", "plate_mm", "int"), ("mawp", "mawp_mpa", "double"))), "error_code",
+            ("plate", "plate_mm", "int"), ("mawp", "mawp_mpa", "double"), ("limit", "limit_mpa", "decimal(12,4)"))), "error_code",
     )
 
 
@@ -150,10 +158,9 @@ FORMULAS = {
 def summaries(results: DataFrame) -> DataFrame:
     """Add ``summary``: nine lines for a computed result, null for one with an error."""
     pick = lambda i: "case component " + " ".join(f"when '{c}' then '{v[i]}'" for c, v in FORMULAS.items()) + " end"
-    limit = f"round({PRESSURE_LIMIT} * cast(s_mpa as decimal(12,8)) * cast(e as decimal(3,2)), 4)"
     lines = (
         f"concat('formula = ', {pick(0)}, ': ', {pick(1)})", "concat('S (allowable stress) = ', format_string('%.3f', s_mpa), ' MPa')", "concat('E (joint efficiency) = ', format_string('%.2f', e))",
-        "concat('R = ', format_string('%.1f', cast(diameter_mm / 2 as double)), ' mm')", f"concat('applicability: ', format_string('%.3f', cast(p_mpa as double)), ' ≤ ', cast(cast({limit} as decimal(12,4)) as string), ' → OK')",
+        "concat('R = ', format_string('%.1f', cast(diameter_mm / 2 as double)), ' mm')", "concat('applicability: ', format_string('%.3f', cast(p_mpa as double)), ' ≤ ', cast(limit_mpa as string), ' → OK')",
         "concat('t_min = ', format_string('%.2f', t_min_mm), ' mm')", "concat('t_design (with CA) = ', format_string('%.2f', t_design_mm), ' mm')",
         "concat('t_nominal (plate) = ', plate_mm, ' mm')", "concat('MAWP = ', format_string('%.3f', mawp_mpa), ' MPa')",
     )

@@ -46,29 +46,6 @@ def top(ranked: DataFrame, k: int, score: str = "score", doc: str = "doc_id") ->
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``query_id, doc_id, rank, score``: documents by BM25, those with a positive score.
-
-    ``docs``: doc_id, text; ``queries``: query_id, text.  Query terms count with multiplicity.  Term
-    counts are added up per document before anything is shuffled, and only terms of some query
-    leave the scan: the postings of other terms are never built.
-    """
-    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("term").distinct()
-    counted = docs.select("doc_id", terms(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM))).alias("mean"))
-    # Written, as they are both counted by term and scored: texts are read for them once.
-    postings = checkpointed(
-        counted.select("doc_id", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-        .groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
-    )
-    weights = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))  # one row of totals
-    weights = weights.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "mean")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = postings.join(weights, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top(scored.filter("score > 0"), k).select("query_id", "doc_id", "rank", "score")
-
-
 def nearest(base: DataFrame, queries: DataFrame, k: int, same: str | None = None, rows_per_block: int = 8192, queries_per_block: int = 1024) -> DataFrame:
     """``query_id, doc_id, rank, score``: the k nearest vectors of each query by cosine, without the query's own id.
 
@@ -124,16 +101,6 @@ def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     return lists.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 12).alias("fused"))
 
 
-def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``query_id, n_terms, n_known, overlap``: the share of a query's content terms that the corpus has."""
-    vocabulary = docs.select(F.explode(content_terms(F.col("text"))).alias("term")).distinct()
-    asked = queries.select("query_id", F.explode_outer(content_terms(F.col("text"))).alias("term"))
-    known = asked.join(vocabulary.withColumn("known", F.lit(1)), "term", "left")
-    return known.groupBy("query_id").agg(F.count("term").alias("n_terms"), F.count("known").alias("n_known")).withColumn(
-        "overlap", F.when(F.col("n_terms") > 0, F.col("n_known") / F.col("n_terms")).otherwise(0.0)
-    )
-
-
 def normalised(fused: DataFrame, caps: DataFrame, k: int) -> DataFrame:
     """Fused scores over the query's best, times the query's cap; the k best of each query."""
     best = F.max("fused").over(W.partitionBy("query_id"))
@@ -142,34 +109,6 @@ def normalised(fused: DataFrame, caps: DataFrame, k: int) -> DataFrame:
     return top(scored, k)
 
 
-def holders(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, doc_id``: all documents whose text holds the query's text word for word.
-
-    ``docs``: doc_id, text; ``queries``: query_id, text; empty queries are held by none.  Whoever holds a
-    text has each of its terms but the first and last, which may be parts of longer ones there.  The one
-    in fewest documents leads to the candidates; queries without such a term try every document.
-    """
-    asked = queries.filter("text <> ''").select("query_id", F.col("text").alias("item"))
-    inner = terms(F.regexp_replace(F.lower("item"), f"^{TERM}|{TERM}$", ""))
-    inner = asked.select("query_id", F.explode_outer(F.array_distinct(inner)).alias("term"))
-    found = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(inner.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    rarity = F.struct(F.coalesce("df", F.lit(0)), "term")
-    keys = inner.filter("term is not null").join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", rarity).alias("term"))
-    tried = found.join(keys, "term").select("query_id", "doc_id").distinct().join(docs, "doc_id").join(asked, "query_id")
-    others = inner.filter("term is null").join(asked, "query_id").select("query_id", "item").crossJoin(docs)
-    return tried.unionByName(others).filter("contains(text, item)").select("query_id", "doc_id").distinct()
-
-
-def promote(ranked: DataFrame, named: DataFrame) -> DataFrame:
-    """Put the documents a query names (``query_id, doc_id, priority``) first, each with at least score 1."""
-    high = named.join(ranked.groupBy("query_id").agg(F.max("score").alias("high")), "query_id", "left")
-    first = high.select("query_id", "doc_id", F.greatest(F.coalesce("high", F.lit(1.0)), F.lit(1.0)).alias("score"), "priority", F.lit("exact_ref").alias("origin"))
-    rest = ranked.join(named, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "score", F.lit(99).alias("priority"), F.lit("hybrid").alias("origin"))
-    order = W.partitionBy("query_id").orderBy("priority", F.desc("score"), "doc_id")
-    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).drop("priority")
-
-
 def _digest_column(digest: str, dim: int) -> Callable[[str], int]:
     if digest == "blake2b":
         return lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "little") % dim

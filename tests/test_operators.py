@@ -201,3 +201,11 @@ def test_documents_that_hold_an_item_are_promoted_beyond_the_ranking(spark, tmp_
     for q in {q for q, _ in got}:
         mine = sorted((r.rank, r.origin) for r in out if r.query_id == q)
         assert [r for r, _ in mine] == list(range(1, len(mine) + 1)) and [o for _, o in mine] == sorted(o for _, o in mine)
+
+
+def test_halves_of_a_limit_round_up_though_the_stress_has_no_end(spark):
+    # S = 7790 / 60 and E = 0.90: 0.385 * S * E is 44.98725 exactly.
+    done = calculation.calculate(requests(spark, [("cylinder_inside", 1.5, 1800.0, 83, "SM-240 Type 304", 2, "Full RT", 3.0)]))
+    assert calculation.summaries(done).first().summary.split("\n")[4] == "applicability: 1.500 ≤ 44.9873 → OK"
+    at_limit = calculation.calculate(requests(spark, [("cylinder_inside", p, 100.0, 83, "SM-240 Type 304", 2, "Full RT", 0.0) for p in (44.987, 44.988)])).orderBy("id").collect()
+    assert at_limit[0].error_code != "applicability" and at_limit[1].error_code == "applicability"
