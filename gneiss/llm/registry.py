@@ -50,10 +50,9 @@ def op7_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A query has an index of its own, which goes once the result is written.
-    index = exact_dedup.DigestIndex(spark)
-    out = stored(exact_dedup.deduplicate(_docs(spark, sf_dir), index))
-    index.drop()
-    return out
+    docs = _docs(spark, sf_dir)
+    with exact_dedup.DigestIndex(spark, buckets=exact_dedup.buckets_for(docs.count())) as index:
+        return stored(exact_dedup.deduplicate(docs, index))
 
 
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

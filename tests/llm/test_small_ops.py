@@ -145,8 +145,8 @@ def test_empty_tables(spark, docs):
 @pytest.mark.parametrize("bits", [64, 1 << 24])
 def test_only_keeps_the_rows_named_with_few_and_many_bits(spark, monkeypatch, bits):
     monkeypatch.setattr(scratch, "GONE_BITS", bits)
-    rows = scratch.placed(spark.range(2000).selectExpr("id", "if(id % 3 = 0, null, 'text') AS text", "'x' AS word").repartition(5))
+    rows, place = scratch.placed(spark.range(2000).selectExpr("id", "if(id % 3 = 0, null, 'text') AS text", "'x' AS word").repartition(5))
     for rule in ("id % 7 = 0", "id % 7 <> 0", "true", "false"):
-        left = scratch.only(rows, rows.filter(rule).select(scratch.PLACE))
+        left = scratch.only(rows, place, rows.filter(rule).select(place))
         assert left.columns == rows.columns
         assert sorted(map(tuple, left.collect())) == sorted(map(tuple, rows.filter(rule).collect()))
