@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.arrays import per_process
 from gneiss.llm.pretokens import Tokens, bytes_of
-from gneiss.llm.scratch import stored
+from gneiss.llm.scratch import frequent, stored
 
 #: Bytes of text that are aligned at once; a longer text is aligned by itself.
 CHUNK = 1 << 19
@@ -197,7 +197,7 @@ def align(
     # One row for each id of A.
     highest = counts.groupBy(F.expr(f"pair div {n_b}").alias("a")).agg(F.max("n").alias("most"))
     ranked = stored(counts.withColumn("a", F.expr(f"pair div {n_b}")).join(highest, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
-    first = ranked.orderBy(F.desc("n"), "pair").limit(top).orderBy("pair").toPandas()
+    first = frequent(ranked, top)[0].toPandas().sort_values("pair")
     sent = docs.sparkSession.sparkContext.broadcast(tuple(first[c].to_numpy(t) for c, t in (("pair", "int64"), ("n", "int64"), ("best", "int64"))))
 
     def known(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import arrays, labelled
-from gneiss.llm.scratch import stored
+from gneiss.llm.scratch import frequent, stored
 
 ORDER = 3
 END = 0xFF
@@ -193,11 +193,9 @@ def _trie(counted: DataFrame, max_contexts: int) -> Trie:
         keys.append(u)
         counts.append(np.bincount(at, n, len(u)))
     found = found.withColumn("context", F.shiftright("key", 8))
-    # One context more than are kept tells whether any are left.
-    top = found.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(max_contexts + 1).toPandas()["context"]
-    rest = len(top) > max_contexts
-    kept = found.sparkSession.createDataFrame([(int(c),) for c in top[:max_contexts]], "context long")
-    high = (found.join(F.broadcast(kept), "context", "left_semi") if rest else found).select("key", "n").toPandas().sort_values("key")
+    kept, whole = frequent(stored(found.groupBy("context").agg(F.sum("n").alias("n"))), max_contexts)
+    rest = not whole
+    high = (found.join(F.broadcast(kept.select("context")), "context", "left_semi") if rest else found).select("key", "n").toPandas().sort_values("key")
     keys.append(high["key"].to_numpy("int64"))
     counts.append(high["n"].to_numpy("float64"))
     return Trie(keys, counts, _seen(found) if rest else None)
@@ -237,7 +235,7 @@ def score(
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the rows whose ``crc32(id as text) % mod`` is not ``held_out``; null ids train.  Tokens are
-    words in lower case (A-Z) and an end per text.  ``base_score`` sums log10((c + 1) / (N + V + 1)) over
+    words in lower case (A-Z) and an end per text, of texts of any length.  ``base_score`` sums log10((c + 1) / (N + V + 1)) over
     the tokens; ``score`` is the model's log10 probability of the text.  Null and empty texts are just an
     end.  Repeated rows count each time.  With no training rows nothing is known and bytes are alike.
     An empty table gives no rows.  Only the two named columns are read.
@@ -255,11 +253,11 @@ def score(
     whole = model.seen is None
     trie = spark.sparkContext.broadcast(model)
     words = counted.filter(F.col("kind") == WORDS).select("key", "n")
-    top = words.orderBy(F.desc("n"), "key").limit(max_words).toPandas().sort_values("key")
-    frequent = spark.sparkContext.broadcast((top["key"].to_numpy("int64"), top["n"].to_numpy("int64")))
+    top = frequent(words, max_words)[0].toPandas().sort_values("key")
+    common_words = spark.sparkContext.broadcast((top["key"].to_numpy("int64"), top["n"].to_numpy("int64")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, (common, n_common) = arrays.Powers(), frequent.value
+        powers, (common, n_common) = arrays.Powers(), common_words.value
         for b in batches:
             for row, data, offsets in arrays.chunks(b.column("text")):
                 starts, ends, first = arrays.words(data, offsets)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.arrays import per_process
 from gneiss.llm.pretokens import Tokens
-from gneiss.llm.scratch import stored
+from gneiss.llm.scratch import frequent, stored
 
 #: Distinct pre-tokens that a task adds up before it passes them on.
 HELD = 1 << 18
@@ -81,7 +81,7 @@ def count(docs: DataFrame, tokenizer_file: str, pattern: str, limit: int = 512,
     empty table gives no rows.  Only the two named columns are read.  ``tokenizer_file`` is installed on every machine.
     """
     pieces = pre_token_pieces(docs, tokenizer_file, pattern, text_col)
-    known = {r["key"]: r["pieces"] for r in pieces.orderBy(F.desc("n"), "key").limit(top).select("key", "pieces").collect()}
+    known = {r["key"]: r["pieces"] for r in frequent(pieces, top)[0].select("key", "pieces").collect()}
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
