@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import arrays
 from gneiss.llm.graph import components
-from gneiss.llm.scratch import discard, stored
+from gneiss.llm.scratch import bit_table, discard, marked, stored
 
 #: A list of more sets than this is crowded.
 CROWDED = 64
 #: Sets of a list that are in one block of it, and elements of a group.
 LIST_BLOCK, GROUP_BLOCK = 2048, 1 << 19
+#: Rows that hold the same set are dealt to so many tasks.
+SALTS = 16
 #: A tag holds a scheme's number above these bits and how many of its keys are to spare in them.
 SPARE = (1 << 28) - 1
 #: Boundaries up to 40 are tried; sets beyond this size cost much the same under each.
@@ -183,16 +185,19 @@ def _sizes(texts: DataFrame, k: int) -> dict[int, int]:
 def candidate_lists(postings: DataFrame) -> DataFrame:
     """``key, d1``: the lists to be scanned, of two sets or more, no two with the same members.
 
-    ``postings``: key, d1 (the set), tag (its scheme and how many keys of it are to spare).  A crowded list is
+    ``postings``: key, d1 (the set), tag (its scheme and how many keys of it are to spare); they may repeat.  A crowded list is
     crowded for all its sets.  A set with no more crowded lists in a scheme than are spare leaves them: each
     set that it is linked with also shares a list with it that is not crowded, and nobody leaves those.
     """
-    # One shuffle of the postings: what a list is like goes to its rows by a window, which spills where a list is long.
-    over = W.partitionBy("key")
-    met = postings.withColumns({"m": F.count("*").over(over), "lo": F.min("d1").over(over), "hi": F.max("d1").over(over)}).filter("lo <> hi")
+    # Lists are counted with a row for each task that knows them, and only postings of a key that is met again are shuffled; a long list is
+    # split where it is joined with its count.  Postings that repeat make a list longer for all its sets alike.
+    sizes = stored(postings.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    likely, may = marked(postings, F.xxhash64("key"), bit_table(sizes, F.xxhash64("key"), "word", "bits"), "word", "bits")
+    met = likely.filter(may).select("key", "d1", "tag").join(sizes, "key").repartition("d1", "tag")
     shared = met.groupBy("key", "d1", "tag").agg(F.max("m").alias("m"))
-    crowded = F.sum((F.col("m") > CROWDED).cast("int")).over(W.partitionBy("d1", "tag"))
+    crowded = F.sum((F.col("m") > CROWDED).cast("int")).over(W.partitionBy("d1", "tag"))  # the keys of one set
     kept = stored(shared.withColumn("crowded", crowded).filter((F.col("m") <= CROWDED) | (F.col("crowded") > F.col("tag").bitwiseAND(SPARE))).select("key", "d1"))
+    discard(sizes)
     # Lists with the same members have the same digests.
     members = kept.groupBy("key").agg(F.count("*").alias("m"), *(F.bit_xor(F.xxhash64(F.lit(i), "d1")).alias(f"h{i}") for i in (1, 2))).filter("m > 1")
     chosen = members.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
@@ -466,7 +471,9 @@ def join(
     # A component's first row is told from its sets, of which copies are one, and goes to the rows with what is known of their set.
     tops = known.groupBy("root").agg(F.min("least").alias("top"))
     told = known.join(tops, "root").select("n", "d1", "d2", "n_links", "top", F.lit(True).alias("linked"))
-    rows = vertices.join(told, ["n", "d1", "d2"], "left")
+    # A set's one row goes to several tasks, and the rows that hold the set to one of these each.
+    salted = vertices.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int"))
+    rows = salted.join(told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["n", "d1", "d2", "salt"], "left").drop("salt")
     component = F.when(F.col("linked"), F.col("top.doc_id")).otherwise(F.col("doc_id"))
     more = [F.col("place").alias(place_col), (F.col("place") == F.coalesce("top.place", "place")).alias("first")] if place_col else []
     out = stored(rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more))
