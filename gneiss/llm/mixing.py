@@ -126,7 +126,8 @@ def mix(
     ``size`` is the number of words (null text: 0), ``taken`` is ``copies * size``, ``copies`` is at
     most 3.  Documents without words are never taken, nor is anything where no text has words.
     A null source is a source of its own.  A null id is an id like any other.  Rows that repeat
-    are separate rows.  An empty table gives no rows.  Only the named columns are read.
+    are separate rows.  A very long text is an item like others, which may be rounded away from its source's target by half of
+    its words.  An empty table gives no rows.  Only the named columns are read.
     With ``place_col``, a column of distinct numbers, that column comes too.
 
     Rows that repeat source, id and size are one item with a count: it takes as many as it can whole, and at most one of

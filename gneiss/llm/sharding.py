@@ -84,7 +84,10 @@ def shard(
     # At most `ranges` rows: one per range.
     measured = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     share = max(1.0, sum(r["bytes"] for r in measured) / ranges)
-    over = {r["range"]: min(r["n"], -int(-r["bytes"] // share)) for r in measured if r["bytes"] > 1.5 * share}
+    rows_share = max(1.0, sum(r["n"] for r in measured) / ranges)
+    # Overfull by bytes or by rows: many short texts are few bytes, but no task numbers more than about its share of rows.
+    parts = {r["range"]: max(-int(-r["bytes"] // share) if r["bytes"] > 1.5 * share else 1, -int(-r["n"] // rows_share) if r["n"] > 1.5 * rows_share else 1) for r in measured}
+    over = {r["range"]: min(r["n"], parts[r["range"]]) for r in measured if parts[r["range"]] > 1}
     spark = docs.sparkSession
     split = spark.createDataFrame([(k, v) for k, v in over.items()], "range int, parts int")
     cut = placed.join(F.broadcast(split), "range", "left").withColumn(
@@ -98,7 +101,7 @@ def shard(
         rows.append((r["range"], r["piece"], s, start[s]))
         start[s] += r["n"]
     table = spark.createDataFrame(rows, "range int, piece int, shard int, first long")
-    # A piece is about 1 / ranges of the bytes, so numbering its rows is a small sort in one task.
+    # A piece is about 1 / ranges of the bytes or rows at most, so numbering its rows is a small sort in one task.
     number = F.row_number().over(W.partitionBy("range", "piece").orderBy("doc_id", "key", "place"))
     return cut.join(F.broadcast(table), ["range", "piece"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
