@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -115,15 +114,15 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, limit: int = 12_000, max_features: int = 4096, min_share: float = 1e-3, min_z: float = 4.0,
-    penalty: float = 1.0, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, most_swaps: int = 8, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, limit: int = 12_000, min_share: float = 1e-3, min_z: float = 4.0,
+    penalty: float = 1.0, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, id_col: str = "doc_id", text_col: str = "text",
 ) -> ToxicityModel:
     """A model from about ``limit`` labelled documents at most.
 
     Features are counted by Spark; those whose share differs between the labels by ``min_z`` standard
-    errors are kept if they are in 3 documents and ``min_share`` of them, ``max_features`` at most, with those of the identity terms.  Only the chosen
-    features of the sample reach the driver.  The penalty takes the first ``most_swaps`` swaps of each
-    text (a word's other places in the sentence change with it).  Without labelled rows the score is 0.5 for all.
+    errors are kept if they are in 3 documents and ``min_share`` of them, with those of the identity terms; so at most
+    ``1 / min_share`` times the features of a document are.  Only the chosen features of the sample reach the driver.  The penalty takes every
+    swap of each text (a word's other places in the sentence change with it).  Without labelled rows the score is 0.5 for all.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +148,7 @@ def train(
     share = pos / n
     counts = drawn.select(F.explode("keys").alias("key"), "label").groupBy("key").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     z = F.abs(F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-    best = counts.filter(F.col("n") >= max(3, min_share * n)).withColumn("z", z).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "key").limit(max_features)
+    best = counts.filter(F.col("n") >= max(3, min_share * n)).withColumn("z", z).filter(F.col("z") >= min_z)
     powers = arrays.Powers()
 
     def keys_of(text: str) -> np.ndarray:
@@ -163,24 +162,28 @@ def train(
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = arrays.Powers()
 
-        def index(text: str) -> np.ndarray:
-            _, data, offsets = next(arrays.chunks(pa.array([text], pa.string())))
-            h = np.unique(np.concatenate(features(data, offsets, own)[0]))
-            return np.flatnonzero(np.isin(keys, h))
-
-        for b in batches:
-            kinds, left, right = [], [], []
-            for k, label, text in zip(b.column("keys"), b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = k.values.to_numpy().view("uint64")
-                kinds.append(label)
-                left.append(np.flatnonzero(np.isin(keys, h)))
-                right.append(None)
-                for before, after in islice(swapped(text, groups), most_swaps):
-                    kinds.append(2)
-                    left.append(index(before))
-                    right.append(index(after))
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(left, kind), pa.array(right, kind)], ["kind", "a", "b"])
+        def indexes(texts: list[str]) -> list[np.ndarray]:
+            if not len(keys):
+                return [np.empty(0, int)] * len(texts)
+            out = []
+            for _, data, offsets in arrays.chunks(pa.array(texts, pa.string())):
+                hashes, _, first = features(data, offsets, own)
+                every = np.concatenate(hashes)
+                text = np.tile(np.repeat(np.arange(len(offsets) - 1), np.diff(first)), len(hashes))
+                at = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+                hit = keys[at] == every
+                pair = np.unique(text[hit] * len(keys) + at[hit])
+                out += np.split(pair % len(keys), np.searchsorted(pair // len(keys), np.arange(1, len(offsets) - 1)))
+            return out
+
+        kind = pa.list_(pa.int64())
+        for b in (x.slice(at, 64) for x in batches for at in range(0, x.num_rows, 64)):
+            # The swaps of many texts become bags at once.
+            swaps = [s for text in b.column("text").to_pylist() for s in swapped(text, groups)]
+            before, after = (indexes(list(side)) for side in zip(*swaps, strict=True)) if swaps else ([], [])
+            whole = [np.flatnonzero(np.isin(keys, k.values.to_numpy().view("uint64"))) for k in b.column("keys")]
+            kinds = b.column("label").to_pylist() + [2] * len(swaps)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(whole + before, kind), pa.array([None] * len(whole) + after, kind)], ["kind", "a", "b"])
 
     got = drawn.mapInArrow(choose, "kind int, a array<long>, b array<long>").toPandas()
     discard(drawn)
