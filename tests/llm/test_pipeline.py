@@ -68,3 +68,23 @@ def test_rows_with_null_or_repeated_ids(spark, tmp_path):
     # One source takes each row once.
     rows = [(None, "one two")] * 2 + [(3, "three four")] * 3 + [(3, "five six")]
     assert got("mixing", rows) == Counter(rows)
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, place string, copies string, word int, bits int, salt string, first int"
+
+
+def test_stages_keep_columns_of_any_name_and_take_any_text(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long_text = " ".join(f"word{i % 977}" for i in range(60_000))
+    texts = [None, "", " \n ", "one", "one", long_text, long_text + " more", "é" * 5000, "a b c d e f g"]
+    extra = ("mine", "mine too", 7, 8, "s", 9)
+    rows = [(i, t, None if i % 4 == 0 else "en", None if i % 3 == 0 else "s", None, *extra) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, AWKWARD).repartition(3)
+    for empty in (False, True):
+        left = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.stored(stage(spark, left, str(tmp_path)))
+            assert out.schema == docs.schema, name
+            assert all(tuple(r)[5:] == extra for r in out.collect()) and (out.count() == 0) == empty
+            left = out
+        assert corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).count() == left.count()
