@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import bpe, exact_dedup, jaccard, mixing, scratch, toxicity
-from gneiss.llm.scratch import PLACE, only, placed, stored
+from gneiss.llm.scratch import free_name, only, placed, stored
 
 #: Rows of a batch that Python workers get, in all stages.
 BATCH_ROWS = 1000
@@ -30,10 +30,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def _stage(work: Stage) -> Stage:
     @wraps(work)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.sweep("pipeline")
+        scratch.sweep(spark, "pipeline")
         # A batch of whole texts is held by a worker and by its executor at once.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        with scratch.owned("pipeline"):
+        with scratch.owned(spark, "pipeline"):
             return work(spark, docs, sf_dir)
 
     return stage
@@ -50,27 +50,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (up to white space; null counts as empty) the one with the smallest id stays, of equal ids one; null ids come last."""
-    index = exact_dedup.DigestIndex(spark)
-    kept = exact_dedup.kept_rows(docs, index)
-    index.drop()
-    return kept
+    with exact_dedup.DigestIndex(spark, buckets=exact_dedup.buckets_for(docs.count())) as index:
+        return exact_dedup.kept_rows(docs, index)
 
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the one with the smallest id stays; texts without words are in none."""
-    rows = placed(docs)
-    keep = jaccard.join(rows, k=5, num=80, den=100, place_col=PLACE).filter("first").select(PLACE)
-    return only(rows, keep).select(docs.columns)
+    rows, place = placed(docs)
+    keep = jaccard.join(rows, k=5, num=80, den=100, place_col=place).filter("first").select(place)
+    return only(rows, place, keep).select(docs.columns)
 
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to three rows, or none; texts without words are never taken.  A null source is a source."""
-    rows = placed(docs)
-    copies = mixing.mix(rows, place_col=PLACE).filter("copies > 0").select(PLACE, F.col("copies").alias("__copies"))
-    joined = rows.join(copies, PLACE)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)
+    rows, place = placed(docs)
+    copies = free_name("copies", docs.columns)
+    taken = mixing.mix(rows, place_col=place).filter("copies > 0").select(place, F.col("copies").alias(copies))
+    each = rows.join(taken, place).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copies))
+    return each.select(docs.columns)
 
 
 @_stage
