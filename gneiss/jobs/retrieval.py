@@ -157,13 +157,13 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in R.STOPWORDS) + "]"
 CONTENT = f"list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9-]+'), lambda x: lower(x))), lambda x: NOT list_contains({_STOP}, x))"
 
 
-def bm25_sql(depth: int) -> str:
+def bm25_sql(depth: int, asked: str = "SELECT item_id AS query_id, text FROM benchmark") -> str:
     return f"""
     dt AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9-]+') AS t FROM documents),
     tot AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dt),
     tf AS MATERIALIZED (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM dt), pc AS (SELECT doc_id, length, term, count(*) AS tf FROM tf GROUP BY ALL),
     dff AS (SELECT term, count(*) AS df FROM pc GROUP BY term),
-    qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9-]+')) AS term FROM benchmark),
+    qt AS (SELECT query_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9-]+')) AS term FROM ({asked})),
     qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
     bs AS (SELECT query_id, doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 9) AS score
            FROM pc JOIN qc USING (term) JOIN dff USING (term), tot GROUP BY ALL),
