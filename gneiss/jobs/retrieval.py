@@ -9,7 +9,8 @@ from gneiss.operators import graph as G
 from gneiss.operators import promotion as P
 from gneiss.operators import retrieval as R
 from gneiss.operators.ranked_index import RankedIndex, shared_index
-from gneiss.session import checkpointed, table
+from gneiss.session import checkpointed, shared_folder, table
+from gneiss.sources.vectors import VectorTable
 
 DEPTH = 50
 
@@ -97,6 +98,17 @@ def exact_ref_promotion(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "doc_id", "origin", "rank", F.round("score", 6).alias("score"))
 
 
+def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings that are stored without every fourth, of which every third then changes: what is stored in the end, after the change came twice."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
+    stored = VectorTable.create(spark, shared_folder(spark), rows.schema, dim, buckets=32)
+    stored.upsert(rows.filter("id % 4 <> 1"))
+    for _ in range(2):
+        stored.upsert(rows.filter("id % 3 = 0").select("id", F.reverse("embedding").alias("embedding"), (F.col("label") + 100).alias("label")))
+    return stored.read().select(F.col("id").alias("vec_id"), "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last"))
+
+
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     return R.hash_embed(documents(spark, sf))
 
@@ -149,7 +161,7 @@ def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, content_tokens, ood_cap, knn_topk, knn_filtered, rrf_fusion, retrieval_modes, exact_ref_promotion, hash_embed,
+    bm25_topk, content_tokens, ood_cap, knn_topk, knn_filtered, rrf_fusion, retrieval_modes, exact_ref_promotion, hash_embed, vector_upsert,
     graph_build, edge_dedup, graph_retrieve, orphans, node_degrees,
 )} | {f"graph_expand_h{h}": _expanded(h) for h in (1, 2, 3)}
 
@@ -238,6 +250,8 @@ ORACLES = {
         sc AS (SELECT query_id, doc_id, 'exact_ref' AS origin, coalesce(high, 1) AS score FROM nm LEFT JOIN hi USING (query_id)
             UNION ALL SELECT query_id, doc_id, 'hybrid', score FROM bm WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.query_id = bm.query_id AND nm.doc_id = bm.doc_id))
         SELECT query_id, doc_id, origin, row_number() OVER (PARTITION BY query_id ORDER BY origin, score DESC, doc_id)::INT AS rank, round(score, 6) AS score FROM sc""",
+    "vector_upsert": """SELECT vec_id, (label + CASE WHEN vec_id % 3 = 0 THEN 100 ELSE 0 END)::INT AS label, round((CASE WHEN vec_id % 3 = 0 THEN embedding[len(embedding)] ELSE embedding[1] END)::DOUBLE, 6) AS first,
+        round((CASE WHEN vec_id % 3 = 0 THEN embedding[1] ELSE embedding[len(embedding)] END)::DOUBLE, 6) AS last FROM embeddings WHERE vec_id % 4 <> 1 OR vec_id % 3 = 0""",
     "graph_build": f"WITH {_EDGES} SELECT kind, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY kind",
     "edge_dedup": f"WITH {_EDGES} SELECT DISTINCT src, dst, kind, weight FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY weight DESC, ord) AS n FROM e) WHERE n = 1",
     "graph_retrieve": _expand_sql(2) + """, s AS (SELECT query_id, id AS doc_id, hop, round(1.0::DOUBLE / (1 + query_id) * pow(0.5, hop), 12) AS score FROM m)

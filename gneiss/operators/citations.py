@@ -66,6 +66,22 @@ def validate(citations: DataFrame, chunks: DataFrame, elements: DataFrame | None
     return far.select(*citations.columns, F.when(near, F.col("hit.element_id")).when(canonical, F.col("far_id")).alias("resolved_id"), issue.alias("issue"))
 
 
+def build(wanted: DataFrame, elements: DataFrame) -> DataFrame:
+    """``wanted`` (kind, ref, needle) with ``source_id, quote``: citations that quote what the corpus says, null where it does not.
+
+    ``kind`` ``paragraph`` quotes the first sentence of the reference's element, or the reference itself where it has none; ``row`` the first line
+    that holds the needle, ``material`` that or else the first line that holds its first word.  A reference without an element of its own is looked up by its parents.  Each different citation is built once.
+    """
+    index = by_reference(elements)
+    each = wanted.select("kind", F.col("ref").alias("said"), "needle").distinct().withColumn("ref", bare(F.col("said")))
+    met = resolve(each, index.select("ref")).join(index.withColumnRenamed("ref", "resolved"), "resolved", "left")
+    row, word = line_with(F.col("content"), F.col("needle")), line_with(F.col("content"), F.split_part("needle", F.lit(" "), F.lit(1)))
+    quote = F.when(F.col("kind") == "row", row).when(F.col("kind") == "material", F.coalesce(row, word)).when(F.col("content").isNotNull(), F.coalesce(first_sentence(F.col("content")), F.col("said")))
+    known = met.select(F.col("kind").alias("k"), "said", F.col("needle").alias("n"), F.when(quote.isNotNull(), F.col("element_id")).alias("source_id"), quote.alias("quote"))
+    same = (F.col("kind") == F.col("k")) & (F.col("ref") == F.col("said")) & F.col("needle").eqNullSafe(F.col("n"))
+    return wanted.join(known, same, "left").select(*wanted.columns, "source_id", "quote")
+
+
 def accuracy(responses: DataFrame, checked: DataFrame, least: float = 0.8) -> DataFrame:
     """``query_id, total, valid, value, passed``: the share of valid citations of each response; 1 without citations."""
     counts = checked.groupBy("query_id").agg(F.count("*").alias("total"), F.count_if(F.col("issue").isNull()).alias("valid"))
