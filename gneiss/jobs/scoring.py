@@ -10,6 +10,7 @@ from gneiss.operators import citations as C
 from gneiss.operators import evidence as E
 from gneiss.operators import metrics as M
 from gneiss.operators import parsing as P
+from gneiss.operators import reports as Y
 from gneiss.session import checkpointed, table
 
 # --- Citations ---------------------------------------------------------------------------------------
@@ -135,6 +136,26 @@ def run_report(spark: SparkSession, sf: str) -> DataFrame:
     return M.report(E.run_aggregate(evaluation._scores(spark, sf)))
 
 
+def _report_scores(spark: SparkSession, sf: str) -> DataFrame:
+    categories = F.expr("element_at(array('lookup', 'calculation', 'reference'), cast(example_id % 3 as int) + 1)")
+    return evaluation._scores(spark, sf).withColumns({"category": categories, "threshold": F.lit(0.1)})
+
+
+def run_report_full(spark: SparkSession, sf: str) -> DataFrame:
+    scores = _report_scores(spark, sf)
+    manifest = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("run_id")).agg(F.count("*").alias("lines"), F.max("l_orderkey").alias("last"))
+    manifest = manifest.selectExpr("run_id", "stack(2, 'n_lines', cast(lines as string), 'last_example', cast(last as string)) as (field, value)").filter("run_id <> 'R'")
+    out = Y.run_reports(scores, manifest)
+    return out.select("run_id", F.length("report").cast("long").alias("n_chars"), F.sha2("report", 256).alias("digest"))
+
+
+def run_pivot_any(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs by priority and status of their orders: as many as the data has."""
+    lines = table(spark, sf, "orders").selectExpr("concat(o_orderpriority, ' ', o_orderstatus) as run_id", "stack(2, 'price', o_totalprice / 1000, 'customer', o_custkey + 0D) as (metric, value)")
+    wide = Y.by_run(lines.groupBy("run_id", "metric").agg(F.round(F.avg("value"), 4).alias("mean")))
+    return wide.select("metric", F.size("means").cast("long").alias("n_runs"), F.explode("means").alias("run_id", "mean"))
+
+
 def ablation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """What each configuration does with each order: which would be refused, calculated, and checked."""
     m = M.ablations(table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus = 'F' as foreign", "o_totalprice > 150000 as priced"))
@@ -182,7 +203,7 @@ def per_page(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     citation_validate, citation_accuracy, confidence_downgrade, response_violations, quote_lines, retrieval_metrics, structural_completeness, refusal_calibration, entity_grounding,
-    example_scores, refusal_sweep, agent_aggregate, run_report, ablation_matrix, table_recovery, parser_recall, per_page,
+    example_scores, refusal_sweep, agent_aggregate, run_report, run_report_full, run_pivot_any, ablation_matrix, table_recovery, parser_recall, per_page,
 )}
 
 _CITED = """c AS (SELECT l_orderkey AS q, l_linenumber AS cite_no, l_partkey AS part, (l_orderkey + l_linenumber) % 6 AS way FROM lineitem),
@@ -227,6 +248,21 @@ ORACLES = {
     "run_report": f"""WITH {evaluation._SC}, ex AS (SELECT run_id, example_id, bool_and(passed) AS p FROM sc GROUP BY ALL), pr AS (SELECT run_id, round(avg(p::INT), 6) AS pass_rate FROM ex GROUP BY run_id)
         SELECT run_id, '# ' || run_id || chr(10) || chr(10) || 'Pass rate: ' || printf('%.3f', any_value(pass_rate)) || chr(10) || chr(10) || '| metric | mean | n |' || chr(10) || '|---|---|---|' || chr(10)
             || string_agg('| ' || metric || ' | ' || printf('%.3f', mean) || ' | ' || n || ' |', chr(10) ORDER BY metric) AS report FROM ra JOIN pr USING (run_id) GROUP BY run_id""",
+    "run_report_full": f"""WITH {evaluation._SC}, e AS (SELECT run_id, example_id, metric, ['lookup', 'calculation', 'reference'][example_id % 3 + 1] AS category, round(avg(value), 6) AS value, bool_and(passed) AS passed FROM sc GROUP BY ALL),
+        x AS (SELECT run_id, example_id, category, bool_and(passed) AS ok, round(avg(value), 6) AS mean FROM e GROUP BY ALL), hd AS (SELECT run_id, count(*) FILTER (WHERE ok) AS k, count(*) AS n FROM x GROUP BY run_id),
+        me AS (SELECT run_id, string_agg(l, '' ORDER BY metric) AS t FROM (SELECT run_id, metric, '| ' || metric || ' | ' || printf('%.6f', round(avg(value), 6)) || ' | 0.100000 | ' || count(*) FILTER (WHERE passed) || '/' || count(*) || ' |' || chr(10) AS l FROM e GROUP BY run_id, metric) GROUP BY run_id),
+        ca AS (SELECT run_id, string_agg(l, '' ORDER BY category, metric) AS t FROM (SELECT run_id, category, metric, '| ' || category || ' | ' || metric || ' | ' || printf('%.6f', round(avg(value), 6)) || ' | ' || count(*) FILTER (WHERE passed) || '/' || count(*) || ' |' || chr(10) AS l FROM e GROUP BY run_id, category, metric) GROUP BY run_id),
+        wo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY mean, example_id) AS place FROM x WHERE NOT ok) WHERE place <= 10),
+        fa AS (SELECT run_id, string_agg(l, '' ORDER BY place) AS t FROM (SELECT run_id, place, '### ' || example_id || ' (' || any_value(wo.category) || ')' || chr(10) || '| metric | value | threshold | passed |' || chr(10) || '|---|---|---|---|' || chr(10)
+            || string_agg('| ' || metric || ' | ' || printf('%.6f', value) || ' | 0.100000 | ' || CASE WHEN passed THEN 'yes' ELSE 'no' END || ' |' || chr(10), '' ORDER BY metric) AS l FROM wo JOIN e USING (run_id, example_id) GROUP BY run_id, place, example_id) GROUP BY run_id),
+        mf AS (SELECT l_returnflag AS run_id, '| field | value |' || chr(10) || '|---|---|' || chr(10) || '| last_example | ' || max(l_orderkey) || ' |' || chr(10) || '| n_lines | ' || count(*) || ' |' || chr(10) AS t FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+        rp AS (SELECT run_id, '# Run ' || run_id || chr(10) || chr(10) || 'Passed: ' || k || ' of ' || n || ' examples' || chr(10) || chr(10) || '## Configuration' || chr(10) || coalesce(mf.t, '') || chr(10) || '## Metrics' || chr(10) || '| metric | mean | threshold | passed |' || chr(10) || '|---|---|---|---|' || chr(10)
+            || me.t || chr(10) || '## Categories' || chr(10) || '| category | metric | mean | passed |' || chr(10) || '|---|---|---|---|' || chr(10) || ca.t || chr(10) || '## Failing examples' || chr(10) || coalesce(fa.t, 'None' || chr(10)) AS report
+            FROM hd JOIN me USING (run_id) JOIN ca USING (run_id) LEFT JOIN fa USING (run_id) LEFT JOIN mf USING (run_id))
+        SELECT run_id, len(report) AS n_chars, sha256(report) AS digest FROM rp""",
+    "run_pivot_any": """WITH s AS (SELECT o_orderpriority || ' ' || o_orderstatus AS run_id, o_totalprice / 1000 AS price, o_custkey::DOUBLE AS customer FROM orders),
+        m AS (SELECT run_id, 'price' AS metric, round(avg(price), 4) AS mean FROM s GROUP BY 1 UNION ALL SELECT run_id, 'customer', round(avg(customer), 4) FROM s GROUP BY 1)
+        SELECT metric, count(*) OVER (PARTITION BY metric) AS n_runs, run_id, mean FROM m""",
     "ablation_matrix": """WITH g(config, mode, pinned, gate, enforcer) AS (VALUES ('baseline', 'hybrid', true, true, true), ('bm25-only', 'bm25_only', true, true, true), ('vector-only', 'vector_only', true, true, true), ('no-graph', 'hybrid_no_graph', true, true, true),
             ('no-pinned', 'hybrid', false, true, true), ('no-refusal', 'hybrid', true, false, true), ('no-citation-enforcer', 'hybrid', true, true, false))
         SELECT config, mode, count(*) FILTER (WHERE gate AND o_orderstatus = 'F') AS refused, count(*) FILTER (WHERE pinned AND o_totalprice > 150000 AND NOT (gate AND o_orderstatus = 'F')) AS calculated, count(*) FILTER (WHERE enforcer) AS checked FROM orders, g GROUP BY ALL""",

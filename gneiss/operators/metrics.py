@@ -54,11 +54,17 @@ def retrieval(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     )
 
 
-def structural(expected: DataFrame, present: DataFrame) -> DataFrame:
-    """``query_id, covered, total, value, passed``: the share of expected references that any present one matches; all must be."""
+def structural(expected: DataFrame, present: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """``query_id, covered, total, value, passed``: the share of expected references that any present one matches; all must be.
+
+    With ``queries`` (query_id), each of them has a row: one that expects nothing has all of it.
+    """
     hit = matched(present, expected, "query_id").select("query_id", F.col("right_ref").alias("ref")).distinct().withColumn("hit", F.lit(1))
     counts = expected.join(hit, ["query_id", "ref"], "left").groupBy("query_id").agg(F.count("hit").alias("covered"), F.count("*").alias("total"))
-    return counts.withColumn("value", F.round(F.col("covered") / F.col("total"), 6)).withColumn("passed", F.col("covered") == F.col("total"))
+    if queries is not None:
+        counts = queries.select("query_id").distinct().join(counts, "query_id", "left").fillna(0, ["covered", "total"])
+    value = F.when(F.col("total") > 0, F.round(F.col("covered") / F.col("total"), 6)).otherwise(1.0)
+    return counts.withColumn("value", value).withColumn("passed", F.col("covered") == F.col("total"))
 
 
 def refusal(responses: DataFrame) -> DataFrame:
