@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from gneiss.jobs import calculations
 from gneiss.jobs.retrieval import CONTENT, bm25_sql, documents, index, items
+from gneiss.operators import audit as A
 from gneiss.operators import browse as B
 from gneiss.operators import evidence as E
 from gneiss.operators import parsing as P
 from gneiss.operators import retrieval as R
 from gneiss.session import table
+from gneiss.sources.payloads import payload_text
 from gneiss.streaming import windows
 
 # --- Parsing ---------------------------------------------------------------------------------------
@@ -180,6 +182,22 @@ def path_audit(spark: SparkSession, sf: str) -> DataFrame:
     return path.withColumn("reason", reason).filter("reason is not null")
 
 
+def path_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as files of a checkout: which must not be published."""
+    where = """element_at(array('./data/private/', 'data/runs/x-asme-private/', 'data/runs/', 'logs/private/', 'data/parser_benchmark/asme/', 'docs/', 'DATA/Private_Runs/'), cast(page_id % 7 as int) + 1)"""
+    name = "element_at(array('prompts.jsonl', 'output.json', 'page.html', 'request_log.jsonl'), cast(page_id % 4 as int) + 1)"
+    return A.audit_paths(table(spark, sf, "pages").selectExpr("page_id", f"concat({where}, {name}) as path"), A.default_rules(spark)).select("page_id", "normalised", "rule", "reason")
+
+
+def payload_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in the shapes in which services answer, some of them without text."""
+    one = "to_json(named_struct('content', text))"
+    shapes = ["to_json(named_struct('markdown', text, 'content', 'other'))", "to_json(named_struct('markdown', ' ', 'content', text))", "to_json(named_struct('result', named_struct('markdown', 5, 'content', text)))",
+              f"concat('{{\"result\": {{\"chunks\": [', {one}, ', {{\"content\": \"\"}}, ', {one}, ']}}}}')", f"concat('{{\"result\": null, \"chunks\": [', {one}, ']}}')", "concat('[', doc_id, ']')", "text"]
+    raw = table(spark, sf, "documents").selectExpr("doc_id", f"case doc_id % {len(shapes)} " + " ".join(f"when {i} then {s}" for i, s in enumerate(shapes)) + " end as payload")
+    return payload_text(raw).select("doc_id", F.sha2("text", 256).alias("digest"), "error")
+
+
 def first_seen_union(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(R.content_terms(F.col("text"))).alias("pos", "term"))
     return E.first_seen(t, "conv_id", "term", ["turn", "pos"]).groupBy("conv_id", "turn").agg(F.count("*").alias("new_terms"))
@@ -198,7 +216,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     markdown_sections, xref_extract, table_parse, table_repair, refusal_gate, citation_check, ref_compatible, faithfulness, cell_f1, precision_recall_k, threshold_sweep,
-    calc_correctness, run_aggregate, regression_diff, run_pivot, worst_failing, corpus_stats, browse, domain_weight, suggestions, redact, path_audit,
+    calc_correctness, run_aggregate, regression_diff, run_pivot, worst_failing, corpus_stats, browse, domain_weight, suggestions, redact, path_audit, path_rules, payload_shapes,
     first_seen_union, saturation, event_windows,
 )}
 
@@ -269,6 +287,12 @@ ORACLES = {
     "redact": "SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '<unset>' ELSE '<redacted:' || sha256(url)[:8] || '>' END AS token FROM pages",
     "path_audit": """SELECT * FROM (SELECT page_id, path, CASE WHEN starts_with(path, 'en/') THEN 'private prefix' WHEN starts_with(path, 'de/') AND contains(path, 'ref') THEN 'private run' WHEN contains(path, '?page=1') THEN 'raw file' END AS reason
         FROM (SELECT page_id, lower(regexp_replace(url, '^[a-z]+://[^/]*/?', '')) AS path FROM pages)) WHERE reason IS NOT NULL""",
+    "path_rules": """WITH p AS (SELECT page_id, ['data/private/', 'data/runs/x-asme-private/', 'data/runs/', 'logs/private/', 'data/parser_benchmark/asme/', 'docs/', 'DATA/Private_Runs/'][page_id % 7 + 1] AS d,
+            ['prompts.jsonl', 'output.json', 'page.html', 'request_log.jsonl'][page_id % 4 + 1] AS f, page_id % 7 AS w FROM pages),
+        r AS (SELECT page_id, d || f AS normalised, CASE WHEN w IN (0, 6) THEN 1 WHEN w = 1 THEN 2 WHEN w IN (3, 4) AND f IN ('prompts.jsonl', 'request_log.jsonl') THEN 3 WHEN w = 4 AND f = 'output.json' THEN 4 END AS rule FROM p)
+        SELECT page_id, normalised, rule::INT AS rule, ['private path', 'private run', 'raw private file', 'private parser output'][rule] AS reason FROM r WHERE rule IS NOT NULL""",
+    "payload_shapes": """SELECT doc_id, sha256(CASE WHEN doc_id % 7 IN (5, 6) OR trim(text, ' ') = '' THEN NULL WHEN doc_id % 7 = 3 THEN text || chr(10) || chr(10) || text ELSE text END) AS digest,
+        CASE WHEN doc_id % 7 = 5 THEN 'not an object' WHEN doc_id % 7 = 6 THEN 'not JSON' WHEN trim(text, ' ') = '' THEN 'no text' END AS error FROM documents""",
     "first_seen_union": f"WITH t AS (SELECT conv_id, turn, unnest({CONTENT}) AS term FROM conversations), f AS (SELECT conv_id, term, min(turn) AS turn FROM t GROUP BY ALL) SELECT conv_id, turn, count(*) AS new_terms FROM f GROUP BY ALL",
     "saturation": "SELECT conv_id, count(*) FILTER (WHERE role = 'assistant' AND len(text) > 0) >= 2 AND count(*) FILTER (WHERE role = 'system') = 0 AND max(len(text)) > 0 AS saturated FROM conversations GROUP BY conv_id",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -9,6 +9,7 @@ from gneiss.operators import browse as B
 from gneiss.operators import graph as G
 from gneiss.operators import parsing as P
 from gneiss.operators import promotion as N
+from gneiss.operators import suggest as U
 from gneiss.session import checkpointed, table
 
 
@@ -75,6 +76,11 @@ def corpus_audit(spark: SparkSession, sf: str) -> DataFrame:
     return B.audit(_elements(spark, sf))
 
 
+def corpus_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    e = _elements(spark, sf)
+    return U.suggestions(e, _references(e), "What is the weather today?")
+
+
 def element_search(spark: SparkSession, sf: str) -> DataFrame:
     """Searchable text of the formulas, and whether they cover a reference."""
     return B.of_types(_elements(spark, sf), ["formula"]).select("doc_id", "element_id", B.element_text().alias("text"), B.covers("a-1").alias("covers"))
@@ -109,7 +115,7 @@ def weak_components(spark: SparkSession, sf: str) -> DataFrame:
     return G.weak_components(nodes, edges).groupBy("component").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (doc_elements, doc_formulas, doc_edges, doc_nodes, doc_neighbours, listing_quality, corpus_audit, element_search, graph_browse, reference_promotion, weak_components)}
+QUERIES = {f.__name__: f for f in (doc_elements, doc_formulas, doc_edges, doc_nodes, doc_neighbours, listing_quality, corpus_suggestions, corpus_audit, element_search, graph_browse, reference_promotion, weak_components)}
 
 _O = """o AS (SELECT l_orderkey AS d, count(*) AS n, l_orderkey % 40 + 1 AS a, l_orderkey % 30 + 50 AS b FROM lineitem GROUP BY l_orderkey)"""
 _ELEMENTS = _O + """, e AS (
@@ -144,6 +150,13 @@ ORACLES = {
     "listing_quality": f"""WITH {_ELEMENTS} SELECT doc_id, element_id,
             CASE k WHEN 1 THEN 'Shells' WHEN 2 THEN '(c) Thickness' WHEN 3 THEN 'f0' WHEN 4 THEN 'f1' WHEN 5 THEN 'Lines' WHEN 6 THEN 'Lines' WHEN 7 THEN title WHEN 8 THEN 'Stress' WHEN 9 THEN 'Table M-1' ELSE 'Table M-1' END AS topic,
             (CASE k WHEN 1 THEN 41 WHEN 2 THEN 120 WHEN 5 THEN 40 WHEN 6 THEN 95 + n_rows WHEN 8 THEN 96 WHEN 10 THEN 75 ELSE -1 END)::INT AS quality FROM e""",
+    "corpus_suggestions": f"""WITH {_ELEMENTS}, c AS (
+            SELECT doc_id, 0 AS stage, CASE WHEN k = 6 THEN -(95 + n_rows) WHEN k = 8 THEN -96 ELSE -75 END AS q, k, 'What information is contained in Table ' || table_id || ' about ' || CASE k WHEN 6 THEN 'Lines' WHEN 8 THEN 'Stress' ELSE 'Table M-1' END || '?' AS query, element_id, paragraph_ref FROM e WHERE k IN (6, 8, 10)
+            UNION ALL SELECT doc_id, 1, -120, k, 'What does ' || paragraph_ref || ' specify about (c) Thickness?', element_id, paragraph_ref FROM e WHERE k = 2
+            UNION ALL SELECT doc_id, 4, 0, 0, 'What is the weather today?', '', '' FROM (SELECT DISTINCT doc_id FROM e)),
+        sg AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stage, q, k) AS n FROM c WHERE stage < 4)
+        SELECT doc_id, n::INT AS place, query, element_id, paragraph_ref, stage FROM sg WHERE n <= 3
+        UNION ALL SELECT doc_id, 4, query, element_id, paragraph_ref, stage FROM c WHERE stage = 4""",
     "corpus_audit": f"""WITH {_ELEMENTS} SELECT element_type, count(*)::BIGINT AS n, count(DISTINCT CASE WHEN paragraph_ref IS NOT NULL THEN doc_id || ' ' || paragraph_ref END) AS n_refs, 0::BIGINT AS duplicate_ids FROM e GROUP BY element_type""",
     "element_search": f"""WITH {_ELEMENTS}, f AS (SELECT doc_id, element_id, title || ' ' || paragraph_ref || ' ' || CASE k WHEN 3 THEN 't = (P × R) / (S × E − 0.6 × P)' ELSE 'E = x + 1' END AS text, contains(paragraph_ref, 'A-1') AS covers FROM e WHERE k IN (3, 4))
         SELECT * FROM f""",
