@@ -4,9 +4,11 @@ The model reads overlapping windows of a text.  Each window gives every characte
 scores; where windows overlap, each character keeps those of the window in which it lies furthest
 from an edge, and one CRF decoding over the joined stretch settles all spans together.
 
-Every kind of span holds a digit or an at sign, and the decoder admits no other spans.  A window
-without such a character therefore cannot yield one, and is not read.  Names, addresses and numbers
-in words are no kind of span here and are not found.
+The model learns what the rules miss: spans written apart, with words for their signs, brackets,
+spaces or other separators (``pii_forms``).  A span that it adds must be of its kind once these are
+undone.  Each such span holds a digit, an at sign, a word for a dot, a bracketed sign, or an at before
+a name with a dot; a window without any of these cannot yield one, and is not read.  Names, addresses
+and numbers in words are no kind of span here and are not found.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.pii_forms import TRIGGER, digits_of, holds, luhn, windows_to_learn
+
 KINDS = ("email", "ip", "card", "phone")
-TRIGGER = re.compile(r"[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits matches from its first digit or not at all, so possessive forms find the same matches in linear time.
@@ -45,15 +48,6 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
-def luhn(digits: str) -> bool:
-    total = sum(map(int, digits[-1::-2]))
-    return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
-
-
-def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
-
-
 def base_spans(text: str) -> list[Span]:
     """The rules' matches by start, then kind; a match that fails its test is dropped."""
     out = [(a, b, 0) for a, b in _emails(text)] if "@" in text else []
@@ -62,11 +56,11 @@ def base_spans(text: str) -> list[Span]:
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out.append((m.start(), m.end(), 1))
     for m in _CARD.finditer(text):
-        d = _digits(m[0])
+        d = digits_of(m[0])
         if 12 <= len(d) <= 19 and luhn(d):
             out.append((m.start(), m.end(), 2))
     for m in _PHONE.finditer(text):
-        if 9 <= len(_digits(m[0])) <= 15:
+        if 9 <= len(digits_of(m[0])) <= 15:
             out.append((m.start(), m.end(), 3))
     return sorted(out, key=lambda s: (s[0], s[2]))
 
@@ -113,7 +107,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class BiLstmCrf:
     """One-hot characters, a forward and a backward LSTM, a linear layer, and CRF transitions."""
 
-    def __init__(self, hidden: int = 12, seed: int = 3):
+    def __init__(self, hidden: int = 16, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.hidden = hidden
         self.p: dict[str, np.ndarray] = {}
@@ -130,10 +124,12 @@ class BiLstmCrf:
         """Hidden states of windows (n, time) of character ids, in the order of reading."""
         n, time = x.shape
         k = self.hidden
-        h, c, out = np.zeros((n, k)), np.zeros((n, k)), np.empty((n, time, k))
+        kind = self.p["O"].dtype
+        h, c, out = np.zeros((n, k), kind), np.zeros((n, k), kind), np.empty((n, time, k), kind)
         for t in range(time):
             z = self.p["E" + d][x[:, t]] + h @ self.p["R" + d]
-            i, f, o, g = _sigmoid(z[:, :k]), _sigmoid(z[:, k : 2 * k]), _sigmoid(z[:, 2 * k : 3 * k]), np.tanh(z[:, 3 * k :])
+            gates, g = _sigmoid(z[:, : 3 * k]), np.tanh(z[:, 3 * k :])
+            i, f, o = gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :]
             old_c, old_h = c, h
             c = f * c + i * g
             tc = np.tanh(c)
@@ -150,17 +146,23 @@ class BiLstmCrf:
     def _lstm_back(self, x: np.ndarray, d: str, keep: list, dout: np.ndarray, grads: dict) -> None:
         n, time = x.shape
         k = self.hidden
-        dh, dc = np.zeros((n, k)), np.zeros((n, k))
-        ge, gr = np.zeros_like(self.p["E" + d]), np.zeros_like(self.p["R" + d])
+        kind = self.p["O"].dtype
+        dh, dc = np.zeros((n, k), kind), np.zeros((n, k), kind)
+        dz, hidden = np.empty((time, n, 4 * k), kind), np.stack([step[-1] for step in keep])
+        back = np.ascontiguousarray(self.p["R" + d].T)
         for t in range(time - 1, -1, -1):
-            i, f, o, g, old_c, tc, old_h = keep[t]
+            i, f, o, g, old_c, tc, _ = keep[t]
             dh = dh + dout[:, t]
-            dc = dc + dh * o * (1 - tc**2)
-            dz = np.concatenate((dc * g * i * (1 - i), dc * old_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)), axis=1)
-            np.add.at(ge, x[:, t], dz)
-            gr += old_h.T @ dz
-            dh, dc = dz @ self.p["R" + d].T, dc * f
-        grads["E" + d], grads["R" + d] = ge, gr
+            dc = dc + dh * o * (1 - tc * tc)
+            z = dz[t]
+            z[:, :k] = dc * g * i * (1 - i)
+            z[:, k : 2 * k] = dc * old_c * f * (1 - f)
+            z[:, 2 * k : 3 * k] = dh * tc * o * (1 - o)
+            z[:, 3 * k :] = dc * i * (1 - g * g)
+            dh, dc = z @ back, dc * f
+        flat = dz.reshape(-1, 4 * k)
+        grads["E" + d] = np.eye(CHARS, dtype=kind)[x.T.reshape(-1)].T @ flat
+        grads["R" + d] = hidden.reshape(-1, k).T @ flat
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of the tag paths, and its gradients."""
@@ -170,37 +172,41 @@ class BiLstmCrf:
         hf, hb = self._lstm(x, "f", kf), self._lstm(x[:, ::-1], "b", kb)[:, ::-1]
         h = np.concatenate((hf, hb), axis=2)
         e = h @ self.p["O"] + self.p["o"]
-        trans = self.p["T"] + self.mask
-
-        def lse(a: np.ndarray, axis: int) -> np.ndarray:
-            top = a.max(axis=axis, keepdims=True)
-            return (np.log(np.exp(a - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
-
+        # The forward and backward sums run on exponentials, scaled by each row's largest term.
+        trans = self.p["T"].astype("float64") + self.mask
+        moves, e = np.exp(trans), e.astype("float64")
         alpha, beta = np.empty_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0]
         for t in range(1, time):
-            alpha[:, t] = lse(alpha[:, t - 1, :, None] + trans, 1) + e[:, t]
+            top = alpha[:, t - 1].max(1, keepdims=True)
+            alpha[:, t] = np.log(np.exp(alpha[:, t - 1] - top) @ moves + 1e-300) + top + e[:, t]
         for t in range(time - 2, -1, -1):
-            beta[:, t] = lse(trans + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        z = lse(alpha[:, -1], 1)
+            ahead = e[:, t + 1] + beta[:, t + 1]
+            top = ahead.max(1, keepdims=True)
+            beta[:, t] = np.log(np.exp(ahead - top) @ moves.T + 1e-300) + top
+        top = alpha[:, -1].max(1)
+        z = np.log(np.exp(alpha[:, -1] - top[:, None]).sum(1)) + top
         rows = np.arange(n)[:, None]
         gold = e[rows, np.arange(time), y].sum(1) + trans[y[:, :-1], y[:, 1:]].sum(1)
         de = np.exp(alpha + beta - z[:, None, None])
         de[rows, np.arange(time), y] -= 1
-        dt = np.zeros_like(trans)
-        for t in range(1, time):
-            dt += np.exp(alpha[:, t - 1, :, None] + trans + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None]).sum(0)
+        before, after = alpha[:, :-1], (e + beta)[:, 1:]
+        low, high = before.max(2, keepdims=True), after.max(2, keepdims=True)
+        weight = np.exp(before - low + (low + high - z[:, None, None]))
+        dt = moves * (weight.reshape(-1, TAGS).T @ np.exp(after - high).reshape(-1, TAGS))
         np.add.at(dt, (y[:, :-1], y[:, 1:]), -1)
-        grads = {"O": np.einsum("nth,ntk->hk", h, de), "o": de.sum((0, 1)), "T": np.where(self.mask < 0, 0, dt)}
+        de = de.astype(h.dtype)
+        grads = {"O": h.reshape(n * time, -1).T @ de.reshape(n * time, -1), "o": de.sum((0, 1)), "T": np.where(self.mask < 0, 0, dt)}
         dh = de @ self.p["O"].T
         k = self.hidden
         self._lstm_back(x, "f", kf, dh[:, :, :k], grads)
         self._lstm_back(x[:, ::-1], "b", kb, dh[:, ::-1, k:], grads)
         return float((z - gold).mean()), {name: g / n for name, g in grads.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 350, batch: int = 96, rate: float = 0.02, seed: int = 4) -> BiLstmCrf:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 800, batch: int = 64, rate: float = 0.02, seed: int = 4) -> BiLstmCrf:
         """Adam over mini-batches of windows."""
         rng = np.random.default_rng(seed)
+        self.p = {k: v.astype("float32") for k, v in self.p.items()}
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
@@ -208,6 +214,7 @@ class BiLstmCrf:
             _, grads = self.loss(x[pick], y[pick])
             pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, g in grads.items():
+                g = g.astype("float32")
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v2[k] = 0.999 * v2[k] + 0.001 * g * g
                 self.p[k] = self.p[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)
@@ -215,17 +222,42 @@ class BiLstmCrf:
 
     def best_path(self, e: np.ndarray) -> np.ndarray:
         """The likeliest tags of one stretch of emissions (time, tags)."""
+        return self.best_paths([e])[0]
+
+    def best_paths(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
+        """The likeliest tags of each stretch; stretches of like lengths are decoded together."""
         trans = self.p["T"] + self.mask
-        score, back = e[0] + self.mask[0], np.empty((len(e), TAGS), np.int64)
-        for t in range(1, len(e)):
-            step = score[:, None] + trans
-            back[t] = step.argmax(0)
-            score = step[back[t], np.arange(TAGS)] + e[t]
-        path = np.empty(len(e), np.int64)
-        path[-1] = score.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
+        out: list = [None] * len(stretches)
+        order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
+        at = 0
+        while at < len(order):
+            group = [order[at]]
+            at += 1
+            # The longest sets the work of its group: it may exceed the shortest by half, and a group holds a bounded number of characters.
+            while at < len(order) and len(stretches[order[at]]) * (len(group) + 1) <= 200_000 and 2 * len(stretches[order[at]]) <= 3 * len(stretches[group[0]]) + 64:
+                group.append(order[at])
+                at += 1
+            lengths = np.array([len(stretches[i]) for i in group])
+            e = np.zeros((len(group), lengths.max(), TAGS))
+            for row, i in enumerate(group):
+                e[row, : lengths[row]] = stretches[i]
+            score = e[:, 0] + self.mask[0]
+            back = np.empty((len(group), lengths.max(), TAGS), np.int8)
+            for t in range(1, lengths.max()):
+                step = score[:, :, None] + trans
+                back[:, t] = step.argmax(1)
+                # A stretch that has ended keeps its scores.
+                score = np.where((t < lengths)[:, None], step.max(1) + e[:, t], score)
+            rows = np.arange(len(group))
+            path = np.zeros((len(group), lengths.max()), np.int64)
+            tag = score.argmax(1)
+            for t in range(lengths.max() - 1, -1, -1):
+                path[:, t] = tag
+                if t:
+                    tag = np.where(t < lengths, back[rows, t, tag], tag)
+            for row, i in enumerate(group):
+                out[i] = path[row, : lengths[row]]
+        return out
 
 
 def windows(ids: np.ndarray, triggers: np.ndarray) -> np.ndarray:
@@ -240,44 +272,51 @@ def _cut(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return padded[starts[:, None] + np.arange(WINDOW)]
 
 
-def _triggers(ids: np.ndarray) -> np.ndarray:
-    """Places of digits and at signs."""
-    return np.flatnonzero(((ids >= ord("0") - 30) & (ids <= ord("9") - 30)) | (ids == ord("@") - 30))
+def _triggers(text: str) -> np.ndarray:
+    """Places where something begins without which there is no span."""
+    return np.array([m.start() for m in TRIGGER.finditer(text)], np.int64)
 
 
 def model_spans(texts: list[str], model: BiLstmCrf, step: int = 2048) -> list[list[Span]]:
-    """Spans of each text after its windows are decoded together."""
-    ids = [_char_ids(t) for t in texts]
-    triggers = [_triggers(x) for x in ids]
-    starts = [windows(x, t) if len(t) else np.empty(0, np.int64) for x, t in zip(ids, triggers, strict=True)]
-    out: list[list[Span]] = []
-    owner = [i for i, s in enumerate(starts) for _ in s]
-    if not owner:
-        return [[] for _ in texts]
-    cut = np.concatenate([_cut(x, s) for x, s in zip(ids, starts, strict=True) if len(s)])
-    e = np.concatenate([model.emissions(cut[i : i + step]).astype("float32") for i in range(0, len(cut), step)])
-    at = 0
-    for i, s in enumerate(starts):
-        spans: list[Span] = []
-        own = e[at : at + len(s)]
-        at += len(s)
-        j = 0
-        while j < len(s):
-            # A stretch: windows each of which overlaps the next.
-            k = j
-            while k + 1 < len(s) and s[k + 1] - s[k] < WINDOW:
-                k += 1
-            begin, end = int(s[j]), min(int(s[k]) + WINDOW, len(ids[i]))
-            joined, depth = np.zeros((int(s[k]) + WINDOW - begin, TAGS)), np.full(int(s[k]) + WINDOW - begin, -1)
-            inner = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-            for w in range(j, k + 1):
-                lo = int(s[w]) - begin
+    """Spans of each text after its windows are decoded together; ``step`` windows are read at a time."""
+    inner = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
+    out: list[list[Span]] = [[] for _ in texts]
+    triggers: dict[int, np.ndarray] = {}
+    pending: list[tuple[int, int, int, np.ndarray]] = []  # text, first and last place of a stretch, its windows
+    held = 0
+
+    def settle() -> None:
+        cut = np.concatenate([c for *_, c in pending])
+        e = np.concatenate([model.emissions(cut[i : i + step]) for i in range(0, len(cut), step)])
+        joined, at = [], 0
+        for _, begin, end, c in pending:
+            size = (len(c) - 1) * STRIDE + WINDOW
+            scores, depth = np.zeros((size, TAGS)), np.full(size, -1)
+            for w in range(len(c)):
+                lo = w * STRIDE
                 better = inner > depth[lo : lo + WINDOW]
-                joined[lo : lo + WINDOW][better] = own[w][better]
+                scores[lo : lo + WINDOW][better] = e[at + w][better]
                 depth[lo : lo + WINDOW][better] = inner[better]
-            spans += _spans_of(model.best_path(joined[: end - begin]), begin, triggers[i])
-            j = k + 1
-        out.append(spans)
+            at += len(c)
+            joined.append(scores[: end - begin])
+        for (i, begin, *_), path in zip(pending, model.best_paths(joined), strict=True):
+            out[i] += _spans_of(path, begin, triggers[i])
+
+    for i, text in enumerate(texts):
+        places = _triggers(text)
+        if not len(places):
+            continue
+        ids, triggers[i] = _char_ids(text), places
+        starts = windows(ids, places)
+        # A stretch: windows each of which overlaps the next.
+        for group in np.split(starts, np.flatnonzero(np.diff(starts) > STRIDE) + 1):
+            pending.append((i, int(group[0]), min(int(group[-1]) + WINDOW, len(ids)), _cut(ids, group)))
+            held += len(group)
+            if held >= step:
+                settle()
+                pending, held = [], 0
+    if pending:
+        settle()
     return out
 
 
@@ -297,22 +336,13 @@ def _spans_of(path: np.ndarray, begin: int, triggers: np.ndarray) -> list[Span]:
     return spans
 
 
-#: How an added span must look: a kind's least number of digits or, for an email, its at sign.
-def _plausible(text: str, span: Span) -> bool:
-    a, b, kind = span
-    s = text[a:b]
-    d = len(_digits(s))
-    if kind == 0:
-        return s.count("@") == 1 and s[0] != "@" and s[-1] != "@"
-    return {1: d >= 4 and s.count(".") >= 3, 2: 12 <= d <= 19, 3: 9 <= d <= 15}[kind]
-
-
-def train(docs: DataFrame, limit: int = 3000, text_col: str = "text", labelled: DataFrame | None = None) -> BiLstmCrf:
+def train(docs: DataFrame, limit: int = 2000, text_col: str = "text", labelled: DataFrame | None = None) -> BiLstmCrf:
     """A model from at most about ``limit`` different texts with digits or at signs, drawn by a hash of the text.
 
     Labels are the rules' spans, or those of ``labelled`` (text, spans array<struct<start,end,kind>>).
-    Up to four windows of a sampled document are read for training; the driver holds at most
-    ``4 * limit`` windows of 64 characters.  With nothing to learn from, the model finds nothing.
+    Of a drawn text come at most four windows as they stand and, of at most four spans, windows in which
+    they are written apart (``pii_forms``), so the driver holds at most ``200 * limit`` windows of 64
+    characters.  With nothing to learn from, the model finds nothing.
     """
     if labelled is None:
         some = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn("hash", F.xxhash64("text"))
@@ -330,15 +360,19 @@ def train(docs: DataFrame, limit: int = 3000, text_col: str = "text", labelled:
                 text = text or ""
                 ids, spans = _char_ids(text), base_spans(text) if given is None else [(s["start"], s["end"], s["kind"]) for s in given]
                 y = np.concatenate((_tags(len(ids), spans), np.zeros(WINDOW, np.int64)))
-                t = _triggers(ids)
+                t = _triggers(text)
                 if not len(t):
                     continue
                 # Windows whose first character is inside a span would teach a wrong begin.
                 starts = [s for s in windows(ids, t) if y[s] % 2 == 1 or y[s] == 0]
                 seed = int.from_bytes(hashlib.sha256(text.encode("utf-8", "replace")).digest()[:4], "little")
-                for s in np.random.default_rng(seed).permutation(starts)[:4].astype(np.int64):
+                rng = np.random.default_rng(seed)
+                for s in rng.permutation(starts)[:4].astype(np.int64):
                     xs.append(_cut(ids, np.array([s]))[0].astype("int8").tobytes())
                     ys.append(y[s : s + WINDOW].astype("int8").tobytes())
+                for piece, marked in windows_to_learn(text, spans, WINDOW, rng):
+                    xs.append(_cut(_char_ids(piece), np.array([0]))[0].astype("int8").tobytes())
+                    ys.append(_tags(WINDOW, marked).astype("int8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
 
     got = rows.mapInArrow(cut, "x binary, y binary").toPandas().sort_values(["x", "y"])
@@ -385,7 +419,7 @@ def find(docs: DataFrame, model: BiLstmCrf, id_col: str = "doc_id", text_col: st
             for i, text in enumerate(texts):
                 base = base_spans(text) if i in added else []
                 # Rules' spans of different kinds may overlap each other; the model's may touch none.
-                more = [s for s in added.get(i, ()) if _plausible(text, s) and not any(s[0] < e and a < s[1] for a, e, _ in base)]
+                more = [s for s in added.get(i, ()) if holds(text, s) and not any(s[0] < e and a < s[1] for a, e, _ in base)]
                 spans = base + more
                 for k in range(len(KINDS)):
                     columns[k].append(sum(s[2] == k for s in spans))
