@@ -148,10 +148,11 @@ class BiLstmCrf:
         k = self.hidden
         kind = self.p["O"].dtype
         dh, dc = np.zeros((n, k), kind), np.zeros((n, k), kind)
-        dz, hidden = np.empty((time, n, 4 * k), kind), np.stack([step[-1] for step in keep])
+        # Products are kept small, so that no numeric library takes threads of its own for them.
+        dz, gr = np.empty((time, n, 4 * k), kind), np.zeros_like(self.p["R" + d])
         back = np.ascontiguousarray(self.p["R" + d].T)
         for t in range(time - 1, -1, -1):
-            i, f, o, g, old_c, tc, _ = keep[t]
+            i, f, o, g, old_c, tc, old_h = keep[t]
             dh = dh + dout[:, t]
             dc = dc + dh * o * (1 - tc * tc)
             z = dz[t]
@@ -159,10 +160,15 @@ class BiLstmCrf:
             z[:, k : 2 * k] = dc * old_c * f * (1 - f)
             z[:, 2 * k : 3 * k] = dh * tc * o * (1 - o)
             z[:, 3 * k :] = dc * i * (1 - g * g)
+            gr += old_h.T @ z
             dh, dc = z @ back, dc * f
-        flat = dz.reshape(-1, 4 * k)
-        grads["E" + d] = np.eye(CHARS, dtype=kind)[x.T.reshape(-1)].T @ flat
-        grads["R" + d] = hidden.reshape(-1, k).T @ flat
+        # Rows of one character are added up in runs.
+        chars = x.T.reshape(-1)
+        order = np.argsort(chars, kind="stable")
+        met, first = np.unique(chars[order], return_index=True)
+        ge = np.zeros_like(self.p["E" + d])
+        ge[met] = np.add.reduceat(dz.reshape(-1, 4 * k)[order], first, axis=0)
+        grads["E" + d], grads["R" + d] = ge, gr
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of the tag paths, and its gradients."""
@@ -193,10 +199,10 @@ class BiLstmCrf:
         before, after = alpha[:, :-1], (e + beta)[:, 1:]
         low, high = before.max(2, keepdims=True), after.max(2, keepdims=True)
         weight = np.exp(before - low + (low + high - z[:, None, None]))
-        dt = moves * (weight.reshape(-1, TAGS).T @ np.exp(after - high).reshape(-1, TAGS))
+        dt = moves * np.einsum("ntj,ntk->jk", weight, np.exp(after - high))
         np.add.at(dt, (y[:, :-1], y[:, 1:]), -1)
         de = de.astype(h.dtype)
-        grads = {"O": h.reshape(n * time, -1).T @ de.reshape(n * time, -1), "o": de.sum((0, 1)), "T": np.where(self.mask < 0, 0, dt)}
+        grads = {"O": np.einsum("nth,ntk->hk", h, de), "o": de.sum((0, 1)), "T": np.where(self.mask < 0, 0, dt)}
         dh = de @ self.p["O"].T
         k = self.hidden
         self._lstm_back(x, "f", kf, dh[:, :, :k], grads)
