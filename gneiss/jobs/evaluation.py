@@ -52,7 +52,7 @@ def table_repair(spark: SparkSession, sf: str) -> DataFrame:
                            case when l_linenumber % 2 = 0 then '\\n|  | more- |  |  |  |  |  |  |\\n|  | text | |  |  |  |  |  |' else '' end)""")
     text = F.concat(F.lit("## B-1 Lines\n| Line | Kind | Part | A | B | C | D | E |\n|---|---|---|---|---|---|---|---|\n"), F.array_join("r.md", "\n"))
     docs = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", row.alias("md")))).alias("r")).select("doc_id", text.alias("text"))
-    return P.repaired_rows(P.table_rows(P.sections(docs))).filter("row > 0").select("doc_id", "row", F.array_join("cells", "|").alias("cells"))
+    return P.repaired_tables(P.sections(docs)).filter("row > 0").select("doc_id", "row", F.array_join("cells", "|").alias("cells"))
 
 
 # --- Gate, citations, metrics ------------------------------------------------------------------------
