@@ -108,8 +108,8 @@ def violations(responses: DataFrame, citations: DataFrame) -> DataFrame:
 
 def first_sentence(content: Column) -> Column:
     """The first line of twenty characters or more, up to its first full stop or semicolon, else 240 characters of it."""
-    line = F.element_at(F.filter(F.transform(F.split(content, "\n"), F.trim), lambda s: F.length(s) >= 20), 1)
-    line = F.when(F.size(F.filter(F.transform(F.split(content, "\n"), F.trim), lambda s: F.length(s) >= 20)) > 0, line)
+    # A function of two arguments would be given the line's number as the characters to trim.
+    line = F.get(F.filter(F.transform(F.split(content, "\n"), lambda s: F.trim(s)), lambda s: F.length(s) >= 20), 0)
     whole = F.regexp_extract(line, r"^(.*?[.;])(?:\s|$)", 1)
     return F.when(whole != "", F.trim(whole)).otherwise(F.substring(line, 1, 240))
 
