@@ -25,3 +25,13 @@ def test_repair_in_place_is_repair_of_rows(spark):
     assert rows[0] == rows[1] == [
         (0, 0, ["k", "v", "w", "x", "y"]), (0, 1, ["Flag", "7 more-text", "a", "b", "c"]), (0, 2, ["p", "q", "r", "s", "t"]), (1, 0, ["one a"]), (1, 1, ["b c"]),
     ]
+
+
+def test_elements_are_parsed_once_and_become_rows_before_they_are_numbered(spark):
+    docs = spark.createDataFrame([(1, "## A-1 x\n### A-1(a) y\n| h |\n|---|\n| v |\n## M\n| h |\n|---|"), (2, "no heading"), (3, None)], "doc_id long, text string")
+    out = parsing.elements(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # What finds headings stands once in the plan, and the generator below it is given the parsed array, not the numbering.
+    assert plan.count("StartsWith(lambda c#") == 1 and "posexplode(ev" in plan
+    assert [(r.doc_id, r.ord, r.element_id) for r in out.orderBy("doc_id", "ord").collect()] == [
+        (1, 1, "sec-a-1"), (1, 2, "sec-a-1-2"), (1, 3, "tbl-a-1"), (1, 4, "sec-m"), (1, 5, "tbl-tbl-0")]
