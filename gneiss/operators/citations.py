@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators.answers import resolve
 from gneiss.operators.evidence import compatible, quote_match
+from gneiss.session import checkpointed
 
 # Fixed pattern of a canonical reference.
 CANONICAL = r"(?i)^(?:Table\s+)?(?:[A-Z]{1,5}-\d+(?:\.\d+)?(?:-\d+)?|\d{1,2}-\d+(?:\.\d+)?)(?:\([a-z0-9]+\)(?:\(\d+\))?)?$"
@@ -34,36 +35,28 @@ def validate(citations: DataFrame, chunks: DataFrame, elements: DataFrame | None
 
     A source is looked for among the query's chunks: by id, by the id as a reference, by the reference, and by that without
     its last ``(x)``.  Otherwise a canonical reference is looked up in the corpus, climbing to its parents; without a corpus it fails.  Then
-    the references must be compatible (for a chunk) and the source must hold the quote.  Each step is an equi-join on
-    keys; only texts that are cited are moved.
+    the references must be compatible (for a chunk) and the source must hold the quote.  A query's chunks meet its citations as
+    one list (as many as it was answered from), in one equi-join; what is then known is written, and only what no chunk has meets the corpus.
     """
-    keyed = citations.withColumns({
-        "k_id": F.col("source_id"), "k_as_ref": F.upper("source_id"), "k_ref": bare(F.col("ref")), "k_parent": F.trim(F.regexp_replace(bare(F.col("ref")), r"\([A-Z0-9]+\)\s*$", "")),
-    })
-    own = chunks.groupBy("query_id", "element_id").agg(F.max_by(F.struct("element_id", "ref", "content"), "rank").alias("hit"))
-    first = F.min_by(F.struct("element_id", "ref", "content"), "rank")
-    of_ref = chunks.filter("coalesce(ref, '') <> ''").groupBy("query_id", F.upper("ref").alias("key")).agg(first.alias("hit"))
-    for name, index in (("k_id", own.withColumnRenamed("element_id", "key")), ("k_as_ref", of_ref), ("k_ref", of_ref), ("k_parent", of_ref)):
-        keyed = keyed.join(index.select("query_id", F.col("key").alias(name), F.col("hit").alias(f"hit_{name}")), ["query_id", name], "left")
-    keyed = keyed.withColumn("hit", F.coalesce(*(f"hit_{n}" for n in ("k_id", "k_as_ref", "k_ref", "k_parent"))))
-    canonical = F.coalesce(F.trim("ref").rlike(CANONICAL), F.lit(False))
-    if elements is None:
-        far = keyed.withColumns({"far_id": F.lit(None).cast("string"), "far_content": F.lit(None).cast("string")})
-        lost = F.lit("no corpus")
-    else:
-        index = by_reference(elements)
-        wanted = keyed.filter(F.col("hit").isNull() & canonical).select(F.col("k_ref").alias("ref")).distinct()
-        climbed = resolve(wanted, index).filter("resolved is not null").join(index.withColumnRenamed("ref", "resolved"), "resolved")
-        far = keyed.join(climbed.select(F.col("ref").alias("k_ref"), F.col("element_id").alias("far_id"), F.col("content").alias("far_content")), "k_ref", "left")
-        lost = F.lit("unresolved")
-    near = F.col("hit").isNotNull()
+    hits = chunks.filter("rank is not null").groupBy("query_id").agg(F.collect_list(F.struct("rank", "element_id", "ref", "content")).alias("hits"))
+    by_ref = lambda key: f"array_min(filter(hits, h -> h.ref <> '' and upper(h.ref) = {key}))"
+    keys = citations.withColumns({"k_as_ref": F.upper("source_id"), "k_ref": bare(F.col("ref")), "k_parent": F.trim(F.regexp_replace(bare(F.col("ref")), r"\([A-Z0-9]+\)\s*$", ""))})
+    met = keys.join(hits, "query_id", "left").withColumn("hit", F.expr(f"coalesce(array_max(filter(hits, h -> h.element_id = source_id)), {', '.join(map(by_ref, ('k_as_ref', 'k_ref', 'k_parent')))})"))
+    near, canonical = F.col("hit").isNotNull(), F.coalesce(F.trim("ref").rlike(CANONICAL), F.lit(False))
     issue = (
-        F.when(~near & ~canonical, "not canonical").when(~near & F.col("far_id").isNull(), lost)
-        .when(~near & ~quote_match(F.col("quote"), F.col("far_content"), least), "quote")
-        .when(near & (F.coalesce(F.col("hit.ref"), F.lit("")) != "") & ~F.coalesce(F.expr(compatible("ref", "hit.ref")), F.lit(False)), "reference")
-        .when(near & ~quote_match(F.col("quote"), F.col("hit.content"), least), "quote")
+        F.when(~near & ~canonical, "not canonical").when(~near, "no corpus" if elements is None else "unresolved")
+        .when((F.coalesce(F.col("hit.ref"), F.lit("")) != "") & ~F.coalesce(F.expr(compatible("ref", "hit.ref")), F.lit(False)), "reference")
+        .when(~quote_match(F.col("quote"), F.col("hit.content"), least), "quote")
     )
-    return far.select(*citations.columns, F.when(near, F.col("hit.element_id")).when(canonical, F.col("far_id")).alias("resolved_id"), issue.alias("issue"))
+    told = met.select(*citations.columns, F.col("hit.element_id").alias("resolved_id"), issue.alias("issue"), F.when(~near & canonical, F.col("k_ref")).alias("k_ref"))
+    if elements is None:
+        return told.drop("k_ref")
+    told, index = checkpointed(told), by_reference(elements)
+    climbed = resolve(told.filter("k_ref is not null").select(F.col("k_ref").alias("ref")).distinct(), index.select("ref")).filter("resolved is not null").join(index.withColumnRenamed("ref", "resolved"), "resolved")
+    climbed = climbed.select(F.col("ref").alias("k_ref"), F.col("element_id").alias("far_id"), "content")
+    far = told.filter("k_ref is not null").drop("resolved_id", "issue").join(climbed, "k_ref", "left")
+    lost = F.when(F.col("far_id").isNull(), "unresolved").when(~quote_match(F.col("quote"), F.col("content"), least), "quote")
+    return told.filter("k_ref is null").drop("k_ref").unionByName(far.select(*citations.columns, F.col("far_id").alias("resolved_id"), lost.alias("issue")))
 
 
 def build(wanted: DataFrame, elements: DataFrame) -> DataFrame:
