@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gneiss.session import checkpointed
+
 
 def _table(head: str, key: list[str], line: Column) -> Column:
     """A Markdown table of a group's rows, in order of ``key``."""
@@ -20,20 +22,22 @@ def run_reports(scores: DataFrame, manifest: DataFrame, worst: int = 10) -> Data
     failures come with their metrics, those of the lowest mean first, ``worst`` of each run at most (the report's limit).  A metric that an
     example has more than once counts as its mean, and passes if it always does.  A run without a manifest has an empty configuration.
     """
-    each = scores.groupBy("run_id", "example_id", "metric").agg(
+    # One shuffle brings together what an example has; an example is then a row with its few metrics, written, as each part of a report reads it.
+    each = scores.repartition("run_id", "example_id").groupBy("run_id", "example_id", "metric").agg(
         F.min("category").alias("category"), F.round(F.avg("value"), 6).alias("value"), F.max("threshold").alias("threshold"), F.bool_and("passed").alias("passed")
     )
-    # Metrics, categories and metrics, and examples from one scan.
-    sets = each.groupingSets([["run_id", "metric"], ["run_id", "category", "metric"], ["run_id", "category", "example_id"]], "run_id", "category", "metric", "example_id").agg(
-        F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.round(F.avg("value"), 6).alias("mean"), F.max("threshold").alias("threshold"), F.bool_and("passed").alias("ok"),
-        F.grouping("category").alias("all_categories"), F.grouping("example_id").alias("all_examples"),
+    examples = checkpointed(each.groupBy("run_id", "example_id", "category").agg(
+        F.round(F.avg("value"), 6).alias("mean"), F.bool_and("passed").alias("ok"), F.collect_list(F.struct("metric", "value", "threshold", "passed")).alias("metrics")
+    ))
+    each = examples.select("run_id", "example_id", "category", F.inline("metrics"))
+    sets = each.groupingSets([["run_id", "metric"], ["run_id", "category", "metric"]], "run_id", "category", "metric").agg(
+        F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.round(F.avg("value"), 6).alias("mean"), F.max("threshold").alias("threshold"), F.grouping("category").alias("all_categories"),
     )
     passed = F.format_string("%d/%d", "n_passed", "n")
     metric = F.format_string("| %s | %.6f | %.6f | %s |", "metric", "mean", "threshold", passed)
     metrics = sets.filter("all_categories = 1").groupBy("run_id").agg(_table("| metric | mean | threshold | passed |", ["metric"], metric).alias("metrics"))
     line = F.format_string("| %s | %s | %.6f | %s |", F.coalesce("category", F.lit("")), "metric", "mean", passed)
-    categories = sets.filter("all_categories = 0 and all_examples = 1").groupBy("run_id").agg(_table("| category | metric | mean | passed |", ["category", "metric"], line).alias("categories"))
-    examples = sets.filter("all_examples = 0")
+    categories = sets.filter("all_categories = 0").groupBy("run_id").agg(_table("| category | metric | mean | passed |", ["category", "metric"], line).alias("categories"))
     rate = examples.groupBy("run_id").agg(F.count_if("ok").alias("k"), F.count("*").alias("n"))
     order = W.partitionBy("run_id").orderBy("mean", "example_id")
     failing = examples.filter("not ok").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= worst)
