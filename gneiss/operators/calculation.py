@@ -107,7 +107,8 @@ def trace(results: DataFrame, keys: list[str]) -> DataFrame:
         F.struct(F.lit(i).alias("step"), F.lit(k).alias("step_key"), F.expr(v).cast("double").alias("result"))
         for i, (k, v) in enumerate(values.items(), 1)
     ))
-    return results.filter("error_code is null").select(*keys, F.inline(steps))
+    # A filter would move below the calculation, and calculate all again for its condition.
+    return results.select(*keys, F.inline(F.when(F.col("error_code").isNull(), steps)))
 
 
 # Fixed patterns of the request grammar.

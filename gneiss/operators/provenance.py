@@ -57,7 +57,8 @@ def steps(results: DataFrame, keys: list[str]) -> DataFrame:
         )
         for i, (name, text, result, unit, cite, inputs) in enumerate(rows, 1)
     ))
-    return results.filter("error_code is null").select(*keys, F.inline(each))
+    # A filter would move below the calculation, and calculate all again for its condition.
+    return results.select(*keys, F.inline(F.when(F.col("error_code").isNull(), each)))
 
 
 def citations_of(done: DataFrame, keys: list[str]) -> DataFrame:
