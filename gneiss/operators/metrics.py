@@ -32,19 +32,29 @@ def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return up.select(key, "left_ref", "right_ref").union(down.select(key, "left_ref", "right_ref")).distinct()
 
 
+def _alike(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """``rows`` with ``alike``: the references of either list that match one of the other, as ``matched`` has it; a null list is empty.
+
+    The lists hold plain references of one query, as many as it was given, so each side is brought together in one shuffle.
+    """
+    rungs = lambda r: f"if(contains({r}, '('), transform(sequence(1, size(split({r}, '[(]'))), i -> substring_index({r}, '(', i)), array({r}))"
+    some = lambda a, b: f"filter({a}, r -> array_contains({b}_up, r) or arrays_overlap({rungs('r')}, {b}))"
+    rows = rows.withColumns({n: F.expr(f"filter(array_distinct(coalesce({c}, array())), r -> r <> '')") for n, c in (("_a", left), ("_b", right))})
+    rows = rows.withColumns({f"{n}_up": F.expr(f"array_distinct(flatten(transform({n}, r -> {rungs('r')})))") for n in ("_a", "_b")})
+    return rows.withColumn("alike", F.expr(f"array_union({some('_a', '_b')}, {some('_b', '_a')})")).drop("_a", "_b", "_a_up", "_b_up")
+
+
 def retrieval(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """``query_id, precision, precision_passed, recall, recall_passed``.
 
     ``ranked``: query_id, rank, ref; ``expected``: query_id, ref (as often as it is listed).  Precision passes at 0.8 of what the
     expected references could reach, within 0.08 and 0.3; recall at 0.99.  Without expected references recall is 1.
     """
-    top = ranked.filter(F.col("rank") <= k)
-    pairs = matched(top, expected, "query_id")
-    relevant = top.join(pairs.select("query_id", F.col("left_ref").alias("ref")).distinct().withColumn("hit", F.lit(1)), ["query_id", "ref"], "left")
-    p = relevant.groupBy("query_id").agg(F.count("*").alias("n"), F.count("hit").alias("relevant"))
-    found = pairs.groupBy("query_id").agg(F.count_distinct(F.upper("right_ref")).alias("found"))
-    e = expected.groupBy("query_id").agg(F.count("*").alias("n_expected"))
-    both = p.join(e, "query_id", "full").join(found, "query_id", "left").fillna(0, ["n", "relevant", "n_expected", "found"])
+    top = ranked.filter(F.col("rank") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.collect_list(plain(F.col("ref"))).alias("refs"))
+    e = expected.groupBy("query_id").agg(F.count("*").alias("n_expected"), F.collect_list(F.struct(plain(F.col("ref")).alias("p"), F.upper("ref").alias("u"))).alias("wanted"))
+    both = _alike(top.join(e, "query_id", "full"), "refs", "wanted.p")
+    relevant, found = F.expr("size(filter(refs, r -> array_contains(alike, r)))"), F.expr("size(array_distinct(filter(wanted, w -> array_contains(alike, w.p)).u))")
+    both = both.withColumns({"relevant": relevant, "found": found}).fillna(0, ["n", "relevant", "n_expected", "found"])
     precision = F.when(F.col("n") > 0, F.col("relevant") / F.col("n")).otherwise(0.0)
     least = F.least(F.lit(0.3), F.greatest(F.lit(0.08), 0.8 * F.col("n_expected") / k))
     recall = F.when(F.col("n_expected") > 0, F.col("found") / F.col("n_expected")).otherwise(1.0)
@@ -59,8 +69,9 @@ def structural(expected: DataFrame, present: DataFrame, queries: DataFrame | Non
 
     With ``queries`` (query_id), each of them has a row: one that expects nothing has all of it.
     """
-    hit = matched(present, expected, "query_id").select("query_id", F.col("right_ref").alias("ref")).distinct().withColumn("hit", F.lit(1))
-    counts = expected.join(hit, ["query_id", "ref"], "left").groupBy("query_id").agg(F.count("hit").alias("covered"), F.count("*").alias("total"))
+    refs = present.groupBy("query_id").agg(F.collect_set(plain(F.col("ref"))).alias("refs"))
+    wanted = expected.groupBy("query_id").agg(F.count("*").alias("total"), F.collect_list(plain(F.col("ref"))).alias("wanted"))
+    counts = _alike(wanted.join(refs, "query_id", "left"), "refs", "wanted").selectExpr("query_id", "cast(size(filter(wanted, w -> array_contains(alike, w))) as long) as covered", "total")
     if queries is not None:
         counts = queries.select("query_id").distinct().join(counts, "query_id", "left").fillna(0, ["covered", "total"])
     value = F.when(F.col("total") > 0, F.round(F.col("covered") / F.col("total"), 6)).otherwise(1.0)
