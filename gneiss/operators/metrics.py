@@ -101,11 +101,11 @@ def grounding(answers: DataFrame, least: float = 0.9, strict: bool = False) -> D
 def scored(parts: dict[str, DataFrame], golden: DataFrame) -> DataFrame:
     """``query_id, metric, value, passed``: all metrics of each example as rows; one that should be refused is judged by that alone.
 
-    ``parts``: query_id, value, passed for each name; ``golden``: query_id, expected_refusal.
+    ``parts``: query_id, value, passed for each name, or with a column ``metric`` several metrics at once; ``golden``: query_id, expected_refusal.
     """
     out = None
     for name, part in parts.items():
-        one = part.select("query_id", F.lit(name).alias("metric"), "value", "passed")
+        one = part.select("query_id", "metric" if "metric" in part.columns else F.lit(name).alias("metric"), "value", "passed")
         out = one if out is None else out.unionByName(one)
     judged = out.join(golden.select("query_id", "expected_refusal"), "query_id")
     return judged.filter((F.col("metric") == "refusal_calibration") | ~F.col("expected_refusal")).drop("expected_refusal")

@@ -25,3 +25,10 @@ def test_structural(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([
         (1, 4, 5, 0.8, False), (2, 1, 2, 0.5, False), (3, 0, 1, 0.0, False), (4, 0, 1, 0.0, False), (5, 1, 2, 0.5, False), (None, 0, 1, 0.0, False)], key=str)
     assert str(out._jdf.queryExecution().optimizedPlan()).count("Join") == 1
+
+
+def test_example_scores_works_out_retrieval_once(spark):
+    from gneiss.jobs import scoring
+
+    plan = scoring.example_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FullOuter") == 1
