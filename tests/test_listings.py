@@ -87,3 +87,9 @@ def test_payloads(spark):
     got = {r.i: (r.text, r.error) for r in payloads.payload_text(spark.createDataFrame(rows, "i int, payload string")).collect()}
     assert [got[i][0] for i in range(len(said))] == [t for _, t in said]
     assert [got[i][1] for i in (0, 5, 6, 7, 8, 90, 91, 92)] == [None, "no text", "no text", "not an object", "not an object", "not JSON", "not JSON", "not JSON"]
+
+
+def test_a_long_section_is_worth_ten_more(spark):
+    rows = [(i, "s", "section", "A-1", "Plain", None, None, None, None, " " + "x" * n + " ", i) for i, n in enumerate((300, 301))]
+    got = {r.doc_id: r.quality for r in browse.quality(spark.createDataFrame(rows, SHAPE), spark.createDataFrame([], "doc_id int, source_id string")).collect()}
+    assert got == {0: 40, 1: 50}
