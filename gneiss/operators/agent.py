@@ -56,18 +56,24 @@ def _whole(name: str, default: int, most: int) -> tuple[Column, Column]:
 
 
 def retrieve_context(calls: DataFrame, tools: Tools) -> tuple[DataFrame, DataFrame]:
-    """Results of the calls, and their chunks: keys, doc_id, rank, score.  Equal texts are searched once."""
+    """Results of the calls, and their chunks: keys, doc_id, rank, score.  Equal texts are searched once.
+
+    A text's hits are one value, of which each call takes the first; chunks are rows only where they are asked for.
+    """
     k, bad = _whole("top_k", TOP_K, MOST_K)
     asked = calls.filter("tool = 'retrieve_context'").select(*KEYS, "tool", _arg("query").alias("text"), k.alias("k"), bad.alias("bad"))
     error = F.when(F.col("text") == "", "retrieve_context: query is required").when(F.col("bad"), "retrieve_context: top_k is no number")
     asked = asked.withColumn("error", error)
     good = asked.filter("error is null")
-    hits = tools.search(good.select(F.col("text").alias("query_id"), "text").distinct(), MOST_K).withColumnRenamed("query_id", "text")
-    met = checkpointed(good.join(hits, "text").filter("rank <= k").select(*KEYS, "doc_id", "rank", "score"))
-    found = met.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id")))["doc_id"].alias("ids"))
-    out = asked.join(found, KEYS, "left").withColumn("n", F.coalesce(F.size("ids"), F.lit(0)))
-    output = F.when(F.col("error").isNull(), F.to_json(F.struct("n", F.coalesce("ids", F.array().cast("array<long>")).alias("chunks"))))
-    return out.select(*KEYS, "error", (F.col("n") > 0).alias("found"), output.alias("output")), met
+    hits = tools.search(good.select(F.col("text").alias("query_id"), "text").distinct(), MOST_K)
+    hits = checkpointed(hits.groupBy(F.col("query_id").alias("text")).agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("hits")))
+    own = F.filter("hits", lambda h: h["rank"] <= F.col("k"))
+    # A text with an error, which is none that was searched or one of another call, meets no hits.
+    met = asked.withColumn("text", F.when(F.col("error").isNull(), F.col("text"))).join(hits, "text", "left").withColumn("hits", own)
+    out = met.withColumn("n", F.coalesce(F.size("hits"), F.lit(0)))
+    output = F.when(F.col("error").isNull(), F.to_json(F.struct("n", F.coalesce(F.col("hits")["doc_id"], F.array().cast("array<long>")).alias("chunks"))))
+    chunks = met.select(*KEYS, F.explode("hits").alias("h")).select(*KEYS, "h.doc_id", "h.rank", "h.score")
+    return out.select(*KEYS, "error", (F.col("n") > 0).alias("found"), output.alias("output")), chunks
 
 
 def find_by_reference(nodes: DataFrame, refs: DataFrame) -> DataFrame:

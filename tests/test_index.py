@@ -90,3 +90,30 @@ def test_a_session_builds_an_index_once(spark, tmp_path):
     spark.createDataFrame([(2, "beta")], "doc_id long, text string").write.mode("append").parquet(path)
     again = ranked_index.shared_index(spark.read.parquet(path))
     assert again.path != first.path and again.n_docs == 2
+
+
+def test_terms_are_found_in_bytes():
+    lowered = {c for i in range(128, 0x110000) if not 0xD800 <= i < 0xE000 for c in chr(i) if any(x < "\x80" for x in c.lower())}
+    assert lowered == {c.decode() for c in ranked_index.ODD}
+    rng = random.Random(5)
+    for odd in ("", "İK"):
+        texts = ["".join(rng.choices("aBz09-- .é€\U0001f600\n" + odd, k=rng.randint(0, 12))) for _ in range(200)] + [None, "", "ab", "cd", None]
+        for column in (ranked_index.pa.array(texts), ranked_index.pa.array(["zz", *texts]).slice(1), ranked_index.pa.array([], "string"), ranked_index.pa.array([None, ""], "string")):
+            coded, lengths, plain = ranked_index._coded(column)
+            want = [re.findall(retrieval.TERM, (t or "").lower()) for t in column.to_pylist()]
+            assert coded.to_pylist() == [t for own in want for t in own] and lengths.tolist() == list(map(len, want)) and plain == (not odd or len(column) < 3)
+
+
+def test_the_vocabulary_holds_what_stands_in_the_texts(spark):
+    texts = ["Alpha of -beta --x y- a z9", "Kelvin İx", "the 1-2 THE", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {w.lower() for t in texts for w in re.findall("[A-Za-z0-9][A-Za-z0-9-]+", t or "")} - set(retrieval.STOPWORDS)
+    index = RankedIndex.build(docs)
+    assert {r.term for r in index.vocabulary.collect()} == want and "kelvin" not in want and "kelvin" in {r.term for r in index.terms.collect()}
+
+
+def test_blocks_are_sorted_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha")], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    RankedIndex.build(docs, path)
+    assert "kind" in spark.read.parquet(path + "/blocks").columns and not list((tmp_path / "index" / "blocks").glob("kind=*"))
