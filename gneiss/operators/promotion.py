@@ -79,11 +79,12 @@ def holders(docs: DataFrame, queries: DataFrame, size: int = PACK) -> DataFrame:
     return out.filter("whole").select("query_id", "doc_id").unionByName(begun.select("query_id", "doc_id")).distinct()
 
 
-def named_references(queries: DataFrame) -> DataFrame:
-    """``query_id, ref, as_table``: the references that a query gives, in upper case, each once; ``as_table``: after the word "Table"."""
-    found = lambda pattern: F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(1)), F.upper)
-    each = [queries.select("query_id", F.explode(F.array_distinct(found(p))).alias("ref"), F.lit(t).alias("as_table")) for p, t in ((TABLE_REF, True), (ANY_REF, False))]
-    return each[0].unionByName(each[1])
+def named_references(queries: DataFrame, *keys: str) -> DataFrame:
+    """``query_id, keys, ref, as_table``: the references that a query gives, in upper case, each once; ``as_table``: after the word "Table"."""
+    found = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(1)), F.upper))
+    told = lambda as_table: lambda ref: F.struct(ref.alias("ref"), F.lit(as_table).alias("as_table"))
+    each = F.concat(F.transform(found(TABLE_REF), told(True)), F.transform(found(ANY_REF), told(False)))
+    return queries.select("query_id", *keys, F.inline(each))
 
 
 def by_reference(queries: DataFrame, elements: DataFrame, *keys: str) -> DataFrame:
@@ -92,19 +93,22 @@ def by_reference(queries: DataFrame, elements: DataFrame, *keys: str) -> DataFra
     ``queries``: query_id, text; ``elements``: element_id, element_type, table_id, paragraph_ref, ord.  With ``keys``, columns of both in
     which they must agree: a query then names elements of its own corpus.  One equi-join on the reference; the index is a row for each element that can be named.
     """
-    refs = named_references(queries).join(queries.select("query_id", *keys).distinct(), "query_id") if keys else named_references(queries)
-    own = [F.col("element_id").alias("doc_id"), F.col("ord").alias("place")]
-    tables = elements.filter("table_id is not null").select(*keys, F.upper("table_id").alias("ref"), F.lit(True).alias("as_table"), F.lit(0).alias("priority"), *own)
-    sections = elements.filter("element_type = 'section' and paragraph_ref is not null").select(*keys, F.upper("paragraph_ref").alias("ref"), F.lit(False).alias("as_table"), F.lit(1).alias("priority"), *own)
-    met = refs.join(tables.unionByName(sections), [*keys, "ref", "as_table"])
+    one = lambda col, t: F.struct(F.upper(col).alias("ref"), F.lit(t).alias("as_table"), F.lit(0 if t else 1).alias("priority"))
+    # An element can be named in both ways; elements are read once.
+    ways = F.array(F.when(F.col("table_id").isNotNull(), one("table_id", True)), F.when((F.col("element_type") == "section") & F.col("paragraph_ref").isNotNull(), one("paragraph_ref", False)))
+    index = elements.select(*keys, F.col("element_id").alias("doc_id"), F.col("ord").alias("place"), F.inline(F.array_compact(ways)))
+    met = named_references(queries, *keys).join(index, [*keys, "ref", "as_table"])
     return met.groupBy("query_id", *keys, "doc_id").agg(F.min("priority").alias("priority"), F.min("place").alias("place"))
 
 
 def promote(ranked: DataFrame, named: DataFrame) -> DataFrame:
     """``query_id, doc_id, score, origin, rank``: the documents a query names (``query_id, doc_id, priority, place``) first, each with at least score 1, then the ranking."""
-    high = named.join(ranked.groupBy("query_id").agg(F.max("score").alias("high")), "query_id", "left")
-    first = high.select("query_id", "doc_id", F.greatest(F.coalesce("high", F.lit(1.0)), F.lit(1.0)).alias("score"), "priority", "place", F.lit("exact_ref").alias("origin"))
-    rest = ranked.join(named, ["query_id", "doc_id"], "left_anti")
-    rest = rest.select("query_id", "doc_id", "score", F.lit(99).alias("priority"), F.lit(0).cast("long").alias("place"), F.lit("hybrid").alias("origin"))
+    told = ranked.select("query_id", "doc_id", "score", F.lit(99).alias("priority"), F.lit(0).cast("long").alias("place"), F.lit(False).alias("named"))
+    told = told.unionByName(named.select("query_id", "doc_id", F.lit(None).cast("double").alias("score"), "priority", "place", F.lit(True).alias("named")))
+    # Rows meet by their query, in one shuffle for all three windows; the first two share an order.
+    told = told.repartition("query_id").withColumn("by_name", F.max("named").over(W.partitionBy("query_id", "doc_id"))).withColumn("high", F.max("score").over(W.partitionBy("query_id")))
+    told = told.filter("named or not by_name")
+    score = F.when(F.col("named"), F.greatest(F.coalesce("high", F.lit(1.0)), F.lit(1.0))).otherwise(F.col("score"))
+    out = told.select("query_id", "doc_id", score.alias("score"), "priority", "place", F.when(F.col("named"), "exact_ref").otherwise("hybrid").alias("origin"))
     order = W.partitionBy("query_id").orderBy("priority", "place", F.desc("score"), "doc_id")
-    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).drop("priority", "place")
+    return out.withColumn("rank", F.row_number().over(order)).drop("priority", "place")

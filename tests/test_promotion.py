@@ -42,3 +42,41 @@ def test_tables_come_before_sections(spark):
     assert got[1] == [("t2", 2.5, exact), ("t1", 2.5, exact), ("s2", 2.5, exact), ("s1", 2.5, exact), ("x", 2.5, "hybrid")]
     assert got[2] == [("s2", 1.0, exact), ("s1", 1.0, exact), ("p", 0.4, "hybrid")]
     assert got[3] == [("x", 0.1, "hybrid")]
+
+
+def test_rows_of_a_query_meet_once(spark):
+    elements = spark.createDataFrame([(c, f"s{i}", "section", None, f"A-{i}", i) for c in (1, 2) for i in range(3)], "corpus int, element_id string, element_type string, table_id string, paragraph_ref string, ord long")
+    queries = spark.createDataFrame([(1, 1, "A-1"), (2, 2, "A-1 and A-2"), (3, 9, "A-1")], "query_id long, corpus int, text string")
+    named = promotion.by_reference(queries, elements, "corpus")
+    assert sorted(map(tuple, named.collect())) == [(1, 1, "s1", 1, 1), (2, 2, "s1", 1, 1), (2, 2, "s2", 1, 2)]
+    ranked = spark.createDataFrame([(1, "s1", 0.5), (2, "x", 3.0), (3, "y", 0.1), (3, "y", 0.1)], "query_id long, doc_id string, score double")
+    out = promotion.promote(ranked, named.drop("corpus"))
+    assert sorted((r.query_id, r["rank"], r.doc_id, r.score, r.origin) for r in out.collect()) == [
+        (1, 1, "s1", 1.0, "exact_ref"), (2, 1, "s1", 3.0, "exact_ref"), (2, 2, "s2", 3.0, "exact_ref"), (2, 3, "x", 3.0, "hybrid"), (3, 1, "y", 0.1, "hybrid"), (3, 2, "y", 0.1, "hybrid"),
+    ]
+    # A join of questions and elements, a grouping of what they name, and one shuffle by query.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1
+
+
+def test_what_names_nothing_is_not_parsed(spark, monkeypatch):
+    from gneiss.jobs import standards
+    from gneiss.operators import parsing
+
+    asked, whole = [], parsing.elements
+    monkeypatch.setattr(standards.P, "elements", lambda docs, only=None: asked.append(only) or whole(docs, only))
+    standards.reference_promotion(spark, "/root/testdata/sf0.001")
+    assert asked == [["paragraph_ref", "table_id"]]
+    plan = whole(spark.createDataFrame([(1, "## A-1 x")], "doc_id long, text string"), ["paragraph_ref"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "two" not in plan
+
+
+def test_few_ids_are_numbered_like_many(spark):
+    from gneiss.operators import parsing
+
+    for n in (0, 1, 5, 16, 17, 40):
+        ids, seen, want = [f"i{k * k % 7}" for k in range(n)], {}, []
+        for i in ids:
+            seen[i] = seen.get(i, 0) + 1
+            want.append(seen[i])
+        assert spark.createDataFrame([(ids,)], "ids array<string>").selectExpr(f"{parsing.repeats('ids')} as n").first()[0] == want
