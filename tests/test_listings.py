@@ -93,3 +93,25 @@ def test_a_long_section_is_worth_ten_more(spark):
     rows = [(i, "s", "section", "A-1", "Plain", None, None, None, None, " " + "x" * n + " ", i) for i, n in enumerate((300, 301))]
     got = {r.doc_id: r.quality for r in browse.quality(spark.createDataFrame(rows, SHAPE), spark.createDataFrame([], "doc_id int, source_id string")).collect()}
     assert got == {0: 40, 1: 50}
+
+
+def test_plain_texts_are_left_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aZ0()./% -", weights=[4, 4, 2, 1, 1, 1, 1, 1, 3, 1], k=rng.randint(0, 9))) for _ in range(400)]
+    texts += ["".join(rng.choices("aB1 -*_`°é<br/>\n\t", k=rng.randint(0, 12))) for _ in range(400)] + [None, "", " ", "-", "a\n", "A-1 b", "a<br />b"]
+    slow = F.col("text")
+    for pattern, to in ((r"<br\s*/?>", " "), (r"[*_`]+", ""), (r"(?U)[^\w()./%° -]+", " "), (r"(?U)\s+", " "), (r"^[ -]+|[ -]+$", "")):
+        slow = F.regexp_replace(slow, pattern, to)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(browse.clean(F.col("text")), F.coalesce(slow, F.lit("")), F.col("text").rlike(browse.BARE)).collect()
+    assert all(a == b for a, b, _ in rows) and {c for *_, c in rows} == {True, False, None}
+
+
+def test_candidates_meet_once(spark):
+    elements = spark.createDataFrame([(1, "e", "section", "A-1", "x", None, None, None, None, "x", 1)], SHAPE)
+    out = suggest.suggestions(elements, spark.createDataFrame([(1, "e")], "doc_id int, source_id string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # The only join is with the counts of references, and what words are weighed in is put together once.
+    assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1 and plan.count("concat_ws") == 1
+    assert [(r.place, r.query, r.stage) for r in out.orderBy("place").collect()] == [(1, "What does A-1 specify about x?", 1)]
