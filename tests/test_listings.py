@@ -115,3 +115,15 @@ def test_candidates_meet_once(spark):
     # The only join is with the counts of references, and what words are weighed in is put together once.
     assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1 and plan.count("concat_ws") == 1 and "Window" not in plan
     assert [(r.place, r.query, r.stage) for r in out.orderBy("place").collect()] == [(1, "What does A-1 specify about x?", 1)]
+
+
+def test_contents_do_not_travel(spark, tmp_path):
+    rows = [(1, "a", "section", "A-1", "x", None, None, None, None, "x", 1), (1, "b", "section", None, "x", None, None, None, None, "x", 2), (1, "c", "table", "A-1", "T", "weld", "A-1", ["h"], [["1"]], "x", 3)]
+    spark.createDataFrame(rows, SHAPE).write.parquet(str(tmp_path / "e"))
+    out = browse.quality(spark.read.parquet(str(tmp_path / "e")), spark.createDataFrame([(1, i) for i in "aaabbc"], "doc_id int, source_id string"))
+    assert {r.element_id: r.quality for r in out.collect()} == {"a": 43, "b": -1, "c": 126}
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    left = plan.children().head().output()
+    assert not {left.apply(i).name() for i in range(left.size())} & {"content", "rows", "headers", "caption"}
